@@ -14,13 +14,12 @@ assignment gives the same links.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import flat
 from .components import components
@@ -33,8 +32,8 @@ SIMILARITY = 80
 FREQUENT_BITS = 13
 #: Frequent shingles that are told to the workers; further ones stay in the rare class, which costs time, not links.
 MAX_FREQUENT = MAX_BROADCAST_BYTES // 16
-#: The bits of a hash that make way for a counter's bit.
-_COUNTER = np.uint64(15)
+#: Sets of this size or more have 32-bit sketches, smaller ones 16-bit sketches.
+WIDE = 4096
 #: log2 of the bits of the filter that finds the candidates' texts again; false hits are dropped by a join.
 FILTER_BITS = 25
 
@@ -65,7 +64,7 @@ def _groups_at(level: int) -> int:
     return max(1, (1 << level) // 24)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+def signatures(s: np.ndarray, frequent: np.ndarray, token_bits: int, similarity: int = SIMILARITY) -> np.ndarray:
     """The entries under which a set (sorted distinct hashes) is indexed; none if only an equal set can be its partner."""
     n = len(s)
     low, high, least = _bounds(n, similarity)
@@ -73,7 +72,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, similarity: int = SIMILARITY
         return np.zeros(0, np.uint64)
     need = n - least + 1
     if len(frequent):
-        token = s & ~_COUNTER
+        token = s >> np.uint64(64 - token_bits)
         common = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
         rare, often = s[~common], s[common]
     else:
@@ -83,7 +82,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, similarity: int = SIMILARITY
     if missing > 0:
         for level in range(low.bit_length() - 1, high.bit_length()):
             groups = _groups_at(level)
-            g = ((often >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+            g = ((often & np.uint64(0xFFFFFFFF)) % np.uint64(groups)).astype(np.int64)
             # the shortest prefix in which `missing` shingles are not the first of their group
             first = np.zeros(len(often), bool)
             first[np.unique(g, return_index=True)[1]] = True
@@ -117,16 +116,22 @@ def document_sets(docs: DataFrame, text: str, doc_id: str, k: int = SHINGLE) ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, key long")
 
 
+def _token_bits(total: int) -> int:
+    """Leading hash bits that stand for a shingle when shingles are counted: about two values for each."""
+    return min(59, max(16, total.bit_length() + 1))
+
+
 def _frequent(texts: DataFrame, total: int, k: int) -> np.ndarray:
-    """Sorted hashes of shingles in many different sets: 16-bit linear counters, so copies of a set count once."""
-    ranges = 1 << max(5, (max(1, total) >> 21).bit_length())
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    """Sorted tokens of shingles in many different sets: 16-bit linear counters, so copies of a set count once."""
+    token_bits = _token_bits(total)
+    ranges = min(token_bits, max(5, (max(1, total) >> 21).bit_length()))
+    shift, part_of = np.uint64(64 - token_bits), np.uint64(token_bits + 4 - ranges)
+
     def count(batches):
         def flush(parts):
             s = np.unique(np.concatenate(parts))
-            r = (s >> shift).astype(np.int64)
-            at = np.searchsorted(r, np.arange(ranges + 1))
-            made = [(i, zlib.compress(_packed(s[a:b]), 1)) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+            at = np.searchsorted((s >> part_of).astype(np.int64), np.arange((1 << ranges) + 1))
+            made = [(i, _packed(s[a:b])) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["part", "packed"])
 
         held, size, seen = [], 0, set()
@@ -134,8 +139,8 @@ def _frequent(texts: DataFrame, total: int, k: int) -> np.ndarray:
             for s, key in _sets(batch.column(0), k):
                 if len(s) and key not in seen:
                     seen.add(key)
-                    # the lowest bits of a hash make way for the counter's bit that this set would set
-                    held.append((s & ~_COUNTER) | (np.uint64(key & 15)))
+                    # a token and the bit of its counter that this set sets
+                    held.append((s >> shift) << np.uint64(4) | np.uint64(key & 15))
                     size += len(s)
                     if len(seen) > 1_000_000:
                         seen.clear()
@@ -146,8 +151,8 @@ def _frequent(texts: DataFrame, total: int, k: int) -> np.ndarray:
             yield flush(held)
 
     def reduce(table):
-        s = np.unique(np.concatenate([_unpacked(zlib.decompress(x.as_py())) for x in table.column("packed")]))
-        token = s & ~_COUNTER
+        s = np.unique(np.concatenate([_unpacked(x.as_py()) for x in table.column("packed")]))
+        token = s >> np.uint64(4)
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         many = np.diff(np.append(first, len(s))) >= FREQUENT_BITS
         return pa.table({"token": _long(token[first][many])})
@@ -158,17 +163,17 @@ def _frequent(texts: DataFrame, total: int, k: int) -> np.ndarray:
 
 
 def _packed(s: np.ndarray) -> bytes:
-    """Sorted values as differences, byte planes apart."""
+    """Sorted values as differences, byte planes apart, compressed."""
     d = np.diff(s, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(x, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _runs(index: DataFrame) -> DataFrame:
+def _runs(index: DataFrame, similarity: int) -> DataFrame:
     """(run, key, n, hub, hub_n, weight): the sets that share an entry; entries with the same sets make one run."""
 
     def run(batches):
@@ -185,6 +190,12 @@ def _runs(index: DataFrame) -> DataFrame:
                 return
             keep = np.concatenate(([True], key[1:] != key[:-1]))  # sorted by key: copies of a set stand together
             key, n = key[keep], n[keep]
+            # a set that fits any other by size fits the next smaller or larger one
+            order = np.argsort(n, kind="stable")
+            near = similarity * n[order[1:]] <= 100 * n[order[:-1]]
+            fits = np.zeros(len(n), bool)
+            fits[order[1:][near]] = fits[order[:-1][near]] = True
+            key, n = key[fits], n[fits]
             if len(key) > 1:
                 name = hashlib.blake2b(key.tobytes(), digest_size=8).digest()
                 if name in held:
@@ -275,8 +286,8 @@ def _cross(rows: DataFrame, similarity: int) -> DataFrame:
     return rows.select("run", "key", "n", "root").repartition("run").sortWithinPartitions("run", "key").mapInArrow(run, "a long, b long")
 
 
-def _candidate_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(key, shingles) of the wanted (key, doc_id): a pass over all texts keeps those whose key and id a filter knows."""
+def _found_again(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int, made) -> DataFrame:
+    """(key, made) of the wanted (key, doc_id): a pass over all texts keeps those whose key and id a filter knows."""
     spark = docs.sparkSession
     mask = (1 << FILTER_BITS) - 1
     slot = F.col("key").bitwiseXOR(F.col("doc_id")).bitwiseAND(F.lit(mask))
@@ -286,7 +297,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str,
     for bucket, b in bits.toLocalIterator():
         lo = (bucket - 1) * size  # numbers 1 to 32768 are of bucket 1
         part = np.frombuffer(b, np.uint8)
-        known[lo : lo + len(part)] |= part[: len(known) - lo]
+        known[lo : lo + len(part)] |= part
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches):
@@ -300,28 +311,52 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str,
                     if told[x >> 3] >> (x & 7) & 1:
                         key.append(c)
                         kept.append(ids[i])
-                        out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.binary())], names=["key", "doc_id", "shingles"])
+                        out.append(made(s))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.binary())], names=["key", "doc_id", "made"])
+
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "key long, doc_id long, made binary")
+    return found.join(wanted, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "made")
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Leading bits of each hash: what two sketches share is never less than what the sets share."""
+    return (s >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) < WIDE else (s >> np.uint64(32)).astype(np.uint32).tobytes() + b"\0"
+
+
+def _sketch_values(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint32, len(x) // 4) if len(x) % 2 else np.frombuffer(x, np.uint16)
 
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "key long, doc_id long, shingles binary")
-    return found.join(wanted, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "shingles")
 
+def _at_most(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """A bound of the overlap, and both sizes, from sketches."""
+    s, t = _sketch_values(x), _sketch_values(y)
+    if s.dtype != t.dtype:
+        s, t = ((v >> 16).astype(np.uint16) if v.dtype == np.uint32 else v for v in (s, t))
+    return min(_inside(s, t), _inside(t, s)), len(s), len(t)
+
+
+def _exactly(x: bytes, y: bytes) -> tuple[int, int, int]:
+    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return _inside(s, t), len(s), len(t)
+
+
+def _inside(s: np.ndarray, t: np.ndarray) -> int:
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: int, overlap) -> DataFrame:
+    """The pairs whose overlap, as told by what `sets` holds of them, suffices."""
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at] == s).sum())
-                keep.append(100 * both >= similarity * (len(s) + len(t) - both))
+                both, m, n = overlap(x.as_py(), y.as_py())
+                keep.append(100 * both >= similarity * (m + n - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    left, right = sets.select(F.col("key").alias("a"), F.col("made").alias("x")), sets.select(F.col("key").alias("b"), F.col("made").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -340,7 +375,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     base = cut(document_sets(docs, text, doc_id, k))
     texts = docs.select(F.col(text).alias("text"))
     total = base.agg(F.sum("n")).first()[0] or 0
-    frequent = spark.sparkContext.broadcast(_frequent(texts, total, k))
+    frequent, token_bits = spark.sparkContext.broadcast(_frequent(texts, total, k)), _token_bits(total)
 
     def index(batches):
         often = frequent.value
@@ -351,7 +386,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                 if c in seen:
                     continue
                 seen.add(c)
-                found = signatures(s, often, similarity)
+                found = signatures(s, often, token_bits, similarity)
                 sig.append(found)
                 key.append(np.full(len(found), c))
                 size.append(np.full(len(found), len(s)))
@@ -360,28 +395,32 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             if sig:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(sig)), _long(np.concatenate(key).astype(np.int64)), _long(np.concatenate(size).astype(np.int64))], names=["sig", "key", "n"])
 
-    runs = cut(_runs(texts.mapInArrow(index, "sig long, key long, n long")))
-    classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    runs = cut(_runs(texts.mapInArrow(index, "sig long, key long, n long"), similarity))
+    classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    again = lambda keys, made: cut(_found_again(docs, classes.join(keys, "key", "left_semi"), text, doc_id, k, made))
+    sketches = again(runs.select("key").distinct(), _sketch)
+
     fit = F.expr(f"{similarity} * greatest(n, hub_n) <= 100 * least(n, hub_n)")
-    star = runs.filter("key != hub").filter(fit).groupBy("key", "hub").agg(F.sum("weight").alias("weight"))
-    best = star.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "hub"))).filter("place = 1")
-    pair = lambda df: df.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    sets = cut(_candidate_sets(docs, classes.join(runs.select("key").distinct(), "key", "left_semi"), text, doc_id, k))
-
-    tried = cut(pair(best).distinct())
-    links = cut(_verified(tried, sets, similarity))
-    for step in ("stars", "rest"):
-        roots = cut(components(links))
-        label = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{out}")), c, "left").withColumn(out, F.coalesce(f"_{out}", c)).drop(f"_{out}")
-        if step == "stars":
-            more = pair(label(label(star, "key", "root"), "hub", "hub_root").filter("root != hub_root"))
-        else:
-            more = _cross(label(runs, "key", "root"), similarity)
-        more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        links = cut(links.unionByName(_verified(more, sets, similarity)))
+    star = runs.filter("key != hub").filter(fit).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+    tried = cut(star.distinct())
+    maybe = cut(_compared(tried, sketches, similarity, _at_most))
+    links = None
+    while True:
+        # pairs of a run that nothing has linked or told apart yet; linked sets need no further pair
+        roots = components(maybe)
+        rows = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        more = cut(_cross(rows, similarity).distinct().join(tried, ["a", "b"], "left_anti"))
+        fresh = cut(_compared(more, sketches, similarity, _at_most))
+        unsure = maybe.unionByName(fresh) if links is None else fresh
         tried = tried.unionByName(more)
+        ends = unsure.select(F.col("a").alias("key")).unionByName(unsure.select(F.col("b").alias("key"))).distinct()
+        sure = cut(_compared(unsure, again(ends, np.ndarray.tobytes), similarity, _exactly))
+        # a link that the sketches wrongly told has hidden pairs of what it joined: look again without it
+        whole = sure.count() == unsure.count()
+        links = sure if links is None else cut(links.unionByName(sure))
+        if whole:
+            break
+        maybe = links
     roots = components(links)
     least = classes.join(roots, classes["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("low"))
     linked = roots.join(least, "root").select(F.col("node").alias("key"), "low")
