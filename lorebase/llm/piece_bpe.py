@@ -24,14 +24,22 @@ MEMORY = 150_000
 _NEVER = np.int32(2**31 - 1)
 
 
+_SLOTS = 1 << 20
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     ids: dict[str, int]  # of normal pieces
     symbols: dict[str, int]  # of normal pieces and of the characters they are made of
     texts: list[str]  # by symbol
-    pair: np.ndarray  # sorted keys left * len(texts) + right
+    pair: np.ndarray  # keys left * len(texts) + right
     rank: np.ndarray  # of the pair: 0 is merged first; equal scores have equal ranks
     merged: np.ndarray  # the symbol that the pair becomes
+    table: np.ndarray  # place of a pair by the hash of its key, linear probing; -1: none
     byte_ids: list[int]
     surface: dict[int, bytes]  # what an id decodes to
     breaks: bool  # whether no piece of more than one character has a line feed
@@ -60,17 +68,28 @@ class Vocabulary:
                 a, b = symbols.get(piece[:cut]), symbols.get(piece[cut:])
                 if a is not None and b is not None:
                     rows.append((a * len(symbols) + b, order[score[piece]], symbols[piece]))
-        rows.sort()
-        table = np.array(rows, np.int64)
+        rows.append((-2, _NEVER, -1))
+        pairs = np.array(rows, np.int64)
+        table = np.full(_SLOTS, -1, np.int32)
+        for i, slot in enumerate(_slot(pairs[:-1, 0]).tolist()):
+            while table[slot] >= 0:
+                slot = (slot + 1) % _SLOTS
+            table[slot] = i
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        return cls(ids, symbols, list(symbols), table[:, 0], table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), byte_ids, surface, not any("\n" in p for p in ids))
+        return cls(ids, symbols, list(symbols), pairs[:, 0], pairs[:, 1].astype(np.int32), pairs[:, 2].astype(np.int32), table, byte_ids, surface, not any("\n" in p for p in ids))
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; unknown symbols are -1 and never merge."""
         key = left.astype(np.int64) * len(self.texts) + right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        good = (self.pair[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(good, self.rank[at], _NEVER), np.where(good, self.merged[at], -1)
+        key[(left < 0) | (right < 0)] = -1
+        slot = _slot(key)
+        at = self.table[slot]
+        late = np.flatnonzero((at >= 0) & (self.pair[at] != key))
+        while len(late):
+            slot[late] = (slot[late] + 1) & (len(self.table) - 1)
+            at[late] = self.table[slot[late]]
+            late = late[(at[late] >= 0) & (self.pair[at[late]] != key[late])]
+        return self.rank[at], self.merged[at]  # the last entries of both stand for "no pair"
 
     def splitter(self) -> re.Pattern:
         """Words that no merge can join: before a space symbol that follows another character, and around line feeds."""
@@ -81,7 +100,6 @@ def _heap_merge(v: Vocabulary, chars: str) -> list[str]:
     """The same merges of one word, best rank and then leftmost first."""
     part: list[str | None] = list(chars)
     after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-    n = len(v.texts)
     known: dict[tuple[str, str], int | None] = {}
 
     def rank(a: str, b: str):
@@ -89,9 +107,8 @@ def _heap_merge(v: Vocabulary, chars: str) -> list[str]:
             x, y = v.symbols.get(a), v.symbols.get(b)
             r = None
             if x is not None and y is not None:
-                key = x * n + y
-                at = int(np.searchsorted(v.pair, key))
-                r = int(v.rank[at]) if at < len(v.pair) and v.pair[at] == key else None
+                found = int(v.look(np.array([x]), np.array([y]))[0][0])
+                r = found if found != _NEVER else None
             known[a, b] = r
         return known[a, b]
 
@@ -126,53 +143,54 @@ def merge_rounds(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
     chars, place = np.unique(points, return_inverse=True)
     sym = np.array([v.symbols.get(chr(c), -1) for c in chars], np.int32)[place] if len(chars) else np.zeros(0, np.int32)
     word = np.repeat(np.arange(len(words)), size)
+    n = len(sym)
+    rank, to = np.full(n, _NEVER), np.full(n, -1, np.int32)  # of the pair that a symbol makes with the next one
+    i = np.flatnonzero(word[1:] == word[:-1])
+    rank[i], to[i] = v.look(sym[i], sym[i + 1])
     while len(sym):
-        n = len(sym)
-        inside = np.zeros(n, bool)
-        inside[:-1] = word[1:] == word[:-1]
-        rank = np.full(n, _NEVER)
-        to = np.full(n, -1, np.int32)
-        i = np.flatnonzero(inside)
-        rank[i], to[i] = v.look(sym[i], sym[i + 1])
         begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        count = np.diff(np.append(begin, n))
+        count = np.diff(np.append(begin, len(sym)))
         least = np.minimum.reduceat(rank, begin)
         over = least == _NEVER
         if over.any():
-            for a, c in zip(begin[over].tolist(), count[over].tolist()):
-                done[word[a]] = sym[a : a + c]
+            for w, a, c in zip(word[begin[over]].tolist(), begin[over].tolist(), count[over].tolist()):
+                done[w] = sym[a : a + c]
             stay = ~np.repeat(over, count)
             sym, word, rank, to = sym[stay], word[stay], rank[stay], to[stay]
-            begin, count, least = None, count[~over], least[~over]
+            count, least = count[~over], least[~over]
+            begin = np.cumsum(count) - count
             if not len(sym):
                 break
-            n = len(sym)
-            begin = np.cumsum(count) - count
+        n = len(sym)
         low = np.repeat(least, count)
-        pick = rank == low
+        p = np.flatnonzero(rank == low)
         # of adjacent picks every second one, from the left
-        at = np.arange(n)
-        fresh = pick & ~np.concatenate(([False], pick[:-1]))
-        pick &= (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
-        p = np.flatnonzero(pick)
-        new = to[p]
-        same = lambda q: (q >= 0) & (q < n) & (word[np.clip(q, 0, n - 1)] == word[p])
-        right = same(p + 2)
-        r_right, _ = v.look(new, np.where(right, sym[np.minimum(p + 2, n - 1)], -1))
-        joined = np.concatenate(([False], np.diff(p) == 2)) & same(p - 2)
-        left = np.where(same(p - 1), np.where(joined, np.concatenate(([-1], new[:-1])), sym[np.maximum(p - 1, 0)]), -1)
+        fresh = np.concatenate(([True], np.diff(p) != 1))
+        at = np.arange(len(p))
+        p = p[(at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0]
+        new, home = to[p], word[p]
+        beyond = np.minimum(p + 2, n - 1)
+        r_right, _ = v.look(new, np.where((p + 2 < n) & (word[beyond] == home), sym[beyond], -1))
+        back = np.maximum(p - 1, 0)
+        joined = np.concatenate(([False], (np.diff(p) == 2) & (home[1:] == home[:-1])))
+        left = np.where((p > 0) & (word[back] == home), np.where(joined, np.concatenate(([-1], new[:-1])), sym[back]), -1)
         r_left, _ = v.look(left, new)
         stop = np.minimum(r_left, r_right) <= low[p]
         if stop.any():
-            first = np.full(n, n)
-            first[p[stop]] = p[stop]
-            limit = np.repeat(np.minimum.reduceat(first, begin), count)
-            keep = p <= limit[p]
-            p, new = p[keep], new[keep]
+            limit = np.full(len(words), n)
+            np.minimum.at(limit, home[stop], p[stop])
+            keep = p <= limit[home]
+            p, new, home = p[keep], new[keep], home[keep]
         sym[p] = new
         alive = np.ones(n, bool)
         alive[p + 1] = False
-        sym, word = sym[alive], word[alive]
+        sym, word, rank, to = sym[alive], word[alive], rank[alive], to[alive]
+        # only pairs beside a merged symbol have changed
+        p = p - np.arange(len(p))
+        p = np.concatenate((p, p[p > 0] - 1))
+        n = len(sym)
+        after = np.minimum(p + 1, n - 1)
+        rank[p], to[p] = v.look(sym[p], np.where((p + 1 < n) & (word[after] == word[p]), sym[after], -1))
     return done
 
 

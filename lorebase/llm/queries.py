@@ -5,20 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import chroma, decontaminate, jaccard_join, license_scan, pii, piece_bpe, secret_scan, sharding, toxicity, url_rules
+
+#: Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
+MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _joined(spans: str, kinds: tuple[str, ...] | None = None):
+    """kind:start:end of spans (already by start and kind), comma-joined."""
+    some = spans if kinds is None else f"filter({spans}, s -> s.kind in ({', '.join(map(repr, kinds))}))"
+    return F.expr(f"array_join(transform({some}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
+
+
+def _span_digests(found: DataFrame, base: tuple[str, ...], more: tuple[str, ...]) -> DataFrame:
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in (*base, *more)]
+    return found.select("doc_id", *counts[: len(base)], F.sha2(_joined("spans", base).cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), *counts[len(base) :])
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_documents(spark, sf_dir), license_scan.known_digests(spark))
+    return found.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
+def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(toxicity.train_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
+
+
+def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has sound, so each text is played: its UTF-8 bytes are the samples of a recording."""
+    prints = chroma.fingerprints(_documents(spark, sf_dir), chroma.BYTES_AS_SOUND, "text", "doc_id")
+    found = chroma.search(prints)
+    return found.select(F.col("query_id").alias("doc_id"), "match_id", "copies", "offset", "votes", F.round("bit_errors", 6).alias("bit_errors"), "place")
+
+
+def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = _documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    out = sharding.shard_rows(rows, "doc_id", [1.0] * 8, grown="grown_shard", tie=("text_crc32", "size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find_pii(_documents(spark, sf_dir)), pii.BASE, pii.KINDS[len(pii.BASE) :])
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secret_scan.find_secrets(_documents(spark, sf_dir)), secret_scan.BASE, secret_scan.KINDS[len(secret_scan.BASE) :])
+
+
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(_documents(spark, sf_dir), MODEL)
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_toxicity_ftrl, op3_chroma_fingerprint, op4_rendezvous_shards, op5_pii_spans,
+        op6_benchmark_decontamination, op7_secret_novelty, op8_sentencepiece_codec, op9_url_rules, op10_ngram_jaccard_join,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
