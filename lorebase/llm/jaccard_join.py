@@ -32,8 +32,6 @@ SIMILARITY = 80
 FREQUENT_BITS = 13
 #: Frequent shingles that are told to the workers; further ones stay in the rare class, which costs time, not links.
 MAX_FREQUENT = MAX_BROADCAST_BYTES // 16
-#: Sets of this size or more have 32-bit sketches, smaller ones 16-bit sketches.
-WIDE = 4096
 #: log2 of the bits of the filter that finds the candidates' texts again; false hits are dropped by a join.
 FILTER_BITS = 25
 
@@ -102,18 +100,32 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each cell of a power of two from len(s) on (64 at least) whether it holds an odd number of the hashes.
+
+    Two sets differ in at least as many elements as their parities, folded to one width, differ in bits.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def document_sets(docs: DataFrame, text: str, doc_id: str, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, key): size of each document's shingle set and a 64-bit key equal for equal sets; key is null without words."""
+    """(doc_id, n, key, parity): size of each document's shingle set, a 64-bit key equal for equal sets, and its parity sketch.
+
+    Without words n is 0 and the others are null.
+    """
 
     def run(batches):
         for batch in batches:
-            n, key = [], []
+            n, key, sketch = [], [], []
             for s, c in _sets(batch.column(1), k):
                 n.append(len(s))
                 key.append(c if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["doc_id", "n", "key"])
+                sketch.append(parity(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "key", "parity"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, key long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, key long, parity binary")
 
 
 def _token_bits(total: int) -> int:
@@ -174,10 +186,10 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 
 def _runs(index: DataFrame, similarity: int) -> DataFrame:
-    """(run, key, n, hub, hub_n, weight): the sets that share an entry; entries with the same sets make one run."""
+    """(run, key, n): the sets that share an entry, by n and key; entries with the same sets make one run in a task."""
 
     def run(batches):
-        held: dict[bytes, list] = {}
+        held: dict[bytes, tuple] = {}
         held_rows = 0
         sig, keys, sizes = None, [], []
 
@@ -198,19 +210,13 @@ def _runs(index: DataFrame, similarity: int) -> DataFrame:
             key, n = key[fits], n[fits]
             if len(key) > 1:
                 name = hashlib.blake2b(key.tobytes(), digest_size=8).digest()
-                if name in held:
-                    held[name][2] += 1
-                else:
-                    held[name] = [key, n, 1]
+                if name not in held:
+                    held[name] = key, n
                     held_rows += len(key)
 
         def flush():
-            for name, (key, n, weight) in held.items():
-                m = len(key)
-                for lo in range(0, m, 100_000):
-                    part = slice(lo, lo + 100_000)
-                    c = len(key[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(c, int.from_bytes(name, "little", signed=True))), pa.array(key[part]), pa.array(n[part]), pa.array(np.full(c, key[0])), pa.array(np.full(c, n[0])), pa.array(np.full(c, weight), pa.int64())], names=["run", "key", "n", "hub", "hub_n", "weight"])
+            for name, (key, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), int.from_bytes(name, "little", signed=True))), pa.array(key), pa.array(n)], names=["run", "key", "n"])
             held.clear()
 
         def merged():
@@ -250,44 +256,88 @@ def _runs(index: DataFrame, similarity: int) -> DataFrame:
         yield from merged()
 
     dealt = index.repartition("sig").sortWithinPartitions("sig", "key")
-    return dealt.mapInArrow(run, "run long, key long, n long, hub long, hub_n long, weight long")
+    return dealt.mapInArrow(run, "run long, key long, n long")
+
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """log2 of the bits of a set's parity sketch."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
-def _cross(rows: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of a run whose sets are of different components as yet and of fitting sizes."""
+
+def _linked(rows: DataFrame, similarity: int) -> DataFrame:
+    """(run, a, b): links within each run that parity sketches don't rule out, as few as join what they join.
+
+    rows: run, key, n, parity, root (sets of one root are linked already), apart (keys known not to link with this one).
+    a comes before b by size and key.
+    """
+
+    def links(name, held):
+        key, n, raw, root, apart = ([x for part in column for x in part] for column in zip(*held))
+        if len(key) < 2:
+            return
+        order = np.lexsort((np.array(key), np.array(n)))
+        key, n, root = np.array(key)[order], np.array(n)[order], np.array(root)[order]
+        raw, apart = [raw[i] for i in order], [apart[i] for i in order]
+        if (root == root[0]).all():
+            return
+        level = _level(n)
+        upto = np.searchsorted(n, 100 * n // similarity, "right")
+        matrix, base, own = None, 0, -1
+        for i in range(len(key) - 1):
+            hi = int(upto[i])
+            if hi <= i + 1 or not (root[i + 1 : hi] != root[i]).any():
+                continue
+            if level[i] != own:
+                # all of this level, and those of the next one folded to it
+                own, base = int(level[i]), i
+                same, top = (int(np.searchsorted(level, own + x, "right")) for x in (0, 1))
+                matrix = np.frombuffer(b"".join(raw[i:same]), np.uint64).reshape(same - i, -1)
+                if top > same:
+                    wide = np.frombuffer(b"".join(raw[same:top]), np.uint64).reshape(top - same, -1)
+                    half = wide.shape[1] // 2
+                    matrix = np.concatenate((matrix, wide[:, :half] ^ wide[:, half:]))
+            others = np.flatnonzero(root[i + 1 : hi] != root[i]) + i + 1
+            for lo in range(0, len(others), 50_000):
+                part = others[lo : lo + 50_000]
+                far = np.bitwise_count(matrix[part - base] ^ matrix[i - base]).sum(axis=1, dtype=np.int64)
+                for j in part[(100 + similarity) * far <= (100 - similarity) * (n[part] + n[i])].tolist():
+                    if root[j] != root[i] and key[i] not in (apart[j] or ()):
+                        yield name, int(key[i]), int(key[j])
+                        root[root == root[j]] = root[i]
 
     def run(batches):
-        name, held = None, []
+        name, held, out = None, [], []
 
-        def pairs():
-            if not held:
-                return
-            key, n, root = (np.concatenate(x) for x in zip(*held))
-            if (root == root[0]).all():
-                return
-            for i in range(len(key)):
-                j = np.flatnonzero((root[i + 1 :] != root[i]) & (similarity * np.maximum(n[i + 1 :], n[i]) <= 100 * np.minimum(n[i + 1 :], n[i]))) + i + 1
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[j], key[i])), pa.array(np.maximum(key[j], key[i]))], names=["a", "b"])
+        def flush():
+            made = [pa.array(c, pa.int64()) for c in zip(*out)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(made, names=["run", "a", "b"])
 
         for batch in batches:
-            r, k, n, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            r = batch.column(0).to_numpy()
             if not len(r):
                 continue
-            at = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)]))
+            columns = [batch.column(i).to_pylist() for i in range(1, 6)]
+            at = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)])).tolist()
             for a, b in zip(at, at[1:]):
                 if name is not None and r[a] != name:
-                    yield from pairs()
+                    out += links(name, held)
                     held = []
-                name = r[a]
-                held.append((k[a:b], n[a:b], root[a:b]))
-        yield from pairs()
+                name = int(r[a])
+                held.append([c[a:b] for c in columns])
+            if len(out) > 10_000:
+                yield flush()
+        if held:
+            out += links(name, held)
+        if out:
+            yield flush()
 
-    return rows.select("run", "key", "n", "root").repartition("run").sortWithinPartitions("run", "key").mapInArrow(run, "a long, b long")
+    dealt = rows.select("run", "key", "n", "parity", "root", "apart").repartition("run").sortWithinPartitions("run")
+    return dealt.mapInArrow(run, "run long, a long, b long")
 
 
-def _found_again(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int, made) -> DataFrame:
-    """(key, made) of the wanted (key, doc_id): a pass over all texts keeps those whose key and id a filter knows."""
+def _found_again(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
+    """(key, shingles) of the wanted (key, doc_id): a pass over all texts keeps those whose key and id a filter knows."""
     spark = docs.sparkSession
     mask = (1 << FILTER_BITS) - 1
     slot = F.col("key").bitwiseXOR(F.col("doc_id")).bitwiseAND(F.lit(mask))
@@ -311,52 +361,31 @@ def _found_again(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k:
                     if told[x >> 3] >> (x & 7) & 1:
                         key.append(c)
                         kept.append(ids[i])
-                        out.append(made(s))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.binary())], names=["key", "doc_id", "made"])
-
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "key long, doc_id long, made binary")
-    return found.join(wanted, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "made")
-
-
-def _sketch(s: np.ndarray) -> bytes:
-    """Leading bits of each hash: what two sketches share is never less than what the sets share."""
-    return (s >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) < WIDE else (s >> np.uint64(32)).astype(np.uint32).tobytes() + b"\0"
+                        out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.binary())], names=["key", "doc_id", "shingles"])
 
-
-def _sketch_values(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint32, len(x) // 4) if len(x) % 2 else np.frombuffer(x, np.uint16)
-
-
-def _at_most(x: bytes, y: bytes) -> tuple[int, int, int]:
-    """A bound of the overlap, and both sizes, from sketches."""
-    s, t = _sketch_values(x), _sketch_values(y)
-    if s.dtype != t.dtype:
-        s, t = ((v >> 16).astype(np.uint16) if v.dtype == np.uint32 else v for v in (s, t))
-    return min(_inside(s, t), _inside(t, s)), len(s), len(t)
-
-
-def _exactly(x: bytes, y: bytes) -> tuple[int, int, int]:
-    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    return _inside(s, t), len(s), len(t)
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "key long, doc_id long, shingles binary")
+    return found.join(wanted, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "shingles")
 
 
 def _inside(s: np.ndarray, t: np.ndarray) -> int:
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: int, overlap) -> DataFrame:
-    """The pairs whose overlap, as told by what `sets` holds of them, suffices."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                both, m, n = overlap(x.as_py(), y.as_py())
-                keep.append(100 * both >= similarity * (m + n - both))
+                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = _inside(s, t)
+                keep.append(100 * both >= similarity * (len(s) + len(t) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left, right = sets.select(F.col("key").alias("a"), F.col("made").alias("x")), sets.select(F.col("key").alias("b"), F.col("made").alias("y"))
+    left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -397,30 +426,27 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     runs = cut(_runs(texts.mapInArrow(index, "sig long, key long, n long"), similarity))
     classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    again = lambda keys, made: cut(_found_again(docs, classes.join(keys, "key", "left_semi"), text, doc_id, k, made))
-    sketches = again(runs.select("key").distinct(), _sketch)
-
-    fit = F.expr(f"{similarity} * greatest(n, hub_n) <= 100 * least(n, hub_n)")
-    star = runs.filter("key != hub").filter(fit).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    tried = cut(star.distinct())
-    maybe = cut(_compared(tried, sketches, similarity, _at_most))
-    links = None
+    sketches = base.select("key", "parity").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    rows = runs.join(sketches, "key").withColumn("root", F.col("key")).withColumn("apart", F.expr("cast(null as array<bigint>)"))
+    links = wrong = None
     while True:
-        # pairs of a run that nothing has linked or told apart yet; linked sets need no further pair
-        roots = components(maybe)
-        rows = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        more = cut(_cross(rows, similarity).distinct().join(tried, ["a", "b"], "left_anti"))
-        fresh = cut(_compared(more, sketches, similarity, _at_most))
-        unsure = maybe.unionByName(fresh) if links is None else fresh
-        tried = tried.unionByName(more)
-        ends = unsure.select(F.col("a").alias("key")).unionByName(unsure.select(F.col("b").alias("key"))).distinct()
-        sure = cut(_compared(unsure, again(ends, np.ndarray.tobytes), similarity, _exactly))
-        # a link that the sketches wrongly told has hidden pairs of what it joined: look again without it
-        whole = sure.count() == unsure.count()
+        found = cut(_linked(rows, similarity))
+        if links is not None and found.isEmpty():
+            break
+        pairs = found.select("a", "b").distinct()
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        sets = cut(_found_again(docs, classes.join(ends, "key", "left_semi"), text, doc_id, k))
+        sure = cut(_verified(pairs, sets, similarity))
         links = sure if links is None else cut(links.unionByName(sure))
-        if whole:
+        false = cut(found.join(sure, ["a", "b"], "left_anti"))
+        if false.isEmpty():
             break
-        maybe = links
+        # a false link may have hidden others of its run: look at that run again, linked sets being one, without it
+        wrong = false.select("a", "b") if wrong is None else wrong.unionByName(false.select("a", "b"))
+        apart = wrong.groupBy(F.col("b").alias("key")).agg(F.collect_set("a").alias("apart"))
+        roots = cut(components(links)).withColumnRenamed("node", "key")
+        again = runs.join(false.select("run").distinct(), "run", "left_semi")
+        rows = again.join(sketches, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(apart, "key", "left")
     roots = components(links)
     least = classes.join(roots, classes["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("low"))
     linked = roots.join(least, "root").select(F.col("node").alias("key"), "low")
