@@ -16,9 +16,11 @@ from .runtime import prepare
 BUCKET_BITS = 20
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 MAX_TRAIN_ROWS = 16_000
-EPOCHS = 3
+EPOCHS = 4
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2 strength.
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.0, 0.5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.01
+#: A feature is included once so many of the fitted rows have it.
+MIN_ROWS = 3
 #: Word distances of skip-grams, beside n-grams of one to three words.
 SKIPS = (2, 3)
 
@@ -100,6 +102,10 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", epochs: int =
                     if left > 0:
                         features.append((bucket[at[i] : at[i + 1]], int(labels[lo + i] > 0)))
                         left -= 1
+        rows_of = np.zeros(1 << BUCKET_BITS, np.int32)
+        for bucket, _ in features:
+            rows_of[bucket] += 1
+        features = [(bucket[rows_of[bucket] >= MIN_ROWS], y) for bucket, y in features]
         for _ in range(epochs if features else 0):
             for bucket, y in features:
                 learner.learn(bucket, y)
