@@ -15,8 +15,15 @@ from .runtime import cut, prepare
 #: Filters (kind, first class, classes, frames), two bits each: sixteen make a 32-bit integer.
 FILTERS = [(kind, y, h, w) for kind in range(4) for y, h, w in ((0, 12, 4), (0, 6, 8), (4, 8, 8), (2, 4, 12))]
 WIDTH = max(w for *_, w in FILTERS)
-#: Quantiser: a filter's value, log of the ratio of its two areas, falls into one of four ranges with a Gray code each.
-LEVELS, GRAY = np.array([-0.25, 0.0, 0.25]), np.array([0, 1, 3, 2], np.uint32)
+# For each filter the quartiles of its value (log of the ratio of its two areas), which part the values
+# into four ranges with a Gray code each.
+LEVELS = [
+    (0.047, 0.152, 0.248), (-0.284, -0.144, 0.021), (0.198, 0.31, 0.407), (-0.271, -0.147, -0.001),
+    (-0.02, 0.0, 0.02), (-0.054, 0.0, 0.055), (-0.047, 0.0, 0.047), (-0.055, 0.0, 0.056),
+    (-0.078, 0.0, 0.078), (-0.075, 0.0, 0.074), (-0.071, 0.0, 0.071), (-0.077, 0.0, 0.078),
+    (-0.018, 0.001, 0.019), (-0.052, -0.001, 0.052), (-0.044, 0.001, 0.044), (-0.055, 0.0, 0.055),
+]
+GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
 @dataclass(frozen=True)
@@ -72,7 +79,7 @@ def pack(frames: np.ndarray) -> np.ndarray:
         return (b[:, y + h] - a[:, y + h]) - (b[:, y] - a[:, y])
 
     out = np.zeros(n, np.uint32)
-    for kind, y, h, w in FILTERS:
+    for (kind, y, h, w), levels in zip(FILTERS, LEVELS):
         whole = area(0, w, y, h)
         if kind == 0:  # one half of the classes against the other
             part = area(0, w, y, h // 2)
@@ -83,7 +90,7 @@ def pack(frames: np.ndarray) -> np.ndarray:
         else:  # the middle frames
             part = area(w // 4, w // 2, y, h)
         value = np.log((1 + np.maximum(part, 0)) / (1 + np.maximum(whole - part, 0)))
-        out = (out << np.uint32(2)) | GRAY[np.searchsorted(LEVELS, value)]
+        out = (out << np.uint32(2)) | GRAY[np.searchsorted(levels, value)]
     return out
 
 
@@ -95,12 +102,19 @@ def fingerprint(samples: np.ndarray, sound: Sound) -> np.ndarray:
 VOTES, BIT_ERRORS, TOP = 3, 0.30, 3
 #: Integers of the queries that are held by a worker at once.
 BLOCK_INTEGERS = 1_000_000
+#: Equal integers that are counted at once.
+HITS = 2_000_000
 
 
 def _popcount(x: np.ndarray) -> int:
     return int(np.bitwise_count(x).sum())
 
 
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    every, at = np.unique(key, return_inverse=True)
+    return every, np.bincount(at, n, len(every)).astype(np.int64)
+
+
 class Recordings:
     """Queries, indexed by integer: finds those that align with a recording."""
 
@@ -119,14 +133,23 @@ class Recordings:
         The offset is the place in `other` less that in the query; the histogram of offsets is led by votes, ties going
         to the smaller distance, then the smaller offset.
         """
-        lo, hi = np.searchsorted(self.value, other, "left"), np.searchsorted(self.value, other, "right")
-        count = hi - lo
-        total = int(count.sum())
-        if not total:
+        low = np.searchsorted(self.value, other, "left")
+        count = np.searchsorted(self.value, other, "right") - low
+        keys, counts, begin = [], [], 0
+        while begin < len(other):
+            # slices of bounded size, however often an integer repeats
+            end = begin + max(1, int(np.searchsorted(np.cumsum(count[begin:]), HITS, "right")))
+            c = count[begin:end]
+            total = int(c.sum())
+            if total:
+                at = np.arange(total) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:end], c)
+                k, m = np.unique(self.owner[at] * (1 << 32) + (np.repeat(np.arange(begin, begin + len(c)), c) - self.place[at] + (1 << 31)), return_counts=True)
+                keys.append(k)
+                counts.append(m)
+            begin = end
+        if not keys:
             return
-        at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        query, offset = self.owner[at], np.repeat(np.arange(len(other)), count) - self.place[at]
-        key, n = np.unique(query * (1 << 32) + (offset + (1 << 31)), return_counts=True)
+        key, n = (keys[0], counts[0]) if len(keys) == 1 else _summed(np.concatenate(keys), np.concatenate(counts))
         key, n = key[n >= votes], n[n >= votes]
         query, offset = key >> 32, (key & ((1 << 32) - 1)) - (1 << 31)
         order = np.lexsort((offset, np.abs(offset), -n, query))
