@@ -178,6 +178,11 @@ def fingerprints(media: DataFrame, sound: Sound, data: str = "data", media_id: s
     return media.select(F.col(media_id).cast("long").alias("media_id"), F.col(data).cast("binary").alias("data")).mapInArrow(run, "media_id long, print binary, n int")
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(digest, class_id, copies): recordings of equal, non-empty prints, named by the smallest id."""
+    return prints.filter("n > 0").groupBy(F.sha2("print", 256).alias("digest")).agg(F.min("media_id").alias("class_id"), F.count("*").alias("copies"))
+
+
 def search(prints: DataFrame, every: int = 50, top: int = TOP, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
     """(query_id, match_id, copies, offset, votes, bit_errors, place): for each query its best alignments.
 

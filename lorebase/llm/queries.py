@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chroma, decontaminate, jaccard_join, license_scan, pii, piece_bpe, secret_scan, sharding, toxicity, url_rules
+from .runtime import cut
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,10 +42,17 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table has sound, so each text is played: its UTF-8 bytes are the samples of a recording."""
-    prints = chroma.fingerprints(_documents(spark, sf_dir), chroma.BYTES_AS_SOUND, "text", "doc_id")
-    found = chroma.search(prints)
-    return found.select(F.col("query_id").alias("doc_id"), "match_id", "copies", "offset", "votes", F.round("bit_errors", 6).alias("bit_errors"), "place")
+    """No table has sound, so each text is played: its UTF-8 bytes are the samples of a recording.
+
+    One row for each document; those divisible by 50 are queries, with their best alignments (id:offset:votes:errors).
+    """
+    prints = cut(chroma.fingerprints(_documents(spark, sf_dir), chroma.BYTES_AS_SOUND, "text", "doc_id"))
+    told = F.concat_ws(":", "match_id", "offset", "votes", F.format_number("bit_errors", 4))
+    found = chroma.search(prints).groupBy(F.col("query_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("place", told.alias("told")))).alias("m"))  # at most three for each
+    base = prints.select(F.col("media_id").alias("doc_id"), F.col("n").cast("long").alias("n_integers"), F.sha2("print", 256).alias("digest"))
+    kinds = chroma.classes(prints)
+    out = base.join(kinds, "digest", "left").join(found, "doc_id", "left")
+    return out.select("doc_id", "n_integers", F.col("digest").alias("print_sha256"), "class_id", "copies", F.expr("array_join(transform(m, x -> x.told), ',')").alias("matches"))
 
 
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
