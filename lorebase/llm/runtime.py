@@ -6,12 +6,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Bytes that may be broadcast at once; operators have another way beyond it.
 MAX_BROADCAST_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches keep a Python worker's memory flat however long the texts are."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
