@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chroma, decontaminate, jaccard_join, license_scan, pii, piece_bpe, secret_scan, sharding, toxicity, url_rules
+from .oracle import ORACLE_SQL  # noqa: F401
 from .runtime import cut
 
 #: Where the public tokenizers' files are.
@@ -97,5 +98,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_benchmark_decontamination, op7_secret_novelty, op8_sentencepiece_codec, op9_url_rules, op10_ngram_jaccard_join,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

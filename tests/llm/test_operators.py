@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lorebase.llm import chroma, components, decontaminate, flat, jaccard_join, license_scan, pii, piece_bpe, runtime, secret_scan, sharding, toxicity, url_rules
 from lorebase.llm.queries import MODEL, QUERIES
 
+from .brute import brute_components, brute_contamination, lower
+
 SCHEMA = "doc_id long, text string, n long, key string, spans string, score string, shard string"
 LONG = "lorem ipsum dolor " * 20000
 
@@ -23,10 +25,6 @@ def table(spark, texts):
 EDGE = [(1, None), (2, ""), (3, "  \n "), (4, "one"), (4, "one"), (5, LONG), (6, "Ünïcode 漢字 😀"), (None, "no id"), (7, "a\x00b")]
 
 
-def lower(x):
-    return x.translate({c: c + 32 for c in range(65, 91)})
-
-
 def test_words_match_regex():
     texts = ["", "A b", "é漢 x1", " a", "b ", LONG, "\t\n", "x"] * 3
     for inside, pattern in ((flat.NON_SPACE, r"[^\x20\x09-\x0D]+"), (flat.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
@@ -37,23 +35,6 @@ def test_words_match_regex():
         assert got == [re.findall(pattern, lower(t)) for t in texts]
 
 
-def brute_components(rows):
-    sets = []
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
-        sets.append((i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
-    low = {i: i for i, _ in sets}
-    changed = True
-    while changed:
-        changed = False
-        for i, s in sets:
-            for j, t in sets:
-                if s and t and 100 * len(s & t) >= 80 * len(s | t) and low[i] > low[j]:
-                    low[i] = low[j]
-                    changed = True
-    return sorted((i, len(s), low[i]) for i, s in sets)
-
-
 def near_copies(seed, n, words, edits):
     rng = np.random.default_rng(seed)
     base = [f"w{x}" for x in rng.integers(0, 500, words)]
@@ -99,20 +80,6 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def brute_contamination(text, items):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    w = word.findall(lower(text or ""))
-    hit, found = set(), set()
-    for name, item in items:
-        x = word.findall(lower(item or ""))
-        for window in [x[i : i + 13] for i in range(len(x) - 12)] if len(x) >= 13 else [x] * bool(x):
-            for at in range(len(w) - len(window) + 1):
-                if w[at : at + len(window)] == window:
-                    hit |= set(range(at, at + len(window)))
-                    found.add(str(name))
-    return len(w), len(hit), sorted(found)
-
-
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination(spark, block):
     long = " ".join(f"q{i}" for i in range(30))
