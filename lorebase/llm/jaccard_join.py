@@ -264,11 +264,11 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
-def _linked(rows: DataFrame, similarity: int) -> DataFrame:
-    """(run, a, b): links within each run that parity sketches don't rule out, as few as join what they join.
+def _linked(rows: DataFrame, similarity: int, tries: int) -> DataFrame:
+    """(run, a, b): links within each run that parity sketches don't rule out, few that join all they may join.
 
     rows: run, key, n, parity, root (sets of one root are linked already), apart (keys known not to link with this one).
-    a comes before b by size and key.
+    a comes before b by size and key. A set gives up to `tries` links to each other root, which then counts as joined.
     """
 
     def links(name, held):
@@ -297,13 +297,17 @@ def _linked(rows: DataFrame, similarity: int) -> DataFrame:
                     half = wide.shape[1] // 2
                     matrix = np.concatenate((matrix, wide[:, :half] ^ wide[:, half:]))
             others = np.flatnonzero(root[i + 1 : hi] != root[i]) + i + 1
+            given: dict[int, int] = {}
             for lo in range(0, len(others), 50_000):
                 part = others[lo : lo + 50_000]
                 far = np.bitwise_count(matrix[part - base] ^ matrix[i - base]).sum(axis=1, dtype=np.int64)
                 for j in part[(100 + similarity) * far <= (100 - similarity) * (n[part] + n[i])].tolist():
-                    if root[j] != root[i] and key[i] not in (apart[j] or ()):
+                    other = int(root[j])
+                    if given.get(other, 0) < tries and key[i] not in (apart[j] or ()):
                         yield name, int(key[i]), int(key[j])
-                        root[root == root[j]] = root[i]
+                        given[other] = given.get(other, 0) + 1
+            if given:
+                root[np.isin(root, list(given))] = root[i]
 
     def run(batches):
         name, held, out = None, [], []
@@ -429,8 +433,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     sketches = base.select("key", "parity").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     rows = runs.join(sketches, "key").withColumn("root", F.col("key")).withColumn("apart", F.expr("cast(null as array<bigint>)"))
     links = wrong = None
+    tries = 1
     while True:
-        found = cut(_linked(rows, similarity))
+        found = cut(_linked(rows, similarity, tries))
         if links is not None and found.isEmpty():
             break
         pairs = found.select("a", "b").distinct()
@@ -441,12 +446,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         false = cut(found.join(sure, ["a", "b"], "left_anti"))
         if false.isEmpty():
             break
-        # a false link may have hidden others of its run: look at that run again, linked sets being one, without it
+        # a false link between sets that nothing else joins may have hidden others of its run: look at that run again,
+        # linked sets being one, without the false links and with more tries
+        roots = cut(components(links)).withColumnRenamed("node", "key")
         wrong = false.select("a", "b") if wrong is None else wrong.unionByName(false.select("a", "b"))
+        root_of = lambda end, df: df.join(roots.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))  # noqa: B023, E731
+        open_runs = root_of("a", root_of("b", false)).filter("root_a <> root_b").select("run").distinct()
         apart = wrong.groupBy(F.col("b").alias("key")).agg(F.collect_set("a").alias("apart"))
-        roots = cut(components(links)).withColumnRenamed("node", "key")
-        again = runs.join(false.select("run").distinct(), "run", "left_semi")
+        again = runs.join(open_runs, "run", "left_semi")
         rows = again.join(sketches, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(apart, "key", "left")
+        tries *= 8
     roots = components(links)
     least = classes.join(roots, classes["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("low"))
     linked = roots.join(least, "root").select(F.col("node").alias("key"), "low")
