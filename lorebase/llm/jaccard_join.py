@@ -268,7 +268,8 @@ def _linked(rows: DataFrame, similarity: int, tries: int) -> DataFrame:
     """(run, a, b): links within each run that parity sketches don't rule out, few that join all they may join.
 
     rows: run, key, n, parity, root (sets of one root are linked already), apart (keys known not to link with this one).
-    a comes before b by size and key. A set gives up to `tries` links to each other root, which then counts as joined.
+    a comes before b by size and key. With one try a link counts as true at once, so a run gives a spanning forest.
+    With more, links join nothing yet: two roots get up to `tries` links and a root 4 * tries, the rest in a later pass.
     """
 
     def links(name, held):
@@ -283,6 +284,7 @@ def _linked(rows: DataFrame, similarity: int, tries: int) -> DataFrame:
         level = _level(n)
         upto = np.searchsorted(n, 100 * n // similarity, "right")
         matrix, base, own = None, 0, -1
+        given: dict = {}
         for i in range(len(key) - 1):
             hi = int(upto[i])
             if hi <= i + 1 or not (root[i + 1 : hi] != root[i]).any():
@@ -297,17 +299,24 @@ def _linked(rows: DataFrame, similarity: int, tries: int) -> DataFrame:
                     half = wide.shape[1] // 2
                     matrix = np.concatenate((matrix, wide[:, :half] ^ wide[:, half:]))
             others = np.flatnonzero(root[i + 1 : hi] != root[i]) + i + 1
-            given: dict[int, int] = {}
+            own_root = int(root[i])
             for lo in range(0, len(others), 50_000):
                 part = others[lo : lo + 50_000]
                 far = np.bitwise_count(matrix[part - base] ^ matrix[i - base]).sum(axis=1, dtype=np.int64)
                 for j in part[(100 + similarity) * far <= (100 - similarity) * (n[part] + n[i])].tolist():
                     other = int(root[j])
-                    if given.get(other, 0) < tries and key[i] not in (apart[j] or ()):
+                    if key[i] in (apart[j] or ()):
+                        continue
+                    if tries == 1:
+                        if other != own_root:
+                            yield name, int(key[i]), int(key[j])
+                            root[root == other] = own_root
+                        continue
+                    both = (min(own_root, other), max(own_root, other))
+                    if given.get(both, 0) < tries and max(given.get(own_root, 0), given.get(other, 0)) < 4 * tries:
                         yield name, int(key[i]), int(key[j])
-                        given[other] = given.get(other, 0) + 1
-            if given:
-                root[np.isin(root, list(given))] = root[i]
+                        for x in (both, own_root, other):
+                            given[x] = given.get(x, 0) + 1
 
     def run(batches):
         name, held, out = None, [], []
@@ -432,7 +441,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     sketches = base.select("key", "parity").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     rows = runs.join(sketches, "key").withColumn("root", F.col("key")).withColumn("apart", F.expr("cast(null as array<bigint>)"))
-    links = wrong = None
+    links = wrong = open_runs = None
     tries = 1
     while True:
         found = cut(_linked(rows, similarity, tries))
@@ -444,18 +453,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         sure = cut(_verified(pairs, sets, similarity))
         links = sure if links is None else cut(links.unionByName(sure))
         false = cut(found.join(sure, ["a", "b"], "left_anti"))
-        if false.isEmpty():
+        if open_runs is None and false.isEmpty():
             break
-        # a false link between sets that nothing else joins may have hidden others of its run: look at that run again,
-        # linked sets being one, without the false links and with more tries
+        # a false link between sets that nothing else joins may have hidden others of its run: such runs are gone through
+        # again, linked sets being one and false links left out, until they give no new link
         roots = cut(components(links)).withColumnRenamed("node", "key")
         wrong = false.select("a", "b") if wrong is None else wrong.unionByName(false.select("a", "b"))
-        root_of = lambda end, df: df.join(roots.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))  # noqa: B023, E731
-        open_runs = root_of("a", root_of("b", false)).filter("root_a <> root_b").select("run").distinct()
+        if open_runs is None:
+            root_of = lambda end, df: df.join(roots.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))  # noqa: B023, E731
+            open_runs = cut(runs.join(root_of("a", root_of("b", false)).filter("root_a <> root_b").select("run").distinct(), "run", "left_semi"))
         apart = wrong.groupBy(F.col("b").alias("key")).agg(F.collect_set("a").alias("apart"))
-        again = runs.join(open_runs, "run", "left_semi")
-        rows = again.join(sketches, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(apart, "key", "left")
-        tries *= 8
+        rows = open_runs.join(sketches, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(apart, "key", "left")
+        tries *= 16
     roots = components(links)
     least = classes.join(roots, classes["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("low"))
     linked = roots.join(least, "root").select(F.col("node").alias("key"), "low")
