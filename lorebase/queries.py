@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as B
-from .functions import ids, vectors
-from .functions import text as T
-from .operators import graph, progress, resolution, search, store
 from .bindings import with_sql
+from .functions import chunker, ids, vectors
+from .functions import text as T
+from .operators import density, extraction, graph, progress, resolution, search, store, traces
+from .streaming import progress as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -433,3 +434,95 @@ def monitor_counters(spark, sf):
 @query(with_sql("ents") + "SELECT canonical_name, canonical_name || '; ' || array_to_string(aliases, ',') || '; ' || description AS text FROM ents")
 def graph_index_text(spark, sf):
     return B.entities(spark, sf).select("canonical_name", F.concat_ws("; ", "canonical_name", F.array_join("aliases", ","), "description").alias("text"))
+
+
+@query("""SELECT n_nationkey AS k, n_name AS name, 'nation' AS type, 'in ' || n_regionkey || '<|SEP|>x' AS description FROM nation""")
+def parse_entities(spark, sf):
+    n = B.table(spark, sf, "nation")
+    raw = F.concat(F.lit("entity<|sep?> "), "n_name", F.lit(" <|SEP|>nation<|SEP|>in "), "n_regionkey", F.lit("<|SEP|>x\nentity<|SEP|>short\n<|DONE|>\nentity<|SEP|>late<|SEP|>t<|SEP|>d"))
+    lines = extraction.tagged_lines(n.select(F.col("n_nationkey").alias("k"), raw.alias("raw")), ["k"])
+    return extraction.entities(lines, ["k"]).drop("line")
+
+
+@query("""SELECT n_nationkey AS k, n_name AS subject, r_name AS object, 'part of' AS description, 'PART_OF' AS relation_type, CASE WHEN n_nationkey % 2 = 0 THEN CAST(1 + n_nationkey % 10 AS INTEGER) ELSE -1 END AS confidence FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def parse_relations(spark, sf):
+    n, r = B.table(spark, sf, "nation"), B.table(spark, sf, "region")
+    j = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    conf = F.when(F.col("n_nationkey") % 2 == 0, (1 + F.col("n_nationkey") % 10).cast("string")).otherwise("high")
+    raw = F.concat(F.lit("relation<|SEP|>"), "n_name", F.lit("<|SEP|>"), "r_name", F.lit("<|SEP|>part of<|SEP|>PART_OF<|SEP|>"), conf, F.lit("\nrelation<|SEP|><|SEP|>x<|SEP|>d<|SEP|>t<|SEP|>1"))
+    lines = extraction.tagged_lines(j.select(F.col("n_nationkey").alias("k"), raw.alias("raw")), ["k"])
+    return extraction.relations(lines, ["k"]).drop("line").withColumn("confidence", F.coalesce("confidence", F.lit(-1)))
+
+
+@query("""SELECT n_nationkey AS k, error FROM nation, (VALUES ('line 1: invalid entity fields count=2'), ('line 3: unknown kind ''odd''')) e(error)""")
+def parse_errors(spark, sf):
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.lit("entity<|SEP|>a\n\nodd\nentity<|SEP|>a<|SEP|>b<|SEP|>c").alias("raw"))
+    return extraction.errors(extraction.tagged_lines(n, ["k"]), ["k"]).select("k", "error")
+
+
+@query("""SELECT n_nationkey AS k, 'entity<|SEP|>' || n_name || '<|SEP|>t<|SEP|>d' || chr(10) || 'note' || chr(10) || '<|DONE|>' AS text FROM nation""")
+def sanitize_output(spark, sf):
+    raw = F.concat(F.lit("Sure!\n<think>hm</think>\n```text\nentity<|SEP|>"), "n_name", F.lit("<|SEP|>t<|SEP|>d\n\n  note\n<|DONE|>\nrest\n```"))
+    return B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), T.sanitize_output(raw).alias("text"))
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN n > 1 THEN base || '#' || n ELSE base END AS flow_id FROM (SELECT c_custkey, '_:' || c_mktsegment AS base, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)""")
+def flow_nodes(spark, sf):
+    c = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.lit(None).cast("string").alias("id"), F.lit("").alias("doc_id"), F.col("c_mktsegment").alias("name"))
+    return traces.flow_nodes(c).select(F.col("pos").alias("k"), "flow_id")
+
+
+@query(with_sql("docs") + """SELECT group_id, count(*) AS total, count(*) FILTER (CAST(doc_id AS BIGINT) % 3 = 0) AS graph, count(*) FILTER (CAST(doc_id AS BIGINT) % 3 = 1) AS failed, count(*) FILTER (CAST(doc_id AS BIGINT) % 3 = 2) AS base, array_to_string(list(doc_id ORDER BY doc_time DESC, doc_id DESC)[1:3], ',') AS recent FROM docs GROUP BY 1""")
+def group_recent(spark, sf):
+    k = F.col("doc_id").cast("long") % 3
+    d = B.documents(spark, sf).withColumn("stage", F.when(k == 0, "graph_completed").when(k == 1, "graph_failed"))
+    return traces.group_summaries(d).withColumn("recent", F.array_join("recent", ","))
+
+
+@query(with_sql("chunks") + """, t AS (SELECT doc_id, chunk_id, task, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY u DESC) AS n FROM (SELECT doc_id, chunk_id, x.task, x.u FROM chunks, (VALUES ('first', 1), ('second', 2)) x(task, u) WHERE chunk_index % 2 = 0))
+SELECT c.chunk_id, CASE WHEN chunk_index % 3 = 0 THEN 'completed' ELSE 'pending' END AS status, task AS task_id FROM chunks c LEFT JOIN t ON c.chunk_id = t.chunk_id AND n = 1 WHERE group_id = 'src9'""")
+def chunk_progress(spark, sf):
+    c = B.chunks(spark, sf).filter("group_id = 'src9'")
+    cp = c.filter("chunk_index % 3 = 0").select("group_id", "doc_id", "chunk_id", F.lit("completed").alias("status"), F.lit("").alias("error"), F.lit("").alias("updated_at"))
+    t = c.filter("chunk_index % 2 = 0").select("group_id", "doc_id", "chunk_id", F.explode(F.array(F.struct(F.lit("first").alias("task_id"), F.lit("1").alias("updated_at")), F.struct(F.lit("second").alias("task_id"), F.lit("2").alias("updated_at")))).alias("x"))
+    tasks = t.select("group_id", "doc_id", "chunk_id", "x.*", F.lit("chunk_retry").alias("kind"), F.lit("running").alias("task_status"), F.lit("").alias("created_at"))
+    return traces.chunk_progress(c, cp, tasks).select("chunk_id", "status", "task_id")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf):
+    return stream.tumbling(B.table(spark, sf, "events"), "1 hour").withColumn("total", F.round("total", 2))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_session(spark, sf):
+    return stream.sessions(B.table(spark, sf, "events"), "30 minutes")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf):
+    return stream.deduplicated(B.table(spark, sf, "events").select("user_id", "event_type"), ["user_id", "event_type"])
+
+
+@query("""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'cancel_requested' ELSE 'cancelled' END WHEN o_orderkey % 3 = 1 THEN 'recovering' ELSE CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END END AS status, CAST(o_orderkey % 3 = 1 AS INTEGER) AS retry_count FROM orders""")
+def task_state_machine(spark, sf):
+    o = B.table(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending")
+    tasks = o.select(F.col("o_orderkey").alias("task_id"), status.alias("status"), F.lit(0).alias("retry_count"), F.lit(False).alias("cancel_requested"), F.lit("").alias("updated_at"))
+    asked = o.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderkey") % 3 == 0, "cancel").otherwise("resume").alias("action"), F.lit("1").alias("at"))
+    return stream.transition(tasks, asked).select("task_id", "status", "retry_count")
+
+
+@query()
+def chunk_documents(spark, sf):
+    """The chunker over whole documents; a sequential fold that SQL can't express."""
+    d = B.table(spark, sf, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return chunker.chunk_documents(d)
+
+
+@query()
+def clusters_density(spark, sf):
+    """Density clusters of the vectors of each label."""
+    e = B.table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("seq"), "embedding")
+    return density.density_clusters(e, ["label"]).select("label", "seq", "cluster")
