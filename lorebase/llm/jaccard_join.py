@@ -462,9 +462,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         if open_runs is None:
             root_of = lambda end, df: df.join(roots.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))  # noqa: B023, E731
             open_runs = cut(runs.join(root_of("a", root_of("b", false)).filter("root_a <> root_b").select("run").distinct(), "run", "left_semi"))
+        else:
+            open_runs = cut(open_runs.join(found.select("run").distinct(), "run", "left_semi"))  # a run without new links has none later
         apart = wrong.groupBy(F.col("b").alias("key")).agg(F.collect_set("a").alias("apart"))
         rows = open_runs.join(sketches, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(apart, "key", "left")
-        tries *= 16
+        tries *= 4
     roots = components(links)
     least = classes.join(roots, classes["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("low"))
     linked = roots.join(least, "root").select(F.col("node").alias("key"), "low")
