@@ -52,7 +52,9 @@ def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chroma.search(prints).groupBy(F.col("query_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("place", told.alias("told")))).alias("m"))  # at most three for each
     base = prints.select(F.col("media_id").alias("doc_id"), F.col("n").cast("long").alias("n_integers"), F.sha2("print", 256).alias("digest"))
     kinds = chroma.classes(prints)
-    out = base.join(kinds, "digest", "left").join(found, "doc_id", "left")
+    # recordings without integers have no class: they stay out of the join, as they may be most of all
+    heard = base.filter("n_integers > 0").join(kinds, "digest", "left").join(found, "doc_id", "left")
+    out = heard.unionByName(base.filter("n_integers = 0"), allowMissingColumns=True)
     return out.select("doc_id", "n_integers", F.col("digest").alias("print_sha256"), "class_id", "copies", F.expr("array_join(transform(m, x -> x.told), ',')").alias("matches"))
 
 
