@@ -99,11 +99,13 @@ def fingerprint(samples: np.ndarray, sound: Sound) -> np.ndarray:
 
 
 #: An alignment needs so many equal integers at its offset, and at most this share of different bits over the overlap.
-VOTES, BIT_ERRORS, TOP = 3, 0.30, 3
+VOTES, BIT_ERRORS = 3, 0.30
 #: Integers of the queries that are held by a worker at once.
 BLOCK_INTEGERS = 1_000_000
 #: Equal integers that are counted at once.
 HITS = 2_000_000
+#: Alignments that a task holds before it hands them on.
+ROWS = 10_000
 
 
 def _popcount(x: np.ndarray) -> int:
@@ -183,46 +185,60 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.filter("n > 0").groupBy(F.sha2("print", 256).alias("digest")).agg(F.min("media_id").alias("class_id"), F.count("*").alias("copies"))
 
 
-def search(prints: DataFrame, every: int = 50, top: int = TOP, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
-    """(query_id, match_id, copies, offset, votes, bit_errors, place): for each query its best alignments.
+def aligned(prints: DataFrame, every: int = 50, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
+    """(class_id, match_id, copies, offset, votes, bit_errors): all classes that align with a class that holds a query.
 
     Queries are the recordings whose id is divisible by `every`. Recordings with equal prints are one class, named by
-    its smallest id, with its number of rows; a query is matched with all classes but its own. Every query is held
-    against every class: queries go to the workers in blocks of bounded size, one after the other, and each task keeps
-    the `top` matches of a query (fewest bit errors, then most votes, then smallest id), so hot classes make no rows.
+    its smallest id, with its number of rows; a class isn't matched with itself. Every class that holds a query is held
+    against every class: the former go to the workers in blocks of bounded size, one after the other, and each task
+    writes alignments out as it finds them. Copies of a query or of a match make no rows.
     """
     spark = prints.sparkSession
-    heard = cut(prints.filter("n > 0 and media_id is not null").groupBy("print").agg(F.min("media_id").alias("match_id"), F.count("*").alias("copies"), F.min(F.when(F.col("media_id") % every == 0, F.col("media_id"))).alias("query_id")))
-    asked = heard.filter("query_id is not null").select("query_id", "match_id", "print")
+    heard = cut(prints.filter("n > 0 and media_id is not null").groupBy("print").agg(F.min("media_id").alias("match_id"), F.count("*").alias("copies"), F.max(F.col("media_id") % every == 0).alias("asked")))
+    asked = heard.filter("asked").select("match_id", "print")
     total = asked.agg(F.sum(F.octet_length("print"))).first()[0] or 0
     n_blocks = -(-total // (4 * block_integers)) or 1
-    schema = "query_id long, match_id long, copies long, offset int, votes int, bit_errors double"
+    schema = "class_id long, match_id long, copies long, offset int, votes int, bit_errors double"
     out = None
     for i in range(n_blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).orderBy("query_id").toArrow()  # about block_integers integers
-        shared = spark.sparkContext.broadcast((part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()))
+        part = asked.filter(F.pmod(F.xxhash64("match_id"), F.lit(n_blocks)) == i).orderBy("match_id").toArrow()  # about block_integers integers
+        shared = spark.sparkContext.broadcast((part.column(0).to_pylist(), part.column(1).to_pylist()))
 
         def run(batches, shared=shared):
-            ids, own, raw = shared.value
+            ids, raw = shared.value
             held = Recordings(ids, [np.frombuffer(x, np.uint32) for x in raw])
-            best: dict[int, list] = {}
+            rows = []
+
+            def flush():
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+                columns = list(zip(*rows)) if rows else [[]] * 6
+                rows.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
             for batch in batches:
                 for data, match, copies in zip(*(c.to_pylist() for c in batch.columns)):
                     for q, o, v, wrong in held.align(np.frombuffer(data, np.uint32)):
-                        if own[q] != match:
-                            mine = best.setdefault(q, [])
-                            mine.append((wrong, -v, match, copies, o))
-                            if len(mine) > 8 * top:
-                                mine.sort()
-                                del mine[top:]
-            rows = [(ids[q], m, c, o, -v, wrong) for q, mine in best.items() for wrong, v, m, c, o in sorted(mine)[:top]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                        if ids[q] != match:
+                            rows.append((ids[q], match, copies, o, v, wrong))
+                        if len(rows) >= ROWS:
+                            yield flush()
+            yield flush()
 
         found = heard.select("print", "match_id", "copies").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy("bit_errors", F.desc("votes"), "match_id")
-    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    return out
 
 
+def search(prints: DataFrame, every: int = 50, top: int | None = None, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
+    """(query_id, match_id, copies, offset, votes, bit_errors): the alignments of every query, those of its class.
+
+    With `top`, only so many of each query (fewest bit errors, then most votes, then smallest id), and their place.
+    """
+    found = cut(aligned(prints, every, block_integers))
+    asked = prints.filter((F.col("media_id") % every == 0) & (F.col("n") > 0)).select(F.col("media_id").alias("query_id"), F.sha2("print", 256).alias("digest")).distinct()
+    kinds = classes(prints.filter("media_id is not null")).select("digest", "class_id")
+    out = asked.join(kinds, "digest").join(found, "class_id").select("query_id", "match_id", "copies", "offset", "votes", "bit_errors")
+    if top is None:
+        return out
+    order = Window.partitionBy("query_id").orderBy("bit_errors", F.desc("votes"), "match_id")
+    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)

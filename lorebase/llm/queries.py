@@ -45,15 +45,18 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has sound, so each text is played: its UTF-8 bytes are the samples of a recording.
 
-    One row for each document; those divisible by 50 are queries, with their best alignments (id:offset:votes:errors).
+    One row for each document; those divisible by 50 are queries, with all alignments of their class
+    (id:offset:votes:errors, fewest errors first).
     """
     prints = cut(chroma.fingerprints(_documents(spark, sf_dir), chroma.BYTES_AS_SOUND, "text", "doc_id"))
     told = F.concat_ws(":", "match_id", "offset", "votes", F.format_number("bit_errors", 4))
-    found = chroma.search(prints).groupBy(F.col("query_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("place", told.alias("told")))).alias("m"))  # at most three for each
+    best = F.array_sort(F.collect_list(F.struct("bit_errors", (-F.col("votes")).alias("fewer"), "match_id", told.alias("told"))))
+    found = chroma.aligned(prints).groupBy("class_id").agg(best.alias("m"))
     base = prints.select(F.col("media_id").alias("doc_id"), F.col("n").cast("long").alias("n_integers"), F.sha2("print", 256).alias("digest"))
-    kinds = chroma.classes(prints)
+    # a class has its alignments once, and gives them to all its queries
+    kinds = chroma.classes(prints).join(found, "class_id", "left")
     # recordings without integers have no class: they stay out of the join, as they may be most of all
-    heard = base.filter("n_integers > 0").join(kinds, "digest", "left").join(found, "doc_id", "left")
+    heard = base.filter("n_integers > 0").join(kinds, "digest", "left").withColumn("m", F.when(F.col("doc_id") % 50 == 0, F.col("m")))
     out = heard.unionByName(base.filter("n_integers = 0"), allowMissingColumns=True)
     return out.select("doc_id", "n_integers", F.col("digest").alias("print_sha256"), "class_id", "copies", F.expr("array_join(transform(m, x -> x.told), ',')").alias("matches"))
 

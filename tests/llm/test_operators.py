@@ -243,6 +243,24 @@ def test_chroma(spark):
     assert chroma.search(prints.limit(0)).count() == 0
 
 
+def prints_of(spark, rows):
+    return spark.createDataFrame([(i, np.array(p, np.uint32).tobytes(), len(p)) for i, p in rows], "media_id long, print binary, n int")
+
+
+def test_chroma_all_matches(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
+    copies = [base.copy() for _ in range(30)]
+    for i, p in enumerate(copies):
+        p[i] ^= 1
+    prints = prints_of(spark, [(50, base), (100, base), (7, base)] + [(1000 + 50 * (i == 0) + i, p) for i, p in enumerate(copies)])
+    got = {(r.query_id, r.match_id) for r in chroma.search(prints).collect()}
+    others = {1000 + 50 * (i == 0) + i for i in range(30)}
+    want = {(q, m) for q in (50, 100) for m in others} | {(1050, m) for m in (others | {7}) - {1050}}
+    assert got == want
+    assert {r.place for r in chroma.search(prints, top=2).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, sf, name):
     got = QUERIES[name](spark, sf)
