@@ -35,6 +35,10 @@ class Sound:
     hop: int = 1365
     low: float = 28.0
     high: float = 3520.0
+    #: A shorter recording, unless empty, is followed by silence (its mean) up to so many samples.
+    least: int = 0
+    #: As LEVELS, for these frames.
+    levels: tuple = tuple(LEVELS)
 
     def classes(self) -> np.ndarray:
         """The pitch class of each spectrum line, -1 outside low to high."""
@@ -44,8 +48,16 @@ class Sound:
         return np.where((hz >= self.low) & (hz <= self.high), note, -1)
 
 
-#: One byte a sample at so low a rate that a text of a few hundred bytes fills the widest filter.
-BYTES_AS_SOUND = Sound(rate=690, frame=256, hop=85, low=28.0, high=345.0)
+#: One byte a sample at so low a rate that 272 bytes make three integers; shorter texts go on with silence till there.
+BYTES_AS_SOUND = Sound(
+    rate=690, frame=64, hop=16, low=28.0, high=345.0, least=64 + 16 * (WIDTH + 1),
+    levels=(
+        (-0.114, 0.068, 0.251), (-0.224, -0.029, 0.182), (0.292, 0.466, 0.645), (-0.348, -0.159, 0.041),
+        (-0.044, 0.0, 0.043), (-0.104, 0.0, 0.103), (-0.08, 0.0, 0.08), (-0.103, 0.0, 0.103),
+        (-0.133, 0.0, 0.132), (-0.134, 0.0, 0.135), (-0.129, 0.0, 0.128), (-0.13, 0.0, 0.132),
+        (-0.036, 0.001, 0.037), (-0.094, 0.0, 0.094), (-0.073, 0.0, 0.073), (-0.097, 0.0, 0.097),
+    ),
+)
 
 
 def chroma(samples: np.ndarray, sound: Sound) -> np.ndarray:
@@ -66,7 +78,7 @@ def chroma(samples: np.ndarray, sound: Sound) -> np.ndarray:
     return np.where(norm > 1e-9, out / np.maximum(norm, 1e-9), 0.0)
 
 
-def pack(frames: np.ndarray) -> np.ndarray:
+def pack(frames: np.ndarray, every: tuple = tuple(LEVELS)) -> np.ndarray:
     """One 32-bit integer for each run of WIDTH frames, from area sums of the integral image."""
     n = len(frames) - WIDTH + 1
     if n <= 0:
@@ -79,7 +91,7 @@ def pack(frames: np.ndarray) -> np.ndarray:
         return (b[:, y + h] - a[:, y + h]) - (b[:, y] - a[:, y])
 
     out = np.zeros(n, np.uint32)
-    for (kind, y, h, w), levels in zip(FILTERS, LEVELS):
+    for (kind, y, h, w), levels in zip(FILTERS, every):
         whole = area(0, w, y, h)
         if kind == 0:  # one half of the classes against the other
             part = area(0, w, y, h // 2)
@@ -95,7 +107,10 @@ def pack(frames: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(samples: np.ndarray, sound: Sound) -> np.ndarray:
-    return pack(chroma(samples.astype(np.float64), sound))
+    samples = samples.astype(np.float64)
+    if 0 < len(samples) < sound.least:
+        samples = np.pad(samples, (0, sound.least - len(samples)), constant_values=samples.mean())
+    return pack(chroma(samples, sound), sound.levels)
 
 
 #: An alignment needs so many equal integers at its offset, and at most this share of different bits over the overlap.
@@ -167,8 +182,8 @@ class Recordings:
 def fingerprints(media: DataFrame, sound: Sound, data: str = "data", media_id: str = "media_id") -> DataFrame:
     """(media_id, print, n) for every row with 8-bit unsigned samples in a binary column; print is 32-bit integers.
 
-    Null, empty and short recordings (fewer samples than the widest filter needs) have an empty print, n = 0. Repeated
-    rows are kept; empty tables give no rows; other columns are ignored.
+    Null and empty recordings, and those too short for the widest filter where sound.least adds no silence, have an
+    empty print, n = 0. Repeated rows are kept; empty tables give no rows; other columns are ignored.
     """
     prepare(media.sparkSession)
 

@@ -261,6 +261,19 @@ def test_chroma_all_matches(spark):
     assert {r.place for r in chroma.search(prints, top=2).collect()} == {1, 2}
 
 
+def test_chroma_short_texts(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    long = say(80)
+    texts = [(50, long), (51, long[:-40] + "another end." + long[-28:]), (52, say(80)), (100, "a short one"), (101, "a short one"), (102, "x"), (103, say(30)), (104, ""), (105, None)]
+    prints = chroma.fingerprints(spark.createDataFrame(texts, "doc_id long, text string"), chroma.BYTES_AS_SOUND, "text", "doc_id")
+    n = {r.media_id: r.n for r in prints.collect()}
+    assert n[104] == n[105] == 0 and min(v for i, v in n.items() if i < 104) >= chroma.VOTES and n[50] > 10
+    assert {(r.class_id, r.copies) for r in chroma.classes(prints).collect()} == {(50, 1), (51, 1), (52, 1), (100, 2), (102, 1), (103, 1)}
+    assert {(r.query_id, r.match_id, r.offset) for r in chroma.search(prints).collect()} == {(50, 51, 0)}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, sf, name):
     got = QUERIES[name](spark, sf)
