@@ -113,10 +113,15 @@ def fingerprint(samples: np.ndarray, sound: Sound) -> np.ndarray:
     return pack(chroma(samples, sound), sound.levels)
 
 
-#: An alignment needs so many equal integers at its offset, and at most this share of different bits over the overlap.
+#: An alignment needs so many equal (or near-equal, where asked for) integers at its offset, and at most this share of
+#: different bits over the overlap.
 VOTES, BIT_ERRORS = 3, 0.30
 #: Integers of the queries that are held by a worker at once.
 BLOCK_INTEGERS = 1_000_000
+#: The integers within one bit of x are x ^ FLIPS.
+FLIPS = np.concatenate(([0], 1 << np.arange(32))).astype(np.uint32)
+#: Integers that are looked up at once.
+PROBES = 20_000
 #: Equal integers that are counted at once.
 HITS = 2_000_000
 #: Alignments that a task holds before it hands them on.
@@ -135,7 +140,8 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Recordings:
     """Queries, indexed by integer: finds those that align with a recording."""
 
-    def __init__(self, ids: list[int], prints: list[np.ndarray]):
+    def __init__(self, ids: list[int], prints: list[np.ndarray], near: bool = False):
+        self.flips = FLIPS if near else FLIPS[:1]
         self.ids, self.prints = ids, prints
         size = np.array([len(p) for p in prints], np.int64)
         value = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
@@ -143,40 +149,67 @@ class Recordings:
         self.value = value[order]
         self.owner = np.repeat(np.arange(len(prints)), size)[order]
         self.place = (np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size))[order]
+        # by hash: whether an integer votes for any of them (at times told of another)
+        self.shift = np.uint32(32 - min(27, (len(self.flips) * len(value)).bit_length() + 2))
+        self.near = np.zeros(1 << (32 - int(self.shift)), bool)
+        own = np.unique(value)
+        for flip in self.flips:
+            self.near[self._slot(own ^ flip)] = True
+
+    def _slot(self, value: np.ndarray) -> np.ndarray:
+        return (value * np.uint32(2654435761)) >> self.shift
+
+    def _found(self, other: np.ndarray):
+        """(place in other, first and number of equal integers in the index) for each integer that votes."""
+        at = np.flatnonzero(self.near[self._slot(other)])
+        for lo in range(0, len(at), PROBES):
+            part = at[lo : lo + PROBES]
+            probe = (other[part, None] ^ self.flips).ravel()
+            low = np.searchsorted(self.value, probe, "left")
+            hit = np.flatnonzero(self.value[np.minimum(low, len(self.value) - 1)] == probe)
+            if len(hit):
+                yield part[hit // len(self.flips)], low[hit], np.searchsorted(self.value, probe[hit], "right") - low[hit]
 
     def align(self, other: np.ndarray, votes: int = VOTES, errors: float = BIT_ERRORS):
         """(query number, offset, votes, bit errors) of the best offset of each query that aligns.
 
-        The offset is the place in `other` less that in the query; the histogram of offsets is led by votes, ties going
-        to the smaller distance, then the smaller offset.
+        The offset is the place in `other` less that in the query. Votes are equal integers at an offset, or those of at
+        most one different bit if the index is `near`. Every offset with enough votes is tested; the best has fewest bit errors, ties going to more votes,
+        then the smaller distance, then the smaller offset.
         """
-        low = np.searchsorted(self.value, other, "left")
-        count = np.searchsorted(self.value, other, "right") - low
-        keys, counts, begin = [], [], 0
-        while begin < len(other):
-            # slices of bounded size, however often an integer repeats
-            end = begin + max(1, int(np.searchsorted(np.cumsum(count[begin:]), HITS, "right")))
-            c = count[begin:end]
-            total = int(c.sum())
-            if total:
-                at = np.arange(total) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:end], c)
-                k, m = np.unique(self.owner[at] * (1 << 32) + (np.repeat(np.arange(begin, begin + len(c)), c) - self.place[at] + (1 << 31)), return_counts=True)
+        keys, counts = [], []
+        for place, low, count in self._found(other):
+            begin = 0
+            while begin < len(place):
+                # slices of bounded size, however often an integer repeats
+                end = begin + max(1, int(np.searchsorted(np.cumsum(count[begin:]), HITS, "right")))
+                c = count[begin:end]
+                at = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:end], c)
+                k, m = np.unique(self.owner[at] * (1 << 32) + (np.repeat(place[begin:end], c) - self.place[at] + (1 << 31)), return_counts=True)
                 keys.append(k)
                 counts.append(m)
-            begin = end
+                begin = end
         if not keys:
             return
         key, n = (keys[0], counts[0]) if len(keys) == 1 else _summed(np.concatenate(keys), np.concatenate(counts))
         key, n = key[n >= votes], n[n >= votes]
         query, offset = key >> 32, (key & ((1 << 32) - 1)) - (1 << 31)
         order = np.lexsort((offset, np.abs(offset), -n, query))
-        first = order[np.concatenate(([True], np.diff(query[order]) > 0))] if len(order) else order
-        for q, o, v in zip(query[first].tolist(), offset[first].tolist(), n[first].tolist()):
+        last, best = -1, None
+        for q, o, v in zip(query[order].tolist(), offset[order].tolist(), n[order].tolist()):
+            if q != last:
+                if best:
+                    yield last, *best
+                last, best = q, None
+            if best and not best[2]:
+                continue  # nothing has fewer errors than none
             mine = self.prints[q]
             a, b = max(0, -o), min(len(mine), len(other) - o)
             wrong = _popcount(mine[a:b] ^ other[a + o : b + o]) / (32 * (b - a))
-            if wrong <= errors:
-                yield q, o, v, wrong
+            if wrong <= errors and (not best or wrong < best[2]):
+                best = o, v, wrong
+        if best:
+            yield last, *best
 
 
 def fingerprints(media: DataFrame, sound: Sound, data: str = "data", media_id: str = "media_id") -> DataFrame:
@@ -200,13 +233,13 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.filter("n > 0").groupBy(F.sha2("print", 256).alias("digest")).agg(F.min("media_id").alias("class_id"), F.count("*").alias("copies"))
 
 
-def aligned(prints: DataFrame, every: int = 50, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
+def aligned(prints: DataFrame, every: int = 50, block_integers: int = BLOCK_INTEGERS, near: bool = False) -> DataFrame:
     """(class_id, match_id, copies, offset, votes, bit_errors): all classes that align with a class that holds a query.
 
     Queries are the recordings whose id is divisible by `every`. Recordings with equal prints are one class, named by
     its smallest id, with its number of rows; a class isn't matched with itself. Every class that holds a query is held
     against every class: the former go to the workers in blocks of bounded size, one after the other, and each task
-    writes alignments out as it finds them. Copies of a query or of a match make no rows.
+    writes alignments out as it finds them. With `near`, integers of at most one different bit vote too. Copies of a query or of a match make no rows.
     """
     spark = prints.sparkSession
     heard = cut(prints.filter("n > 0 and media_id is not null").groupBy("print").agg(F.min("media_id").alias("match_id"), F.count("*").alias("copies"), F.max(F.col("media_id") % every == 0).alias("asked")))
@@ -221,7 +254,7 @@ def aligned(prints: DataFrame, every: int = 50, block_integers: int = BLOCK_INTE
 
         def run(batches, shared=shared):
             ids, raw = shared.value
-            held = Recordings(ids, [np.frombuffer(x, np.uint32) for x in raw])
+            held = Recordings(ids, [np.frombuffer(x, np.uint32) for x in raw], near)
             rows = []
 
             def flush():
@@ -244,12 +277,12 @@ def aligned(prints: DataFrame, every: int = 50, block_integers: int = BLOCK_INTE
     return out
 
 
-def search(prints: DataFrame, every: int = 50, top: int | None = None, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
+def search(prints: DataFrame, every: int = 50, top: int | None = None, block_integers: int = BLOCK_INTEGERS, near: bool = False) -> DataFrame:
     """(query_id, match_id, copies, offset, votes, bit_errors): the alignments of every query, those of its class.
 
     With `top`, only so many of each query (fewest bit errors, then most votes, then smallest id), and their place.
     """
-    found = cut(aligned(prints, every, block_integers))
+    found = cut(aligned(prints, every, block_integers, near))
     asked = prints.filter((F.col("media_id") % every == 0) & (F.col("n") > 0)).select(F.col("media_id").alias("query_id"), F.sha2("print", 256).alias("digest")).distinct()
     kinds = classes(prints.filter("media_id is not null")).select("digest", "class_id")
     out = asked.join(kinds, "digest").join(found, "class_id").select("query_id", "match_id", "copies", "offset", "votes", "bit_errors")

@@ -51,7 +51,7 @@ def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(chroma.fingerprints(_documents(spark, sf_dir), chroma.BYTES_AS_SOUND, "text", "doc_id"))
     told = F.concat_ws(":", "match_id", "offset", "votes", F.format_number("bit_errors", 4))
     best = F.array_sort(F.collect_list(F.struct("bit_errors", (-F.col("votes")).alias("fewer"), "match_id", told.alias("told"))))
-    found = chroma.aligned(prints).groupBy("class_id").agg(best.alias("m"))
+    found = chroma.aligned(prints, near=True).groupBy("class_id").agg(best.alias("m"))
     base = prints.select(F.col("media_id").alias("doc_id"), F.col("n").cast("long").alias("n_integers"), F.sha2("print", 256).alias("digest"))
     # a class has its alignments once, and gives them to all its queries
     kinds = chroma.classes(prints).join(found, "class_id", "left")
