@@ -28,8 +28,10 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 BASE = KINDS[:3]
 
-#: A candidate of the method: so long a string that mixes letters and digits, so near after a sensitive word.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,512}(?![A-Za-z0-9+/_=-])")
+#: A candidate of the method: a whole run, however long, of at least twelve characters that mixes letters and digits and
+#: begins so near after a sensitive word.
+_BEGIN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]")
+_CANDIDATE = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
 _SENSITIVE = re.compile(r"pass|secret|token|key|credential|auth|private|bearer|signature", re.IGNORECASE)
 NEAR, AROUND = 48, 512
 #: Marginal compressed bytes for each character of the candidate from which on it is reported.
@@ -73,10 +75,11 @@ def spans(text: str | None, dictionary: str = CODE, threshold: float = NOVELTY)
     starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     last = -1
     for sense in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, sense.end(), min(len(text), sense.end() + NEAR + 512)):
+        for begin in _BEGIN.finditer(text, sense.end(), min(len(text), sense.end() + NEAR + 1)):
+            m = _CANDIDATE.match(text, begin.start())
+            if not m:
+                continue
             a, b = m.span()
-            if a - sense.end() > NEAR:
-                break
             before = bisect_left(starts, b)
             if a <= last or before and ends[before - 1] > a:
                 continue

@@ -243,6 +243,17 @@ def test_chroma(spark):
     assert chroma.search(prints.limit(0)).count() == 0
 
 
+def test_long_secrets():
+    rng = np.random.default_rng(9)
+    for n in (12, 511, 512, 513, 560, 600, 1600, 50_000):
+        run = "Qz7" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n - 3))
+        for gap in (1, 20, 48):
+            text = "private" + " " * gap + run + " and so on"
+            assert [(a, b, k) for a, b, k, _ in secret_scan.spans(text)] == [(7 + gap, 7 + gap + n, "novel")], (n, gap)
+        assert secret_scan.spans("private" + " " * 49 + run) == []
+    assert secret_scan.spans("private " + "x" * 100_000) == []
+
+
 def prints_of(spark, rows):
     return spark.createDataFrame([(i, np.array(p, np.uint32).tobytes(), len(p)) for i, p in rows], "media_id long, print binary, n int")
 
