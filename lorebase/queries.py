@@ -298,8 +298,18 @@ def align_vector(spark, sf):
 @query("""WITH k AS (SELECT s_name, p_name, l_partkey + l_linenumber AS c, l_shipmode FROM (SELECT *, 'x' AS l_shipmode FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_partkey <= 50)
 SELECT s_name AS subject, p_name AS object, CAST(max(c) AS INTEGER) AS confidence FROM k GROUP BY 1, 2""")
 def relation_merge(spark, sf):
-    l, s, p = (B.table(spark, sf, t) for t in ("lineitem", "supplier", "part"))
-    r = l.filter("l_partkey <= 50").join(s, l["l_suppkey"] == s["s_suppkey"]).join(p, l["l_partkey"] == p["p_partkey"])
+    return _relation_merge(spark, sf, B.table(spark, sf, "lineitem").filter("l_partkey <= 50"))
+
+
+@query()
+def relation_merge_whole(spark, sf):
+    """relation_merge over all of lineitem; held against brute force, not SQL."""
+    return _relation_merge(spark, sf, B.table(spark, sf, "lineitem"))
+
+
+def _relation_merge(spark, sf, l):
+    s, p = (B.table(spark, sf, t) for t in ("supplier", "part"))
+    r = l.join(s, l["l_suppkey"] == s["s_suppkey"]).join(p, l["l_partkey"] == p["p_partkey"])
     r = r.select(F.lit("g").alias("group_id"), F.upper("s_name").alias("subject"), F.concat(F.lit(" "), "p_name").alias("object"), F.lit("SUPPLIES").alias("relation_type"), F.lit("x").alias("description"), (F.col("l_partkey") + F.col("l_linenumber")).cast("int").alias("confidence"))
     ent = s.select(F.lit("g").alias("group_id"), F.col("s_name").alias("canonical_name"), F.concat(F.lit("s"), "s_suppkey").alias("global_entity_id")).unionByName(p.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(F.lit("g").alias("group_id"), F.col("p_name").alias("canonical_name"), F.concat(F.lit("p"), "k").alias("global_entity_id")))
     return resolution.merge_relations(r, ent).select("subject", "object", "confidence")
