@@ -288,10 +288,20 @@ def align_exact(spark, sf):
 p AS (SELECT vec_id, oid, round(list_cosine_similarity(embedding::DOUBLE[], oe::DOUBLE[]), 6) AS s FROM n, o WHERE label = olabel),
 b AS (SELECT vec_id, max(s) AS s FROM p GROUP BY vec_id) SELECT n.vec_id AS seq, CASE WHEN s >= 0.9 THEN 'vector_match' WHEN s >= 0.85 THEN 'candidate' ELSE 'create_global' END AS method, round(s, 4) AS score FROM n LEFT JOIN b USING (vec_id)""")
 def align_vector(spark, sf):
+    return _align_vector(spark, sf, "vec_id % 50 = 7", "vec_id % 5 = 0")
+
+
+@query()
+def align_vector_whole(spark, sf):
+    """Ids divisible by 50 against all other rows; held against brute force, not SQL."""
+    return _align_vector(spark, sf, "vec_id % 50 = 0", "vec_id % 50 <> 0")
+
+
+def _align_vector(spark, sf, asked, known):
     e = B.table(spark, sf, "embeddings")
     shape = [F.col("vec_id").alias("seq"), F.lit("g").alias("group_id"), F.col("label").cast("string").alias("type"), F.array().cast("array<string>").alias("aliases"), "embedding"]
-    new = e.filter("vec_id % 50 = 7").select(*shape, F.concat(F.lit("new "), "vec_id").alias("canonical_name"))
-    old = e.filter("vec_id % 5 = 0").select(*shape, F.concat(F.lit("old "), "vec_id").alias("canonical_name"), F.concat(F.lit("g"), "vec_id").alias("global_entity_id"))
+    new = e.filter(asked).select(*shape, F.concat(F.lit("new "), "vec_id").alias("canonical_name"))
+    old = e.filter(known).select(*shape, F.concat(F.lit("old "), "vec_id").alias("canonical_name"), F.concat(F.lit("g"), "vec_id").alias("global_entity_id"))
     return resolution.align(new, old).select("seq", "method", F.round("score", 4).alias("score"))
 
 
