@@ -327,8 +327,18 @@ def _relation_merge(spark, sf, l):
 
 @query(with_sql("chunks") + "SELECT chunk_id, n_name AS entity_name, left(text, 1000) AS evidence_text, 'l' || n_nationkey AS local_entity_id, 'g' || n_nationkey AS global_entity_id FROM chunks, nation WHERE chunk_index = 0 AND len(doc_id) % 25 = n_nationkey")
 def entity_mentions(spark, sf):
+    return _entity_mentions(spark, sf, B.chunks(spark, sf).filter("chunk_index = 0"))
+
+
+@query()
+def entity_mentions_whole(spark, sf):
+    """entity_mentions in all chunks; held against brute force, not SQL."""
+    return _entity_mentions(spark, sf, B.chunks(spark, sf))
+
+
+def _entity_mentions(spark, sf, chunks):
     n = B.table(spark, sf, "nation")
-    c = B.chunks(spark, sf).filter("chunk_index = 0").join(F.broadcast(n), F.length("doc_id") % 25 == n["n_nationkey"])
+    c = chunks.join(F.broadcast(n), F.length("doc_id") % 25 == n["n_nationkey"])
     found = c.select(F.lit("g").alias("group_id"), F.lit("d").alias("doc_id"), "chunk_id", F.col("n_name").alias("name"), F.col("text").alias("chunk_text"))
     amap = n.select(F.lit("g").alias("group_id"), F.lower("n_name").alias("alias"), F.col("n_name").alias("canonical_name"))
     local = n.select(F.lit("g").alias("group_id"), F.lit("d").alias("doc_id"), F.col("n_name").alias("canonical_name"), F.concat(F.lit("l"), "n_nationkey").alias("entity_id"))
@@ -349,6 +359,12 @@ def basic_clean(spark, sf):
     return d.select("doc_id", T.basic_clean(F.col("text")).alias("text"))
 
 
+@query()
+def basic_clean_whole(spark, sf):
+    """All texts, also those with CR, tabs and outer line ends; held against brute force, not SQL."""
+    return B.table(spark, sf, "documents").select("doc_id", T.basic_clean(F.col("text")).alias("text"))
+
+
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[\\x{4e00}-\\x{9fff}]')) AS tokens, (len(text) - len(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) + CAST(ceil(len(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 4.0) AS BIGINT) AS agent_tokens FROM documents""")
 def token_counts(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"), T.agent_tokens(F.col("text")).alias("agent_tokens"))
@@ -369,6 +385,12 @@ def chunk_lines_fallback(spark, sf):
     return B.chunks(spark, sf).filter("chunk_index < 3").select("doc_id", "chunk_id", "text")
 
 
+@query()
+def chunk_lines_fallback_whole(spark, sf):
+    """All lines of each document; held against brute force, not SQL."""
+    return B.chunks(spark, sf).select("doc_id", "chunk_id", "text")
+
+
 _NORM = "CASE WHEN lower(trim(status)) IN ('completed','done','success','succeeded') THEN 'completed' WHEN lower(trim(status)) IN ('failed','error') THEN 'failed' WHEN lower(trim(status)) IN ('running','processing','in_progress','active') THEN 'running' WHEN lower(trim(status)) IN ('pending','queued','waiting') THEN 'pending' ELSE coalesce(nullif(lower(trim(status)), ''), 'pending') END"
 
 
@@ -425,8 +447,18 @@ def plan_dedupe_limit(spark, sf):
 @query("""WITH e AS (SELECT s_name AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 5), r AS (SELECT n_name AS h, r_name AS t, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey),
 a AS (SELECT 0 AS part, pos, 0 AS side, name FROM e UNION ALL SELECT 1, pos, 0, h FROM r UNION ALL SELECT 1, pos, 1, t FROM r) SELECT name, CAST(min(part) AS INTEGER) AS part FROM a GROUP BY name ORDER BY min(part * 1000000 + pos * 10 + side), name LIMIT 8""")
 def seed_pick(spark, sf):
-    s, n, r = (B.table(spark, sf, t) for t in ("supplier", "nation", "region"))
-    e = s.filter("s_suppkey <= 5").select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("name"))
+    return _seed_pick(spark, sf, B.table(spark, sf, "supplier").filter("s_suppkey <= 5"))
+
+
+@query()
+def seed_pick_whole(spark, sf):
+    """seed_pick with all suppliers as seeds; held against brute force, not SQL."""
+    return _seed_pick(spark, sf, B.table(spark, sf, "supplier"))
+
+
+def _seed_pick(spark, sf, s):
+    n, r = (B.table(spark, sf, t) for t in ("nation", "region"))
+    e = s.select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("name"))
     rel = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("head_name"), F.col("r_name").alias("tail_name"))
     return progress.pick_names(e, rel).select("name", "part")
 
