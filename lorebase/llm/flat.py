@@ -35,6 +35,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def changes(s: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it (the first does)."""
+    out = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=out[1:])
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct integers, by a sort: numpy's own unique hashes integers, which takes many times as long."""
+    s = np.sort(x)
+    return s[changes(s)]
+
+
 @dataclass
 class Words:
     """Words of the texts of one block: `first[i]:first[i + 1]` are the words of text i."""

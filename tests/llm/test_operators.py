@@ -47,9 +47,11 @@ def near_copies(seed, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("bits", [13, 1])
-def test_jaccard_components(spark, monkeypatch, bits):
+@pytest.mark.parametrize(("bits", "rows", "shingles"), [(13, 2048, 1 << 20), (1, 2048, 1 << 20), (13, 5, 1 << 20), (13, 2048, 500)])
+def test_jaccard_components(spark, monkeypatch, bits, rows, shingles):
     monkeypatch.setattr(jaccard_join, "FREQUENT_BITS", bits)  # 1: every shingle is of the frequent class
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", rows)  # 5: entries and blobs are split
+    monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", shingles)
     texts = near_copies(1, 30, 60, 4) + near_copies(2, 12, 200, 12) + near_copies(3, 8, 9, 1) + ["a b c d", "a b c d", "A B c d", "a b c d e", "x", "x"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, " \n")]
     got = jaccard_join.jaccard_components(table(spark, rows))
