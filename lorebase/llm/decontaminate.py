@@ -1,9 +1,9 @@
 """Benchmark decontamination: a prefix-filtered containment join of item-sized word windows with whole documents.
 
 A window (13 consecutive item words, or a shorter item as a whole) must be contained word for word, so of its shingles,
-ordered by rarity over all documents, the rarest alone is a necessary prefix. Documents are probed with that one
-shingle; its place in the window bounds where the window must start and end in the document (positional and length
-bound), and the words there are compared one by one.
+ordered by rarity over all documents, the rarest alone is a necessary prefix. Documents are probed with those shingles
+only; the places that a shingle has in its windows bound where a window must start and end in the document (positional
+and length bound). What the words there hash to fetches the one window they may be, and they are compared with it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import cut, prepare
+from .runtime import prepare
 
 WINDOW = 13
 #: Words of the shingles that are ordered by rarity (shorter windows use their whole length).
@@ -23,14 +23,25 @@ SHINGLE = 4
 BLOCK_BYTES = 4 << 20
 
 _SPANS = "array<struct<start:int,end:int>>"
+#: What a pass adds to the rows: number of words, maximal runs of hit words, ids of items.
+_FOUND = {"__n_words": "long", "__spans": _SPANS, "__items": "array<string>"}
+_KINDS = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
+def _shingle_length(size: int) -> int:
+    return min(SHINGLE, size)
 
 
 class _Items:
-    """Windows of one block of items and, after `choose`, the index from their rarest shingle."""
+    """Distinct windows of one block of items by their hash and, after `choose`, the index from their rarest shingles."""
 
-    def __init__(self, ids: list[str], texts: pa.Array, window: int):
-        self.ids, self.words, self.windows = ids, [], []
-        sizes, found = set(), []
+    def __init__(self, ids: list[str | None], texts: pa.Array, window: int):
+        self.words: list[list[bytes]] = []
         hashes = []
         for lo, hi, raw, offsets in flat.blocks(texts):
             w = flat.words(raw, offsets, flat.ALNUM)
@@ -39,26 +50,49 @@ class _Items:
                 a, b = w.first[i], w.first[i + 1]
                 self.words.append([w.word(j) for j in range(a, b)])
                 hashes.append(h[a:b])
+        parts: dict[int, list] = {}  # by window size: hashes of windows, their items and places, the shingles of each
         for item, h in enumerate(hashes):
-            size = min(window, len(h))
-            if size:
-                q = min(SHINGLE, size)
-                sizes.add(q)
-                g = flat.grams(h, q)
-                found.append(g)
-                for at in range(len(h) - size + 1):
-                    self.windows.append((item, at, size, g[at : at + size - q + 1]))
-        self.sizes = sorted(sizes)
-        self.shingles = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        self.index: dict[int, list[tuple[int, int, int, int]]] = {}
-
-    def choose(self, counts: np.ndarray) -> None:
-        for item, at, size, g in self.windows:
-            order = counts[np.searchsorted(self.shingles, g)]
-            j = int(np.lexsort((g, order))[0])
-            self.index.setdefault(int(g[j]), []).append((item, at, size, j))
-        self.keys = np.array(sorted(self.index), np.uint64)
-        self.windows = []
+            if size := min(window, len(h)):
+                n, q = len(h) - size + 1, _shingle_length(size)
+                inside = np.lib.stride_tricks.sliding_window_view(flat.grams(h, q), size - q + 1)
+                parts.setdefault(size, []).append((flat.grams(h, size), np.full(n, item), np.arange(n), inside))
+        #: By size: sorted hashes of windows; an item and place that has each; the ids (first[i]:first[i + 1]) of its items.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.ids: dict[int, tuple[np.ndarray, list[str | None]]] = {}
+        self._inside = {}
+        for size, found in parts.items():
+            hashed, item, at, inside = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((at, item, hashed))
+            hashed, item, at = hashed[order], item[order], at[order]
+            new = flat.changes(hashed)
+            self.windows[size] = hashed[new], item[new], at[new]
+            self._inside[size] = inside[order[new]]
+            once = new | flat.changes(item)  # an item may have a window more than once
+            self.ids[size] = np.append(np.flatnonzero(new[once]), once.sum()), [ids[i] for i in item[once].tolist()]
+        self.shingles = {q: flat.distinct(np.concatenate([x.ravel() for s, x in self._inside.items() if _shingle_length(s) == q])) for q in {_shingle_length(s) for s in parts}}
+
+    def choose(self, counts: dict[int, np.ndarray]) -> None:
+        """Index each window by its rarest shingle; counts: by shingle length, how often each shingle occurs."""
+        found: dict[int, list] = {}
+        for size, inside in self._inside.items():
+            q = _shingle_length(size)
+            rank = np.empty(len(counts[q]), np.int64)
+            rank[np.lexsort((self.shingles[q], counts[q]))] = np.arange(len(rank))
+            place = np.searchsorted(self.shingles[q], inside)
+            j = rank[place].argmin(axis=1)
+            key = inside[np.arange(len(inside)), j]
+            found.setdefault(q, []).append((key, j, np.full(len(key), size)))
+        #: By shingle length: sorted shingles, and the distinct (place in a window, window size) of each.
+        self.index = {}
+        for q, parts in found.items():
+            key, j, size = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((size, j, key))
+            key, j, size = key[order], j[order], size[order]
+            once = flat.changes(key) | flat.changes(j) | flat.changes(size)
+            key, j, size = key[once], j[once], size[once]
+            new = flat.changes(key)
+            self.index[q] = key[new], np.append(np.flatnonzero(new), len(key)), j, size
+        self._inside = {}
 
 
 def _probe(w: flat.Words, h: np.ndarray, q: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,64 +107,122 @@ def _probe(w: flat.Words, h: np.ndarray, q: int, keys: np.ndarray) -> tuple[np.n
     return hit, at[hit]
 
 
-def _spans(marks: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
-    return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-
-
-def _pass(docs: DataFrame, block: _Items) -> DataFrame:
-    """(doc_id, digest, n_words, spans, items) by one block of items; docs has doc_id, text, digest."""
+def _matches(items: _Items, w: flat.Words, h: np.ndarray, same: set):
+    """(first words, size, windows) of the windows that occur in a block of texts; same: what was compared before."""
+    for q, (keys, first, place, sizes) in items.index.items():
+        hits, key = _probe(w, h, q, keys)
+        if not len(hits):
+            continue
+        count = first[key + 1] - first[key]
+        at = _ranges(first[key], count)
+        start, size = np.repeat(hits, count) - place[at], sizes[at]
+        text = np.repeat(np.searchsorted(w.first, hits, "right") - 1, count)
+        fits = (start >= w.first[text]) & (start + size <= w.first[text + 1])
+        start, size = start[fits], size[fits]
+        for z in flat.distinct(size).tolist():
+            own = flat.distinct(start[size == z])
+            hashed, item, begin = items.windows[z]
+            g = flat.grams(h, z)[own]
+            i = np.minimum(np.searchsorted(hashed, g), len(hashed) - 1)
+            own, i = own[hashed[i] == g], i[hashed[i] == g]
+            good = np.zeros(len(own), bool)
+            for x, (s, k) in enumerate(zip(own.tolist(), i.tolist())):
+                seen = z, k, w.data[w.start[s] : w.end[s + z - 1]].tobytes()
+                if seen not in same:
+                    told = items.words[item[k]][begin[k] : begin[k] + z]
+                    if [w.word(s + y) for y in range(z)] != told:
+                        continue
+                    same.add(seen)
+                good[x] = True
+            yield own[good], z, i[good]
+
+
+def _pass(docs: DataFrame, block: _Items, text: str) -> DataFrame:
+    """docs with the columns of _FOUND, which go on from those it has already."""
     spark = docs.sparkSession
-    asked = spark.sparkContext.broadcast((block.shingles, block.sizes))
+    asked = spark.sparkContext.broadcast(block.shingles)
 
     def count(batches):
-        shingles, sizes = asked.value
-        total = np.zeros(len(shingles), np.int64)
+        total = {q: np.zeros(len(x), np.int64) for q, x in asked.value.items()}
         for batch in batches:
             for _, _, raw, offsets in flat.blocks(batch.column(0)):
                 w = flat.words(raw, offsets, flat.ALNUM)
                 h = w.hashes()
-                for q in sizes:
-                    total += np.bincount(_probe(w, h, q, shingles)[1], minlength=len(shingles))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["shingle", "n"])
-
-    # at most one row for each shingle of the block comes back
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow() if len(block.shingles) else None
-    counts = np.zeros(len(block.shingles), np.int64)
-    if counted is not None:
-        counts[counted.column("shingle").to_numpy()] = counted.column("n").to_numpy()
+                for q, x in asked.value.items():
+                    total[q] += np.bincount(_probe(w, h, q, x)[1], minlength=len(x))
+        for q, n in total.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q), pa.int64()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], names=["q", "shingle", "n"])
+
+    counts = {q: np.zeros(len(x), np.int64) for q, x in block.shingles.items()}
+    if counts:
+        # at most one row for each shingle of the block comes back
+        counted = docs.select(text).mapInArrow(count, "q long, shingle long, n long").groupBy("q", "shingle").agg(F.sum("n").alias("n")).toArrow()
+        length, shingle, n = (counted.column(c).to_numpy() for c in ("q", "shingle", "n"))
+        for q, own in counts.items():
+            own[shingle[length == q]] = n[length == q]
     block.choose(counts)
     told = spark.sparkContext.broadcast(block)
+    goes_on = "__spans" in docs.columns
+    kept = [c for c in docs.columns if c not in _FOUND]
+    at = docs.columns.index(text)
 
     def find(batches):
-        b = told.value
+        b, same = told.value, set()
         for batch in batches:
-            n_words, spans, items = [], [], []
-            for lo, hi, raw, offsets in flat.blocks(batch.column(1)):
+            n_words, spans, found = [], [], []
+            before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__spans", "__items")] if goes_on else None
+            row = 0
+            for lo, hi, raw, offsets in flat.blocks(batch.column(at)):
                 w = flat.words(raw, offsets, flat.ALNUM)
                 h = w.hashes()
-                marks: dict[int, np.ndarray] = {}
+                edges = np.zeros(len(h) + 1, np.int64)
                 which: dict[int, set] = {}
-                for q in b.sizes:
-                    hits, keys = _probe(w, h, q, b.keys)
-                    for at, text, key in zip(hits.tolist(), (np.searchsorted(w.first, hits, "right") - 1).tolist(), b.keys[keys].tolist()):
-                        first, after = int(w.first[text]), int(w.first[text + 1])
-                        for item, begin, size, j in b.index[key]:
-                            s = at - j
-                            if s < first or s + size > after:
-                                continue
-                            own = b.words[item]
-                            if all(w.word(s + x) == own[begin + x] for x in range(size)):
-                                marks.setdefault(text, np.zeros(after - first, bool))[s - first : s - first + size] = True
-                                which.setdefault(text, set()).add(b.ids[item])
-                n_words += np.diff(w.first).tolist()
-                spans += [_spans(marks[i]) if i in marks else [] for i in range(hi - lo)]
-                items += [sorted(x for x in which.get(i, ()) if x is not None) for i in range(hi - lo)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "digest", "n_words", "spans", "items"])
-
-    return docs.select("doc_id", "text", "digest").mapInArrow(find, f"doc_id long, digest long, n_words long, spans {_SPANS}, items array<string>")
+                for start, z, window in _matches(b, w, h, same):
+                    np.add.at(edges, start, 1)
+                    np.add.at(edges, start + z, -1)
+                    first, ids = b.ids[z]
+                    pairs = flat.distinct((np.searchsorted(w.first, start, "right") - 1) << 32 | window)
+                    for t, k in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
+                        which.setdefault(t, set()).update(ids[first[k] : first[k + 1]])
+                if len(same) > 200_000:
+                    same.clear()
+                hit = np.cumsum(edges[:-1]) > 0
+                for i in range(hi - lo):
+                    a, z = w.first[i], w.first[i + 1]
+                    mark, ids = hit[a:z], which.get(i, set())
+                    if before:
+                        mark = mark.copy()
+                        for x in before[0][row]:
+                            mark[x["start"] : x["end"]] = True
+                        ids.update(before[1][row])
+                    edge = np.flatnonzero(np.diff(mark, prepend=False, append=False)) if mark.any() else ()
+                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
+                    found.append(sorted(x for x in ids if x is not None))
+                    n_words.append(int(z - a))
+                    row += 1
+            made = [pa.array(x, kind) for x, kind in zip((n_words, spans, found), _KINDS)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *_FOUND])
+
+    schema = [f"`{c}` {t}" for c, t in docs.dtypes if c not in _FOUND] + [f"{c} {t}" for c, t in _FOUND.items()]
+    return docs.mapInArrow(find, ", ".join(schema))
+
+
+def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every row of docs, whole, with __n_words, __n_hit, __spans and __items; see `contamination` for their meaning.
+
+    The rows stay in place: each pass over a block of items adds to what the passes before it found.
+    """
+    prepare(docs.sparkSession)
+    asked = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).filter("text is not null").distinct()
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = -(-size // block_bytes) or 1
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
+    out = docs
+    for i in range(n_blocks):
+        block = dealt.filter(F.col("block") == i).drop("block").toArrow()  # block_bytes of item text on average
+        out = _pass(out, _Items(block.column("id").to_pylist(), block.column("text").combine_chunks(), window), text)
+    return out.withColumn("__n_hit", F.expr("aggregate(__spans, 0L, (a, x) -> a + x.end - x.start)"))
 
 
 def contamination(
@@ -144,40 +236,11 @@ def contamination(
     repeated items count once by id; an item without id marks words but isn't listed. Empty tables give no rows or no
     hits. Other columns are ignored.
     """
-    prepare(docs.sparkSession)
-    mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"))
-    asked = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).filter("text is not null").distinct()
-    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-size // block_bytes) or 1
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
-    passes = []
-    for i in range(n_blocks):
-        block = dealt.filter(F.col("block") == i).toArrow()  # block_bytes of item text on average
-        passes.append(_pass(mine, _Items(block.column("id").to_pylist(), block.column("text").combine_chunks(), window)))
-    if len(passes) == 1:
-        found = passes[0]
-    else:
-        # equal rows have equal results: one row for each document and text holds what all passes found
-        parts = [cut(p.filter("size(spans) > 0").dropDuplicates(["doc_id", "digest"])) for p in passes]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        every = every.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-        bare = passes[0].select("doc_id", "digest", "n_words")
-        found = bare.join(every, F.expr("doc_id <=> d and digest <=> g"), "left").select("doc_id", "n_words", merged_spans("coalesce(s, array())").alias("spans"), F.expr("coalesce(i, array())").alias("items"))
-    return found.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "spans", "items")
-
-
-def merged_spans(spans: str):
-    """Overlapping or touching spans as one."""
-    return F.expr(
-        f"""aggregate(array_sort({spans}), cast(array() as {_SPANS}), (a, x) -> case
-        when size(a) > 0 and element_at(a, -1).end >= x.start
-        then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
-        else concat(a, array(x)) end)"""
-    )
-
-
-def contaminated(share: int = 20):
+    mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = marked(mine, items, "text", item_text, item_id, window, block_bytes)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+
+
+def contaminated(share: int = 20, n_hit: str = "n_hit", n_words: str = "n_words"):
     """At least one hit, and hits are at least one word in `share`."""
-    return F.expr(f"n_hit > 0 and {share} * n_hit >= n_words")
+    return F.expr(f"{n_hit} > 0 and {share} * {n_hit} >= {n_words}")

@@ -131,9 +131,9 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def document_sets(docs: DataFrame, text: str, doc_id: str, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, key, parity): size of each document's shingle set, a 64-bit key equal for equal sets, and its parity sketch.
+    """(doc_id, text_hash, n, key, parity): size of each document's shingle set, a 64-bit key equal for equal sets, and its parity sketch.
 
-    Without words n is 0 and the others are null.
+    Without words n is 0, and key and parity are null.
     """
 
     def run(batches):
@@ -143,9 +143,10 @@ def document_sets(docs: DataFrame, text: str, doc_id: str, k: int = SHINGLE) ->
                 n.append(len(s))
                 key.append(c if len(s) else None)
                 sketch.append(parity(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "key", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "n", "key", "parity"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, key long, parity binary")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return chosen.mapInArrow(run, "doc_id long, text_hash long, n long, key long, parity binary")
 
 
 def _token_bits(total: int) -> int:
@@ -571,7 +572,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def component_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of `jaccard_components` and their `set_key` (null without words), equal for equal sets."""
+    """The rows of `jaccard_components` with `text_hash` (xxhash64 of the text) and `component`.
+
+    component, unlike component_id, tells components apart whatever the ids are; it is null for a text without words.
+    """
     spark = docs.sparkSession
     prepare(spark)
     base = cut(document_sets(docs, text, doc_id, k))
@@ -605,9 +609,28 @@ def component_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sets = cut(_found_again(docs, cut(classes.join(ends, "key", "left_semi")), text, doc_id, k))
     roots = components(_exact_links(maybe, sets, similarity))
     least = classes.join(roots, classes["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("low"))
-    linked = roots.join(least, "root").select(F.col("node").alias("key"), "low")
-    named = classes.join(linked, "key", "left").select("key", F.coalesce("low", "doc_id").alias("component_id"))
+    linked = roots.join(least, "root").select(F.col("node").alias("key"), "root", "low")
+    # a table of its own: the last join then has no aggregate in its stage, and a key of very many copies can be split
+    named = cut(classes.join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("component"), F.coalesce("low", "doc_id").alias("component_id")))
     return (
         base.join(named, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs, whole, but of the rows of each component only one: that with the smallest doc_id.
+
+    Ids tie: the smaller hash of the text; texts tie too: any one of the rows. A row without id stays only if its
+    component has none with one. Rows whose text has no words are linked with nothing and all stay. Decisions go by id
+    and text together, so a row that shares its id with one that goes isn't touched. Empty tables give no rows.
+    """
+    h = "__text_hash"
+    found = cut(component_rows(docs, text, doc_id, k, similarity).filter("component is not null").groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("n")))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    away = F.expr("not (doc_id <=> first.doc_id and text_hash = first.text_hash)")
+    # rows that go, and those that are there more than once
+    named = found.join(first, "component").withColumn("away", away).filter("away or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "away")
+    told = docs.withColumn(h, F.xxhash64(F.col(text))).join(cut(named), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__hash")), "left")
+    once = told.filter("not away").dropDuplicates(["__id", "__hash"])
+    return told.filter("away is null").unionByName(once).select(*docs.columns)

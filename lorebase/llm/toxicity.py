@@ -82,7 +82,9 @@ class Ftrl:
 def fit(rows: DataFrame, text: str = "text", label: str = "label", epochs: int = EPOCHS, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on at most max_rows rows (one task learns them in the order of a hash); sparse weights come back.
 
-    Rows without label are left out, a null text is empty. Without any row the model has no weights and scores 0.5.
+    Rows without label are left out, a null text is empty; labels above 0 count as 1. Rows of one hash are learnt label
+    0 first; repeated rows are each learnt. Without any row the model has no weights and scores 0.5. Columns other than
+    text and label are ignored.
     """
     prepare(rows.sparkSession)
     order = F.xxhash64(F.col(text), F.col(label))
@@ -95,7 +97,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", epochs: int =
             labels = batch.column(1).to_numpy()
             for lo, hi, raw, offsets in flat.blocks(batch.column(0)):
                 text_of, bucket = _features(raw, offsets)
-                both = np.unique((text_of << BUCKET_BITS) | bucket)
+                both = flat.distinct((text_of << BUCKET_BITS) | bucket)
                 at = np.searchsorted(both >> BUCKET_BITS, np.arange(hi - lo + 1))
                 bucket = (both & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
                 for i in range(hi - lo):
@@ -118,11 +120,14 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", epochs: int =
     return Model(float(weight[bias].sum()), bucket[~bias], weight[~bias].astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every row and `score` (0 to 1) of its whole text; the model is broadcast.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns of every row and, as column `name`, the score (0 to 1) of its whole text; the model is broadcast.
 
-    Null and empty texts score by the bias alone. Empty tables give no rows; equal texts equal scores.
+    Null and empty texts score by the bias alone. Empty tables give no rows; repeated rows are kept, equal texts have
+    equal scores (ties are left as they are); columns that aren't kept are ignored, a kept one may not be called `name`.
     """
+    if name in keep:
+        raise ValueError(f"a kept column is called {name}")
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.bucket.astype(np.int32), model.weight))
 
@@ -130,17 +135,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         bias, bucket, weight = shared.value
         w = Model(bias, bucket, weight).dense()
         for batch in batches:
-            column, total = batch.column(batch.num_columns - 1), np.full(batch.num_rows, bias)
+            column, total = batch.column(at), np.full(batch.num_rows, bias)
             for lo, hi, raw, offsets in flat.blocks(column):
                 text_of, found = _features(raw, offsets)
                 told = w[found] != 0
-                both = np.unique((text_of[told] << BUCKET_BITS) | found[told])
+                both = flat.distinct((text_of[told] << BUCKET_BITS) | found[told])
                 total[lo:hi] += np.bincount(both >> BUCKET_BITS, w[both & ((1 << BUCKET_BITS) - 1)], hi - lo)
             value = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(value, pa.float64())], names=[*keep, name])
 
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[:-1]) + ", score double"
+    # a kept text is sent once
+    chosen = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    at = chosen.columns.index(text)
+    schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[: len(keep)]) + f", `{name}` double"
     return chosen.mapInArrow(run, schema)
 
 
@@ -150,7 +157,11 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(text, label) of labelled documents outside the held-out fold, at most max_rows labels by the hash of their id."""
+    """(text, label) of labelled documents outside the held-out fold, at most max_rows labels by the hash of their id.
+
+    Labels without id or value are left out; of several labels of one id the largest counts. A document row is taken as
+    often as it is there; empty tables give no rows; other columns are ignored.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter("doc_id is not null and label is not null").filter(~held_out())
