@@ -15,32 +15,39 @@ from lorebase.llm.queries import MODEL
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5, learnt on the labelled rows outside the held-out fold."""
+    """Rows that score below 0.5, learnt on the labelled ones outside the held-out fold.
+
+    Each row is judged by its own text: repeated ids and rows stay or go one by one. Null and empty texts score by the
+    bias; without labels all score 0.5 and go, so an empty label table keeps every row instead.
+    """
     model = toxicity.fit(toxicity.train_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).filter("score < 0.5").select(*docs.columns)
+    if model.bias == 0 and not len(model.bucket):
+        return docs
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), name="__score")
+    return scored.filter("__score < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id. Rows without doc_id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    away = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked texts: that with the smallest doc_id (ties and rows without id: `one_of_each`).
+
+    Rows without words (null, empty or blank text) are linked with nothing and stay. Empty tables give no rows.
+    """
+    return jaccard_join.one_of_each(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule clears."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    away = found.filter(decontaminate.contaminated()).select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the contamination rule clears, each by its own text; one without words is clean, as are all without items."""
+    found = decontaminate.marked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~decontaminate.contaminated(n_hit="__n_hit", n_words="__n_words")).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts masked and n_chars counted anew."""
+    """All rows, personal data in their texts masked and n_chars counted anew; null texts and their counts stay."""
     return pii.redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document: their number, and digests of the ids and of the decoded text."""
+    """Tokens of each row: their number, and digests of the ids and of the decoded text; a null text is empty."""
     return piece_bpe.digests(docs, MODEL)
 
 
