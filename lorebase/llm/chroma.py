@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import cut, prepare
+from .runtime import cut, prepare, tidy
 
 #: Filters (kind, first class, classes, frames), two bits each: sixteen make a 32-bit integer.
 FILTERS = [(kind, y, h, w) for kind in range(4) for y, h, w in ((0, 12, 4), (0, 6, 8), (4, 8, 8), (2, 4, 12))]
@@ -225,7 +225,7 @@ def fingerprints(media: DataFrame, sound: Sound, data: str = "data", media_id: s
             made = [fingerprint(np.frombuffer(x or b"", np.uint8), sound) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in made], pa.binary()), pa.array([len(m) for m in made], pa.int32())], names=["media_id", "print", "n"])
 
-    return media.select(F.col(media_id).cast("long").alias("media_id"), F.col(data).cast("binary").alias("data")).mapInArrow(run, "media_id long, print binary, n int")
+    return media.select(F.col(media_id).cast("long").alias("media_id"), F.col(data).cast("binary").alias("data")).mapInArrow(tidy(run), "media_id long, print binary, n int")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def aligned(prints: DataFrame, every: int = 50, block_integers: int = BLOCK_INTE
                             yield flush()
             yield flush()
 
-        found = heard.select("print", "match_id", "copies").mapInArrow(run, schema)
+        found = heard.select("print", "match_id", "copies").mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 

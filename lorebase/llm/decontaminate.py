@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 WINDOW = 13
 #: Words of the shingles that are ordered by rarity (shorter windows use their whole length).
@@ -157,7 +157,7 @@ def _pass(docs: DataFrame, block: _Items, text: str) -> DataFrame:
     counts = {q: np.zeros(len(x), np.int64) for q, x in block.shingles.items()}
     if counts:
         # at most one row for each shingle of the block comes back
-        counted = docs.select(text).mapInArrow(count, "q long, shingle long, n long").groupBy("q", "shingle").agg(F.sum("n").alias("n")).toArrow()
+        counted = docs.select(text).mapInArrow(tidy(count), "q long, shingle long, n long").groupBy("q", "shingle").agg(F.sum("n").alias("n")).toArrow()
         length, shingle, n = (counted.column(c).to_numpy() for c in ("q", "shingle", "n"))
         for q, own in counts.items():
             own[shingle[length == q]] = n[length == q]
@@ -205,7 +205,7 @@ def _pass(docs: DataFrame, block: _Items, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *_FOUND])
 
     schema = [f"`{c}` {t}" for c, t in docs.dtypes if c not in _FOUND] + [f"{c} {t}" for c, t in _FOUND.items()]
-    return docs.mapInArrow(find, ", ".join(schema))
+    return docs.mapInArrow(tidy(find), ", ".join(schema))
 
 
 def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

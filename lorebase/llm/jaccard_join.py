@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .components import components
-from .runtime import MAX_BROADCAST_BYTES, cut, prepare
+from .runtime import MAX_BROADCAST_BYTES, cut, prepare, tidy
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= SIMILARITY * union.
@@ -146,7 +146,7 @@ def document_sets(docs: DataFrame, text: str, doc_id: str, k: int = SHINGLE) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "n", "key", "parity"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return chosen.mapInArrow(run, "doc_id long, text_hash long, n long, key long, parity binary")
+    return chosen.mapInArrow(tidy(run), "doc_id long, text_hash long, n long, key long, parity binary")
 
 
 def _token_bits(total: int) -> int:
@@ -190,7 +190,7 @@ def _frequent(texts: DataFrame, total: int, k: int) -> np.ndarray:
         many = np.diff(np.append(first, len(s))) >= FREQUENT_BITS
         return pa.table({"token": _long(token[first][many])})
 
-    found = texts.mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(reduce, "token long")
+    found = texts.mapInArrow(tidy(count), "part int, packed binary").groupBy("part").applyInArrow(reduce, "token long")
     found = cut(found)
     told = found.count()
     if told > MAX_FREQUENT:  # an even share by hash, the same in every run
@@ -314,7 +314,7 @@ def _runs(index: DataFrame, similarity: int) -> DataFrame:
             yield from work(True)
 
     dealt = index.repartition("sig").sortWithinPartitions("sig", "n", "key")
-    return dealt.mapInArrow(run, "run long, wide boolean, part int, key long, n long")
+    return dealt.mapInArrow(tidy(run), "run long, wide boolean, part int, key long, n long")
 
 
 def _cells(runs: DataFrame, similarity: int) -> DataFrame:
@@ -415,7 +415,7 @@ def _may_link(cells: DataFrame, sketches: DataFrame, similarity: int) -> DataFra
         yield from _pairs_in_batches(pair for held in _grouped(batches, 3) for pair in forest(held))
 
     rows = cells.join(sketches, "key").select("run", "i", "j", "part", "key", "n", "parity")
-    return rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _found_again(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
@@ -451,7 +451,7 @@ def _found_again(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k:
                         out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.binary())], names=["key", "doc_id", "shingles"])
 
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "key long, doc_id long, shingles binary")
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "key long, doc_id long, shingles binary")
     same = (found["key"] == wanted["key"]) & found["doc_id"].eqNullSafe(wanted["doc_id"])
     return found.join(wanted, same, "left_semi").dropDuplicates(["key"]).select("key", F.expr("octet_length(shingles) div 8").alias("n"), "shingles")
 
@@ -520,7 +520,7 @@ def _links_of(cells: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         yield from _pairs_in_batches(pair for held in _grouped(batches, 3) for pair in forest(held))
 
     rows = cells.join(sets.select("key", "shingles"), "key").select("blob", "i", "j", "side", "grp", "key", "shingles")
-    return rows.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def _chunks(groups: DataFrame, by: str) -> DataFrame:
@@ -601,7 +601,7 @@ def component_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             if sig:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(sig)), _long(np.concatenate(key).astype(np.int64)), _long(np.concatenate(size).astype(np.int64))], names=["sig", "key", "n"])
 
-    runs = cut(_runs(texts.mapInArrow(index, "sig long, key long, n long"), similarity))
+    runs = cut(_runs(texts.mapInArrow(tidy(index), "sig long, key long, n long"), similarity))
     classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     sketches = base.select("key", "parity").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     maybe = cut(_may_link(_cells(runs, similarity), sketches, similarity))
@@ -627,7 +627,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     """
     h = "__text_hash"
     found = cut(component_rows(docs, text, doc_id, k, similarity).filter("component is not null").groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("n")))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    first = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")))
     away = F.expr("not (doc_id <=> first.doc_id and text_hash = first.text_hash)")
     # rows that go, and those that are there more than once
     named = found.join(first, "component").withColumn("away", away).filter("away or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "away")

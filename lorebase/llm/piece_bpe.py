@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 SPACE = "▁"
 #: Characters of text whose words are merged together.
@@ -277,7 +277,7 @@ def _mapped(docs: DataFrame, text: str, doc_id: str, model: str, fields: str, ro
             kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]] for f in fields.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *((c.cast(k) for c, k in zip(columns, kinds)) if rows else (pa.array([], k) for k in kinds))], names=["doc_id", *names])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, {fields}")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id long, {fields}")
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 
 def _either(word: str) -> str:
@@ -106,4 +106,4 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
             rows = [[{"kind": k, "start": a, "end": b, "novelty": s} for a, b, k, s in spans(x, dictionary, threshold)] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,novelty:double>>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:int,end:int,novelty:double>>")

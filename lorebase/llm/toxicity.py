@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 #: log2 of the weights; a model is at most 12 bytes for each, however much text there is.
 BUCKET_BITS = 20
@@ -107,14 +107,15 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", epochs: int =
         rows_of = np.zeros(1 << BUCKET_BITS, np.int32)
         for bucket, _ in features:
             rows_of[bucket] += 1
-        features = [(bucket[rows_of[bucket] >= MIN_ROWS], y) for bucket, y in features]
+        for i, (bucket, y) in enumerate(features):
+            features[i] = bucket[rows_of[bucket] >= MIN_ROWS], y
         for _ in range(epochs if features else 0):
             for bucket, y in features:
                 learner.learn(bucket, y)
         i, w = learner.model()
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(w, pa.float64())], names=["bucket", "weight"])
 
-    got = one.select("text", "label").mapInArrow(run, "bucket long, weight double").toArrow()  # at most 2^BUCKET_BITS + 1 rows
+    got = one.select("text", "label").mapInArrow(tidy(run), "bucket long, weight double").toArrow()  # at most 2^BUCKET_BITS + 1 rows
     bucket, weight = got.column(0).to_numpy(), got.column(1).to_numpy()
     bias = bucket == 1 << BUCKET_BITS
     return Model(float(weight[bias].sum()), bucket[~bias], weight[~bias].astype(np.float32))
@@ -148,7 +149,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     chosen = docs.select(*keep) if text in keep else docs.select(*keep, text)
     at = chosen.columns.index(text)
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[: len(keep)]) + f", `{name}` double"
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
