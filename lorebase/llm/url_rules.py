@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -96,58 +96,58 @@ class _Index:
         return found
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, patterns: Sequence[Rule] = PATTERNS, url: str = "url", page_id: str = "page_id", default: str = "allow") -> DataFrame:
-    """(page_id, host, path, rule, verdict, pattern) for every row.
-
-    rule: the best host rule, else null; pattern: where no host rule fits, the best pattern, else null; the verdict is
-    that of whichever is given, else the default. A null URL, or one without `://`, has an empty host and path; a null
-    one fits nothing. Repeated rows get equal results; empty tables give no rows; other columns are ignored.
-    """
-    prepare(pages.sparkSession)
-    every = [*rules, *patterns]
-    wanted = {t for r in every for t in r.tokens()}
-    shared = pages.sparkSession.sparkContext.broadcast(wanted)
-    urls = pages.select(F.col(url).cast("string").alias("url"))
+def _rarity(urls: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """In how many URLs each wanted token stands; one row for each comes back."""
+    shared = urls.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches):
         told, total = shared.value, {}
         for batch in batches:
             for u in batch.column(0).to_pylist():
-                for t in set(_TOKEN.findall((u or "").translate(_LOWER))) & told:
+                for t in told.intersection(_TOKEN.findall((u or "").translate(_LOWER))):
                     total[t] = total.get(t, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
 
-    # how rare a token is, over all URLs; one row for each token of the rules comes back
-    counted = urls.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    counts = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist()))
-    out = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("pattern"))
+    counted = urls.mapInArrow(tidy(count), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist()))
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, patterns: Sequence[Rule] = PATTERNS, url: str = "url", page_id: str = "page_id", default: str = "allow") -> DataFrame:
+    """(page_id, host, path, rule, verdict, pattern) for every row, in its place.
+
+    rule: the best host rule, else null; pattern: where no host rule fits, the best pattern, else null; the verdict is
+    that of whichever is given, else the default. Rules of one text count once, as the one that goes first (allow). A
+    null URL, or one without `://`, has an empty host and path; a null one fits nothing. Repeated rows get equal
+    results; empty tables give no rows; other columns are ignored. Without rules every verdict is the default.
+    """
+    prepare(pages.sparkSession)
+    every = list({(r.pattern, r.text): r for r in sorted([*rules, *patterns], key=Rule.rank, reverse=True)}.values())
+    urls = pages.select(F.col(url).cast("string").alias("url"))
+    none = F.lit(None).cast("string")
+    out = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), none.alias("rule"), none.alias("verdict"), none.alias("pattern"), none.alias("host"), none.alias("path"))
     kind = dict(out.dtypes)["page_id"]
+    # a block of rules at a time is sent to the workers; a row carries the best so far
     for lo in range(0, max(1, len(every)), BLOCK_RULES):
-        index = pages.sparkSession.sparkContext.broadcast(every[lo : lo + BLOCK_RULES])
-        out = out.mapInArrow(_by(index, counts, {r.text: r for r in rules}, {r.text: r for r in patterns}), f"page_id {kind}, url string, rule string, pattern string, host string, path string").select("page_id", "url", "rule", "pattern", "host", "path")
-        last = out
-        out = out.drop("host", "path")
-    verdicts = pages.sparkSession.createDataFrame([(r.text, r.pattern, r.verdict) for r in every], "text string, is_pattern boolean, told string")
-    by_rule = verdicts.filter("not is_pattern").select(F.col("text").alias("rule"), F.col("told").alias("rule_verdict"))
-    by_pattern = verdicts.filter("is_pattern").select(F.col("text").alias("pattern"), F.col("told").alias("pattern_verdict"))
-    return (
-        last.join(F.broadcast(by_rule), "rule", "left").join(F.broadcast(by_pattern), "pattern", "left")
-        .select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "pattern_verdict", F.lit(default)).alias("verdict"), "pattern")
-    )
-
-
-def _by(index, counts, rules, patterns):
+        block = every[lo : lo + BLOCK_RULES]
+        told = pages.sparkSession.sparkContext.broadcast((block, _rarity(urls, {t for r in block for t in r.tokens()}) if block else {}))
+        out = out.mapInArrow(tidy(_by(told)), f"page_id {kind}, url string, rule string, verdict string, pattern string, host string, path string")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), "pattern")
+
+
+def _by(told):
     def run(batches):
-        made = _Index(index.value, counts)
+        index = _Index(*told.value)
         for batch in batches:
             rows = []
-            for u, rule, pattern in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for u, rule, verdict, pattern in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 host, path = split_url(u)
-                best = made.best(u, host, path)
-                so_far = rules.get(rule) or patterns.get(pattern)
-                told = min((x for x in (best[1] if best else None, so_far) if x), key=Rule.rank, default=None)
-                rows.append((told.text if told and not told.pattern else None, told.text if told and told.pattern else None, host, path))
-            columns = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "url", "rule", "pattern", "host", "path"])
+                found = index.best(u, host, path)
+                best = found[1] if found else None
+                if verdict is not None:
+                    so_far = Rule(pattern if rule is None else rule, verdict, rule is None)
+                    best = min((r for r in (best, so_far) if r), key=Rule.rank)
+                rows.append((None, None, None, host, path) if best is None else (None, best.verdict, best.text, host, path) if best.pattern else (best.text, best.verdict, None, host, path))
+            columns = zip(*rows) if rows else ([] for _ in range(5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "url", "rule", "verdict", "pattern", "host", "path"])
 
     return run

@@ -93,12 +93,33 @@ def test_decontamination(spark, block):
     assert decontaminate.contamination(table(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    items = [(1, "w " * 1200), (2, "w " * 20), (3, "a b " * 40), (4, "a b a a b b a b b b a a a b a b")]
+    texts = [(1, "w " * 20_000), (2, "a b " * 300), (3, "b a a b b a b b b a a a b a " * 20), (4, "w " * 12)]
+    got = decontaminate.contamination(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = sorted((i, *brute_contamination(t, [(k, x) if k != 1 else (k, "w " * 13) for k, x in items])) for i, t in texts)
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == want
+
+
+def test_one_of_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a.replace("a39", "x")
+    rows = [(1, a, 0), (2, a, 0), (3, near, 0), (3, b, 1), (3, b, 1), (None, a, 2), (None, "alone", 3), (4, None, 4), (4, None, 4), (4, "", 5), (9, "alone too", 6), (9, "another one", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component long")
+    got = sorted(jaccard_join.one_of_each(docs).collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(1, a, 0), (3, b, 1), (None, "alone", 3), (4, None, 4), (4, None, 4), (4, "", 5), (9, "alone too", 6), (9, "another one", 7)], key=lambda r: str(docs.sparkSession and got[0].__class__(doc_id=r[0], text=r[1], component=r[2])))
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_pii_spans():
     text = "mail a.b@x-y.org, ip 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111, call +49 (30) 1234-567. iban DE89 3704 0044 0532 0130 00 x"
     kinds = [(s.kind, text[s.start : s.end]) for s in pii.spans(text)]
     assert ("email", "a.b@x-y.org") in kinds and ("ip", "1.2.3.4") in kinds and ("card", "4111 1111 1111 1111") in kinds and ("phone", "+49 (30) 1234-567") in kinds and ("iban", "DE89 3704 0044 0532 0130 00") in kinds
     assert not any(k == "ip" and v.startswith("999") for k, v in kinds)
     assert [s.kind for s in pii.spans("social security 123-45-6789")] == ["ssn"] and not pii.spans("part 123-45-6789")
+    for iban, found in (("DE89370400440532013000 AB", "DE89370400440532013000"), ("de89 3704 0044 0532 0130 00 x", "de89 3704 0044 0532 0130 00"), ("DE8937040044053201300 AB", None), ("DE89370400440532013000A", None), ("ZZ89370400440532013000", None), ("NO93 8601 1117 947 and", "NO93 8601 1117 947"), ("MT84MALT011000012345MTLCAST001S", "MT84MALT011000012345MTLCAST001S")):
+        t = f"IBAN {iban}"
+        assert [t[x.start : x.end] for x in pii.spans(t) if x.kind == "iban"] == [found] * bool(found), iban
     assert pii.redacted(text).startswith("mail <EMAIL>, ip <IP>") and pii.redacted(None) is None
     assert pii.spans("1" * 100_000) == [] and pii.spans("@" * 1000) == []
 
@@ -124,7 +145,11 @@ def test_pii_base_matches_plain_patterns():
 
 
 def test_pii_tables(spark):
-    assert pii.find_pii(table(spark, EDGE)).count() == len(EDGE)
+    got = pii.find_pii(table(spark, [*EDGE, (1, "to a@b.cd"), (1, "to a@b.cd")])).collect()
+    want = [(i, [str(x) for x in pii.spans(t)]) for i, t in [*EDGE, (1, "to a@b.cd"), (1, "to a@b.cd")]]
+    key = lambda x: (x[0] or -1, x[1])
+    assert sorted(((r.doc_id, [f"{x.kind}:{x.start}:{x.end}" for x in r.spans]) for r in got), key=key) == sorted(want, key=key)
+    assert pii.find_pii(table(spark, [])).count() == 0 and pii.redact(table(spark, [])).count() == 0
     docs = spark.createDataFrame([(1, "to a@b.cd", 9), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert {tuple(r) for r in pii.redact(docs).collect()} == {(1, "to <EMAIL>", 10), (2, None, 0), (3, "clean", 5)}
 
@@ -141,7 +166,11 @@ def test_secrets(spark):
         want = _base(plain, t, lambda m: len(m[1]) >= 6), _base("AKIA[A-Z0-9]+", t, lambda m: len(m[0]) >= 20), _base("[0-9a-f]+", t, lambda m: len(m[0]) >= 24)
         found = secret_scan.spans(t)
         assert tuple([(a, b) for a, b, k, _ in found if k == kind] for kind in secret_scan.BASE) == want, t
-    assert secret_scan.find_secrets(table(spark, EDGE)).count() == len(EDGE)
+    rows = [*EDGE, (1, text), (1, text)]
+    got = secret_scan.find_secrets(table(spark, rows)).collect()
+    key = lambda x: (x[0] or -1, x[1])
+    assert sorted(((r.doc_id, [(x.start, x.end, x.kind, x.novelty) for x in r.spans]) for r in got), key=key) == sorted(((i, secret_scan.spans(t)) for i, t in rows), key=key)
+    assert secret_scan.find_secrets(table(spark, [])).count() == 0
 
 
 def test_pieces_match_library(spark):
@@ -173,6 +202,11 @@ def test_toxicity(spark, sf):
     assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in held) and len(held) > 200
     assert {r.held for r in out if zlib.crc32(str(r.doc_id).encode()) % 5 == 0} == {True}
     assert all(0 <= r.score <= 1 for r in out) and len(model.bucket) < 5000
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    kept = toxicity.score(docs, model, keep=("spans", "text", "doc_id"), name="s")
+    assert kept.columns == ["spans", "text", "doc_id", "s"] and {(r.doc_id, r.s) for r in kept.collect()} == {(r.doc_id, r.score) for r in out}
+    with pytest.raises(ValueError):
+        toxicity.score(docs, model, keep=("score",))
     none = toxicity.fit(spark.createDataFrame([], "text string, label int"))
     assert {r.score for r in toxicity.score(table(spark, EDGE), none).collect()} == {0.5}
 
@@ -219,6 +253,17 @@ def test_urls(spark):
             assert rows[i].verdict == (verdict or ("block" if i in (11, 12) else "allow"))
         assert len(rows) == len(urls) + 1
     assert url_rules.judge(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://a.net/" + "x" * 200_000), (2, "http://q.z/" + "a/" * 50_000 + "ads/")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict, r.pattern) for r in url_rules.judge(long).collect()) == [(1, "block", None), (2, "block", "/ads/")]
+    # rules of one text, listed twice or with both verdicts: a row each, and allow goes first
+    twice = [url_rules.Rule("net/", "block"), url_rules.Rule("net/", "allow"), url_rules.Rule("net/", "block"), url_rules.Rule("org/fr/", "block"), url_rules.Rule("org/fr/", "block")]
+    for block in (50_000, 1):
+        url_rules.BLOCK_RULES, before = block, url_rules.BLOCK_RULES
+        rows = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, twice, []).collect()}
+        assert url_rules.judge(pages, twice, []).count() == len(urls) + 1
+        url_rules.BLOCK_RULES = before
+        assert rows[0] == ("net/", "allow") and rows[9] == ("org/fr/", "block") and rows[5] == (None, "allow")
+    assert {r.verdict for r in url_rules.judge(pages, [], []).collect()} == {"allow"}
 
 
 def test_chroma(spark):
