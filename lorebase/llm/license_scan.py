@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices by which a work is licensed, and short licence texts, by identifier.
-KNOWN = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "SPDX-License-Identifier: MIT",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    ],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "ISC": ['Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
-}
-
-# Equivalent spellings, applied to words in this order after case and punctuation are gone.
+from .license_texts import KNOWN, TITLES
+
+# Equivalent spellings, applied to words in this order after case and punctuation are gone. Each leaves the
+# first two characters of its first word as they are, which `lead` relies on.
 EQUIVALENT = [
     ("licences", "licenses"),
     ("licence", "license"),
@@ -33,22 +22,41 @@ EQUIVALENT = [
     ("copyright owner", "copyright holder"),
     ("and or", "andor"),
 ]
-#: A line that only says who holds the copyright.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:(?:copyright|©|\(c\))(?:[ \t]|[0-9©(,])[^\n]*|all rights reserved\.?[ \t]*)$"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII, Latin-1, general and ideographic punctuation, and blanks of all kinds.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{80}-\x{BF}\x{2000}-\x{206F}\x{2122}\x{2E00}-\x{2E7F}\x{3000}-\x{303F}\x{FEFF}]+"
+#: Beginnings of known texts that lines are tried for before they are digested; with more of them all lines are.
+MAX_LEADS = 4096
+_EDGE = r"[ \t#*/;%!\-]*"
+#: A line that only says who holds the copyright, or only is the title of a licence; a comment's marks may go before.
+COPYRIGHT_LINE = (
+    rf"(?m)^{_EDGE}(?:copyright[ \t:]*(?:©|\(c\)|<|\[|\{{|by[ \t])[^\n]*|copyright[ \t][^\n]*[0-9][0-9][0-9][0-9][^\n]*"
+    r"|(?:©|\(c\)[ \t]*(?:copyright|[0-9][0-9][0-9][0-9]))[^\n]*|all rights reserved\.?[ \t\r]*)$"
+)
+TITLE_LINE = rf"(?m)^{_EDGE}(?:(?:{'|'.join(TITLES)}) licen[cs]e(?: \(mit\)| \(mit-0\)| \(isc\)| - version 1\.0 - august 17th, 2003)?|mit no attribution|do what the fuck you want to public license|version 2, december 2004):?[ \t\r]*$"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright lines, words parted by single spaces, equivalent spellings as one; null as empty.
+    """Lower case (A-Z), no copyright lines and titles, words parted by single spaces, equivalent spellings as one; null as empty.
 
-    A word is a run of ASCII letters, digits and non-ASCII characters.
+    A word is a run of characters outside PUNCTUATION.
     """
-    x = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    x = F.regexp_replace(x, COPYRIGHT_LINE, "")
-    x = F.concat(F.lit(" "), F.regexp_replace(x, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    x = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    # most texts have no such line, and looking for a word costs less than the pattern
+    x = F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("all rights reserved")), F.regexp_replace(x, COPYRIGHT_LINE, "")).otherwise(x)
+    x = F.when(F.contains(x, F.lit(" licen")) | F.contains(x, F.lit("mit no attribution")) | F.contains(x, F.lit("version 2, december")), F.regexp_replace(x, TITLE_LINE, "")).otherwise(x)
+    # two blanks between words, so that neighbours are both replaced
+    x = F.concat(F.lit(" "), F.regexp_replace(x, PUNCTUATION, "  "), F.lit(" "))
     for one, other in EQUIVALENT:
-        x = F.replace(x, F.lit(f" {one} "), F.lit(f" {other} "))
+        x = F.replace(x, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
     # a word may begin and end the text without the blanks added above
-    return F.regexp_replace(x, "^ +| +$", "")
+    return F.trim(F.regexp_replace(x, "  +", " "))
+
+
+def lead(text: Column) -> Column:
+    """The first two characters of a text's first word (fewer if it is shorter), as `canonical` would give them for a line of words."""
+    low = F.translate(text, _UPPER, _LOWER)
+    return F.regexp_extract(F.regexp_replace(low, f"^{PUNCTUATION}", ""), rf"^[^{PUNCTUATION[1:-2]}]{{1,2}}", 0)
 
 
 def digest(text: Column) -> Column:
@@ -56,28 +64,36 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license): one row for each distinct canonical text."""
+    """(digest, license, lead): one row for each distinct canonical text; of several licences of one text the smallest name."""
     rows = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
-    table = spark.createDataFrame(rows, "license string, text string")
-    return table.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    table = spark.createDataFrame(rows, "license string, text string").withColumn("text", canonical(F.col("text")))
+    told = table.groupBy("text").agg(F.min("license").alias("license"))
+    return told.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "license", lead(F.col("text")).alias("lead"))
+
+
+def _begins_known(told: DataFrame) -> Column:
+    """Whether `line` begins as a known text does; always true if the known texts begin in very many ways."""
+    leads = [r.lead for r in told.select("lead").distinct().limit(MAX_LEADS + 1).collect()]
+    return lead(F.col("line")).isin(leads) if len(leads) <= MAX_LEADS else F.lit(True)
 
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, digest, license, line_licenses) for every row.
 
     license: of the known licence whose canonical text the whole text is, else null. line_licenses: sorted distinct
-    licences that a line of the text is; empty if none. Lines end at line feeds. Null, empty and blank texts have the
-    digest of the empty text and no licence. Repeated rows are kept; empty tables give no rows; other columns are
-    ignored. Known digests are looked up by hash joins that Spark broadcasts only if they are small; of the lines only
-    those that a joined digest matches are grouped.
+    licences that a line of the text is; empty if none. Lines end at line feeds. Null, empty and blank texts, and texts
+    of titles and copyright lines alone, have the digest of the empty text and no licence. Repeated rows are kept; empty
+    tables give no rows; other columns are ignored. Known digests are looked up by hash joins that Spark broadcasts only
+    if they are small; only lines that begin as a known text does are digested, and of those only the ones that a joined
+    digest matches are grouped.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    told = known.filter(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
+    told = known.filter("lead <> ''")  # without words no text is known
     whole = told.select("digest", F.col("license").alias("license"))
-    # lines by their length first: a line that can't be a known text isn't digested
     lines = F.expr("array_distinct(split(text, '\\n'))")
     found = (
-        rows.filter("text is not null").select("doc_id", F.xxhash64("text").alias("print"), F.explode(lines).alias("line")).filter(F.length("line") > 2)
+        rows.filter("text is not null").select("doc_id", F.xxhash64("text").alias("print"), F.explode(lines).alias("line"))
+        .filter(_begins_known(told))
         .select("doc_id", "print", digest(F.col("line")).alias("line_digest"))
         .join(told.select(F.col("digest").alias("line_digest"), F.col("license").alias("line_license")), "line_digest")
         .groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("line_license")).alias("line_licenses"))

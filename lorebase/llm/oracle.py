@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import COPYRIGHT_LINE, EQUIVALENT, KNOWN
+from .license_scan import COPYRIGHT_LINE, EQUIVALENT, KNOWN, PUNCTUATION, TITLE_LINE
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -12,18 +12,20 @@ def _quoted(x: str) -> str:
 
 
 def _canonical(x: str) -> str:
-    out = f"regexp_replace({_LOWER.format(x=f'coalesce({x}, {chr(39) * 2})')}, {_quoted(COPYRIGHT_LINE)}, '', 'g')"
-    out = f"' ' || regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' '"
+    out = _LOWER.format(x=f"coalesce({x}, {chr(39) * 2})")
+    for pattern in (COPYRIGHT_LINE, TITLE_LINE):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, '', 'g')"
+    out = f"' ' || regexp_replace({out}, {_quoted(PUNCTUATION)}, '  ', 'g') || ' '"
     for one, other in EQUIVALENT:
-        out = f"replace({out}, ' {one} ', ' {other} ')"
-    return f"regexp_replace({out}, '^ +| +$', '', 'g')"
+        out = f"replace({out}, ' {one.replace(' ', '  ')} ', ' {other.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({out}, '  +', ' ', 'g'))"
 
 
 _KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in KNOWN.items() for text in texts)
 
 OP1 = f"""WITH told AS (SELECT sha256({_canonical('text')}) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) k(license, text) GROUP BY 1),
-line AS (SELECT DISTINCT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE len(l) > 2),
-found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM line JOIN told ON sha256({_canonical('l')}) = digest GROUP BY 1)
+line AS (SELECT DISTINCT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)),
+found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM line JOIN told ON sha256({_canonical('l')}) = digest WHERE {_canonical('l')} <> '' GROUP BY 1)
 SELECT doc_id, sha256({_canonical('text')}) AS digest, license, coalesce(line_licenses, '') AS line_licenses
 FROM documents LEFT JOIN told ON sha256({_canonical('text')}) = told.digest LEFT JOIN found USING (doc_id)"""
 

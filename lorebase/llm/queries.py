@@ -11,9 +11,12 @@ from . import chroma, decontaminate, jaccard_join, license_scan, pii, piece_bpe,
 from .oracle import ORACLE_SQL  # noqa: F401
 from .runtime import cut
 
-#: Where the public tokenizers' files are.
-TOKENIZERS = "/opt/tokenizers"
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+try:
+    import public_tokenizers
+
+    MODEL = public_tokenizers.path("piece_bpe_32k.model")
+except ImportError:  # the package isn't on this machine's path: the place where its files are kept
+    MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +57,8 @@ def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chroma.aligned(prints, near=True).groupBy("class_id").agg(best.alias("m"))
     base = prints.select(F.col("media_id").alias("doc_id"), F.col("n").cast("long").alias("n_integers"), F.sha2("print", 256).alias("digest"))
     # a class has its alignments once, and gives them to all its queries
-    kinds = chroma.classes(prints).join(found, "class_id", "left")
+    # a table of its own: the next join then has no aggregate in its stage, and a class of very many copies can be split
+    kinds = cut(chroma.classes(prints).join(found, "class_id", "left"))
     # recordings without integers have no class: they stay out of the join, as they may be most of all
     heard = base.filter("n_integers > 0").join(kinds, "digest", "left").withColumn("m", F.when(F.col("doc_id") % 50 == 0, F.col("m")))
     out = heard.unionByName(base.filter("n_integers = 0"), allowMissingColumns=True)

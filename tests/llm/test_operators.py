@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.llm import chroma, components, decontaminate, flat, jaccard_join, license_scan, pii, piece_bpe, runtime, secret_scan, sharding, toxicity, url_rules
+from lorebase.llm import chroma, components, decontaminate, flat, jaccard_join, license_scan, license_texts, pii, piece_bpe, runtime, secret_scan, sharding, toxicity, url_rules
 from lorebase.llm.queries import MODEL, QUERIES
 
 from .brute import brute_components, brute_contamination, lower
@@ -227,11 +228,28 @@ def test_shards(spark):
 
 def test_licenses(spark):
     known = license_scan.known_digests(spark)
-    mit = license_scan.KNOWN["MIT"][3]
+    mit = license_texts.TEXTS["MIT"][0]
     texts = [(1, "released   under the mit LICENCE"), (2, "Copyright 2020 X\n(c) 2021\n" + mit.upper().replace(", ", " ,\n")), (3, "prose\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.\n"), (4, None), (5, ""), (6, "copyright law is prose"), (1, "released   under the mit LICENCE")]
     rows = {(r.doc_id, r.license, tuple(r.line_licenses)) for r in license_scan.scan(table(spark, texts), known).collect()}
     assert rows == {(1, "MIT", ("MIT",)), (2, "MIT", ()), (3, None, ("CC-BY-NC-4.0", "MIT")), (4, None, ()), (5, None, ()), (6, None, ())}
-    assert license_scan.scan(table(spark, EDGE), known).count() == len(EDGE)
+    assert license_scan.scan(table(spark, EDGE), known).count() == len(EDGE) and license_scan.scan(table(spark, []), known).count() == 0
+    assert all(one[:2] == other[:2] for one, other in license_scan.EQUIVALENT) and len(license_texts.TEXTS) >= 10
+    # every whole text as files have it: titled, wrapped, commented, with typographic quotes and other spellings
+    titles = {"MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License:", "BSD-2-Clause": 'BSD 2-Clause "Simplified" License', "BSD-3-Clause": "BSD 3-Clause License", "0BSD": "BSD Zero Clause License", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003", "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004", "Zlib": "zlib License", "X11": "X11 License", "PostgreSQL": "The PostgreSQL License"}
+    rows, want = [], []
+    for name, own in license_texts.TEXTS.items():
+        for t in own:
+            body = "\n".join(textwrap.wrap(t.replace('"AS IS"', "“AS IS”").replace("'as-is'", "‘as\u2011is’").replace(" license ", " licence "), 60))
+            for whole in (f"{titles.get(name, '')}\n\nCopyright (c) 2020 Some One\nAll rights reserved.\n\n{body}\n", "\n".join(f" * {x}" for x in f"{titles.get(name, '')}\n© 2021, Some One\n{body}".split("\n"))):
+                rows.append((len(rows), whole))
+                want.append(name)
+    rows.append((len(rows), "licence licence"))
+    got = {r.doc_id: r for r in license_scan.scan(table(spark, rows), known).collect()}
+    assert [got[i].license for i in range(len(want))] == want
+    assert got[len(want)].digest == hashlib.sha256(b"license license").hexdigest()
+    # a line of one or two characters can be a known text, and several licences may have one text
+    short = license_scan.known_digests(spark, {"b": ["ab", "q"], "a": ["AB"]})
+    assert {(r.doc_id, r.license, tuple(r.line_licenses)) for r in license_scan.scan(table(spark, [(1, "x\nab.\n Q"), (2, "(ab)")]), short).collect()} == {(1, None, ("a", "b")), (2, "a", ("a",))}
 
 
 def brute_rule(url):
