@@ -2,21 +2,72 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase import config
-from lorebase.functions import replies
+from lorebase.functions import models, replies
 from lorebase.operators import traces
 
 
-def test_replies():
-    assert replies.first_value('x {"a": "}]", "b": [1]} y') == '{"a": "}]", "b": [1]}'
-    assert replies.first_value("[1, [2]") == "[1, [2]" and replies.first_value("none") == "none"
-    assert replies.replacements('```json\n[{"row": "it", "result": "dog"}, {"raw": "", "result": 1}, 3]```') == [{"raw": "it", "result": "dog"}]
+def test_replies(spark):
+    assert replies.balanced('x {"a": "}]", "b": [1]} y') == '{"a": "}]", "b": [1]}'
+    assert replies.balanced("[1, [2]") == "[1, [2]" and replies.balanced("none") == "none"
+    of = lambda c, rows: [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, raw string").select("i", c.alias("c")).orderBy("i").select("c").collect()]
+    value = replies.first_value(F.col("raw"), "[")
+    got = of(replies.json_replacements(value), ['<think>[]</think>```json\n[{"row": "it", "result": "dog"}, {"raw": "", "result": 1}, 3]```', "{}", "", None, '[{"raw": "a", "result": 2}]'])
+    assert [[tuple(x) for x in r["items"]] for r in got] == [[("it", "dog")], [], [], [], [("a", "2")]] and [bool(r.error) for r in got] == [False, True, False, False, False]
+    tagged = "<|item_start|><|raw_start|> it <|raw_end|>\n<|result_start|>dog<|result_end|><|ITEM_END|> x <|item_start|><|raw_start|><|raw_end|><|result_start|>z<|result_end|><|item_end|>"
+    assert [[tuple(x) for x in r] for r in of(replies.tagged_replacements(F.col("raw")), [tagged, "", None])] == [[("it", "dog")], [], []]
+    fused = of(replies.fused_entities(replies.first_value(F.col("raw"))), ['[{"canonical_name": "A", "type": "t", "aliases": [" b ", ""]}, {"type": "t"}, 1, {"canonical_name": "B", "type": "t", "aliases": 2}]', "", "{}", "[1"])
+    assert [(x.canonical_name, x.aliases) for x in fused[0].entities] == [("A", ["b"]), ("B", [])] and len(fused[0].errors) == 3 and "entity 3" in fused[0].errors[2]
+    assert [len(r.errors) for r in fused[1:]] == [1, 1, 1] and not any(r.entities for r in fused[1:])
+    payloads = spark.createDataFrame([(1, '{"a": [{"x": 1}], "b": {"c": [{"content": "t", "id": 0, "score": 0}, {"triple": "r", "name": "n"}]}}'), (2, "no json"), (3, '[[{"text": ""}], [{"snippet": "s", "doc_id": "d"}]]'), (4, "[]")], "k int, payload string")
+    rows = [tuple(r) for r in replies.items(payloads, ["k"], "m", "l").select("k", "pos", "type", "chunk_id", "score", "text").orderBy("k", "pos").collect()]
+    assert rows == [(1, 0, "chunk", "0", "0", "t"), (1, 1, "relation", None, None, None), (3, 0, "entity", None, None, None)]
+    assert of(replies.looks_like_error(F.col("raw")), [" Error: x", "fine", "❌"]) == [True, False, True]
+
+
+def test_models(spark):
+    tried = []
+
+    def flaky(x):
+        tried.append(x)
+        if len(tried) < 3:
+            raise OSError("busy")
+        return x + "!"
+
+    waits = []
+    assert models.patiently(flaky, 3, 1.0, waits.append)("a") == "a!" and len(waits) == 2 and 1 <= waits[0] <= 1.2 and 2 <= waits[1] <= 2.4
+    with pytest.raises(OSError):
+        models.patiently(lambda: (_ for _ in ()).throw(OSError()), 2, 0, lambda s: None)()
+    df = spark.createDataFrame([(1, "the dog; it barks"), (2, "boom"), (3, None)], "k int, text string")
+
+    def reply(p):
+        if "boom" in p:
+            raise ValueError("no")
+        return "<|item_start|><|raw_start|>it<|raw_end|><|result_start|>the dog<|result_end|><|item_end|>"
+
+    got = {r.k: r for r in models.resolved(df, reply, F.col("text"), tries=1).collect()}
+    assert got[1].resolved_text == "the dog; the dog barks" and got[2].resolved_text == "boom" and got[2].coreference_error == "ValueError: no" and got[3].resolved_text is None
+    got = {r.k: r for r in models.resolved(df, lambda p: '{"not": "a list"}', F.col("text"), tagged=False, tries=1).collect()}
+    assert got[1].resolved_text == "the dog; it barks" and got[1].coreference_error
+    assert [r[0] for r in df.select(models.standardised(lambda t: "" if "dog" in t else t.upper(), F.coalesce("text", F.lit("x")))).collect()] == ["the dog; it barks", "BOOM", "X"]
+    assert [tuple(r[0]) for r in df.select(models.answered_json(lambda p: 'so: {"a": 1}' if p else "no", F.col("text"), ["a"], 1, 0)).collect()][0] == ('{"a": 1}', None)
+
+    def embed(t):
+        if len(t) > 40:
+            raise ValueError("maximum context exceeded")
+        return [float(len(t)), 1.0]
+
+    assert models.long_embedding(embed, "short") == [5.0, 1.0]
     with pytest.raises(ValueError):
-        replies.replacements("{}")
-    found, errors = replies.fused_entities('[{"canonical_name": "A", "type": "t", "aliases": [" b ", ""]}, {"type": "t"}, 1, {"canonical_name": "B", "type": "t", "aliases": 2}]')
-    assert [(x["canonical_name"], x["aliases"]) for x in found] == [("A", ["b"]), ("B", [])]
-    assert errors == ["fusion item 1: missing canonical_name", "fusion item 2: not an object", "fusion item 3: aliases must be a list"]
-    got = replies.items({"a": [{"x": 1}], "b": {"c": [{"content": "t", "id": 0, "score": 0}, {"triple": "r", "name": "n"}]}}, "m", "l")
-    assert [(x["type"], x["chunk_id"], x["score"]) for x in got] == [("chunk", 0, 0), ("relation", None, None)]
+        models.long_embedding(lambda t: embed("x" * 50), "a")
+    long = "\n".join("word " * 30 for _ in range(60))
+    assert models.long_embedding(lambda t: [float(t.count("word"))], long, 600) == [1800 / len(models.split_by_tokens(long, 600))]
+    replies_of = spark.createDataFrame([('{"results": [{"index": 2, "relevance_score": 0.5}, {"index": 9}, {"index": 0, "score": 0.25}, {"index": "1"}, 4]}',), ('{"data": []}',), (None,)], "r string")
+    assert [[tuple(x) for x in r[0]] for r in replies_of.select(models.rerank_reply(F.col("r"), F.lit(3))).collect()] == [[(2, 0.5), (0, 0.25)], [(0, 1.0), (1, 1.0), (2, 1.0)], [(0, 1.0), (1, 1.0), (2, 1.0)]]
+    hits = spark.createDataFrame([(["a", "b", "c"],)], "t array<string>")
+    assert [tuple(x) for x in hits.select(models.reranked(lambda q, d: '{"results": [{"index": 2, "score": 1}, {"index": 1, "score": 0}]}', "q", F.col("t"), 1)).first()[0]] == [(2, 1.0)]
+    assert [tuple(x) for x in hits.select(models.reranked(lambda q, d: 1 / 0, "q", F.col("t"))).first()[0]] == [(0, 1.0), (1, 1.0), (2, 1.0)]
+    images = spark.createDataFrame([(1, b"ab"), (2, b"")], "k int, content binary")
+    assert [(r.text, r.error) for r in models.described(images, lambda b, p: f"{p}{1 // len(b) + len(b)}", "n=").orderBy("k").collect()] == [("n=2", None), ("", "ZeroDivisionError: integer division or modulo by zero")]
 
 
 def test_config():
