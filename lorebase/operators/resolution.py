@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,21 +117,81 @@ def merge_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return merged.withColumn("global_relation_id", ids.global_relation_id(F.col("group_id"), F.col("subject_id"), F.col("relation_type"), F.col("object_id")))
 
 
+def _last(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One value of each key: that of the last row by `seq`, or the greatest if rows have no order."""
+    order = "seq" if "seq" in rows.columns else value
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(order, value)).alias(value))
+
+
+def _renamed(rows: DataFrame, aliases: DataFrame, column: str, key: str) -> DataFrame:
+    """Adds `key`: the normalised canonical name that the alias map gives a name, else the name itself.
+
+    A map with doc_id holds for names of its own documents only.
+    """
+    scope = [c for c in ("group_id", "doc_id") if c in aliases.columns]
+    amap = _last(aliases.withColumn("_n", norm(F.col("alias"))).filter("_n <> ''"), [*scope, "_n"], "canonical_name").withColumnRenamed("canonical_name", "_c")
+    return rows.withColumn("_n", norm(F.col(column))).join(amap, [*scope, "_n"], "left").withColumn(key, norm(F.coalesce("_c", column))).drop("_n", "_c")
+
+
 def entity_mentions(found: DataFrame, aliases: DataFrame, local: DataFrame, overall: DataFrame) -> DataFrame:
-    """Mentions of extracted entities (group_id, doc_id, chunk_id, name, chunk_text, ...): both levels are required.
+    """Mentions of extracted entities (group_id, doc_id, chunk_id, name, type, description, chunk_text): both levels are required.
 
-    The name goes through the alias map, then into the local and the global entities, all by normalised name.
+    The name goes through the alias map, then into the local and the global entities, all by normalised name; of rows
+    with one key the last counts.
     """
-    amap = aliases.select("group_id", norm(F.col("alias")).alias("_n"), F.col("canonical_name").alias("_c")).dropDuplicates(["group_id", "_n"])
-    step = found.withColumn("_n", norm(F.col("name"))).join(amap, ["group_id", "_n"], "left").withColumn("_k", norm(F.coalesce("_c", "name")))
-    loc = local.select("group_id", "doc_id", norm(F.col("canonical_name")).alias("_k"), F.col("entity_id").alias("local_entity_id")).dropDuplicates(["group_id", "doc_id", "_k"])
-    glob = overall.select("group_id", norm(F.col("canonical_name")).alias("_k"), "global_entity_id").dropDuplicates(["group_id", "_k"])
-    out = step.join(loc, ["group_id", "doc_id", "_k"]).join(glob, ["group_id", "_k"])
-    key = F.concat_ws(":", F.lit("ent_mention"), "group_id", "doc_id", "chunk_id", "local_entity_id")
-    return out.select(ids.uuid5(key).alias("mention_id"), "group_id", "doc_id", "chunk_id", F.col("name").alias("entity_name"), F.left("chunk_text", F.lit(1000)).alias("evidence_text"), "local_entity_id", "global_entity_id")
+    scope = ["group_id", "doc_id"]
+    step = _renamed(found, aliases, "name", "_k")
+    loc = _last(local.withColumns({"_k": norm(F.col("canonical_name")), "local_entity_id": F.col("entity_id")}), [*scope, "_k"], "local_entity_id")
+    glob = _last(overall.withColumn("_k", norm(F.col("canonical_name"))), ["group_id", "_k"], "global_entity_id")
+    out = step.join(loc, [*scope, "_k"]).join(glob, ["group_id", "_k"])
+    name = strip(F.col("name"))
+    key = F.concat_ws(":", F.lit("ent_mention"), "group_id", "doc_id", "chunk_id", name, "type")
+    return out.select(
+        ids.uuid5(key).alias("mention_id"), *scope, "chunk_id", name.alias("entity_name"), F.col("type").alias("entity_type"), "description",
+        F.left("chunk_text", F.lit(1000)).alias("evidence_text"), "local_entity_id", "global_entity_id",
+    )
+
+
+def relation_mentions(found: DataFrame, aliases: DataFrame, local: DataFrame, overall: DataFrame) -> DataFrame:
+    """Mentions of extracted relations (group_id, doc_id, chunk_id, subject, object, relation_type, description, chunk_text).
+
+    As `entity_mentions`, by both ends; the type matches exactly.
+    """
+    scope, ends = ["group_id", "doc_id"], ["_s", "relation_type", "_o"]
+    step = _renamed(_renamed(found, aliases, "subject", "_s"), aliases, "object", "_o")
+    keyed = lambda rows: rows.withColumns({"_s": norm(F.col("subject")), "_o": norm(F.col("object"))})
+    loc = _last(keyed(local).withColumn("local_relation_id", F.col("relation_id")), [*scope, *ends], "local_relation_id")
+    glob = _last(keyed(overall), ["group_id", *ends], "global_relation_id")
+    out = step.join(loc, [*scope, *ends]).join(glob, ["group_id", *ends])
+    subject, obj = strip(F.col("subject")), strip(F.col("object"))
+    key = F.concat_ws(":", F.lit("rel_mention"), "group_id", "doc_id", "chunk_id", subject, "relation_type", obj)
+    return out.select(
+        ids.uuid5(key).alias("mention_id"), *scope, "chunk_id", subject.alias("subject"), obj.alias("object"), "relation_type", "description",
+        F.left("chunk_text", F.lit(1000)).alias("evidence_text"), "local_relation_id", "global_relation_id",
+    )
 
 
 def length_ratio(a: Column, b: Column) -> Column:
     """Longer over shorter trimmed length (1 at least); 0 if both are blank."""
     x, y = F.length(strip(F.coalesce(a, F.lit("")))), F.length(strip(F.coalesce(b, F.lit(""))))
     return F.when((x == 0) & (y == 0), 0.0).otherwise(F.greatest(x, y) / F.greatest(F.lit(1), F.least(x, y)))
+
+
+def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], str], tries: int = 3) -> DataFrame:
+    """Fused entities of each cluster by a model: (keys, canonical_name, type, aliases, description, seq, errors).
+
+    The model gets a cluster's entities as JSON (ordered by seq) and answers with a JSON list. A cluster whose call
+    fails, or whose reply has no usable entity, is fused by `fuse`. Clusters are spread over the workers as rows; one
+    cluster is one prompt, so its size is what the model can read.
+    """
+    from ..functions import models, replies
+
+    row = F.struct("seq", *keys, "name", "type", "description")
+    prompts = entities.groupBy(*keys).agg(F.to_json(F.sort_array(F.collect_list(row))).alias("prompt"), F.min("seq").alias("seq"))
+    told = prompts.withColumn("_a", models.answered(call, F.col("prompt"), tries)).withColumn("_v", replies.first_value(F.col("_a.reply")))
+    told = told.withColumn("_f", replies.fused_entities(F.col("_v")))
+    errors = F.when(F.col("_a.error").isNotNull(), F.array("_a.error")).otherwise(F.col("_f.errors"))
+    good = told.filter(F.size("_f.entities") > 0).select(*keys, "seq", errors.alias("errors"), F.explode("_f.entities").alias("e")).select(*keys, "e.*", "seq", "errors")
+    bad = told.filter(F.size("_f.entities") == 0).select(*keys, errors.alias("errors"))
+    rest = fuse(entities.join(bad.select(*keys), keys, "left_semi"), keys).withColumn("aliases", F.array().cast("array<string>")).join(bad, keys)
+    return good.unionByName(rest)

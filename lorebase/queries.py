@@ -11,7 +11,7 @@ from . import bindings as B
 from .bindings import with_sql
 from .functions import chunker, ids, vectors
 from .functions import text as T
-from .operators import density, extraction, graph, progress, resolution, search, store, traces
+from .operators import density, extraction, graph, monitor, progress, resolution, search, store, traces
 from .streaming import progress as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,10 +98,12 @@ def relations_vector(spark, sf):
     return search.graph_index(B.graph_index(spark, sf), "1", "relation", B.query_vector(spark, sf), 12, doc_id="", fields=["pk", "name", "doc_id"]).withColumn("score", F.round("score", 4))
 
 
-@query(with_sql("emb") + f"""SELECT label AS vector_label, list_transform(list(embedding[1]::DOUBLE ORDER BY vec_id)[:1], lambda x: round(x, 6))[1] AS first_component, round(avg(embedding[1]::DOUBLE), 5) AS mean_component FROM embeddings GROUP BY label""")
+@query("""SELECT vec_id // 10 AS part, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS first_mean, round(avg(embedding[64]::DOUBLE), 6) AS last_mean FROM embeddings GROUP BY 1""")
 def vector_mean_pooling(spark, sf):
-    e = B.table(spark, sf, "embeddings")
-    return e.groupBy(F.col("label").alias("vector_label")).agg(F.round(F.min_by(F.col("embedding")[0].cast("double"), "vec_id"), 6).alias("first_component"), F.round(F.avg(F.col("embedding")[0].cast("double")), 5).alias("mean_component"))
+    """The mean of each ten vectors, as of the parts of a long text."""
+    e = B.table(spark, sf, "embeddings").groupBy(F.expr("vec_id div 10").alias("part")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    mean = vectors.mean(F.transform("v", lambda x: x["embedding"]))
+    return e.select("part", F.size("v").cast("long").alias("n"), mean.alias("m")).select("part", "n", F.round(F.col("m")[0], 6).alias("first_mean"), F.round(F.col("m")[63], 6).alias("last_mean"))
 
 
 @query(with_sql("emb", "chunks") + f""", hits AS (SELECT chunk_id, round({_DOT}, 6) AS score FROM emb, q ORDER BY round({_DOT}, 6) DESC, pk LIMIT 20)
@@ -284,16 +286,11 @@ def align_exact(spark, sf):
     return resolution.align(new, old).select("seq", "method")
 
 
-@query("""WITH n AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 50 = 7), o AS (SELECT vec_id AS oid, label AS olabel, embedding AS oe FROM embeddings WHERE vec_id % 5 = 0),
-p AS (SELECT vec_id, oid, round(list_cosine_similarity(embedding::DOUBLE[], oe::DOUBLE[]), 6) AS s FROM n, o WHERE label = olabel),
+@query("""WITH n AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 50 = 0), o AS (SELECT vec_id AS oid, label AS olabel, embedding AS oe FROM embeddings WHERE vec_id % 50 <> 0),
+p AS (SELECT vec_id, oid, round(list_cosine_similarity(embedding::DOUBLE[], oe::DOUBLE[]), 6) AS s FROM n JOIN o ON label = olabel),
 b AS (SELECT vec_id, max(s) AS s FROM p GROUP BY vec_id) SELECT n.vec_id AS seq, CASE WHEN s >= 0.9 THEN 'vector_match' WHEN s >= 0.85 THEN 'candidate' ELSE 'create_global' END AS method, round(s, 4) AS score FROM n LEFT JOIN b USING (vec_id)""")
 def align_vector(spark, sf):
-    return _align_vector(spark, sf, "vec_id % 50 = 7", "vec_id % 5 = 0")
-
-
-@query()
-def align_vector_whole(spark, sf):
-    """Ids divisible by 50 against all other rows; held against brute force, not SQL."""
+    """Ids divisible by 50 as new entities against all other rows."""
     return _align_vector(spark, sf, "vec_id % 50 = 0", "vec_id % 50 <> 0")
 
 
@@ -305,15 +302,8 @@ def _align_vector(spark, sf, asked, known):
     return resolution.align(new, old).select("seq", "method", F.round("score", 4).alias("score"))
 
 
-@query("""WITH k AS (SELECT s_name, p_name, l_partkey + l_linenumber AS c, l_shipmode FROM (SELECT *, 'x' AS l_shipmode FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_partkey <= 50)
-SELECT s_name AS subject, p_name AS object, CAST(max(c) AS INTEGER) AS confidence FROM k GROUP BY 1, 2""")
+@query("""SELECT s_name AS subject, p_name AS object, CAST(max(l_partkey + l_linenumber) AS INTEGER) AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 def relation_merge(spark, sf):
-    return _relation_merge(spark, sf, B.table(spark, sf, "lineitem").filter("l_partkey <= 50"))
-
-
-@query()
-def relation_merge_whole(spark, sf):
-    """relation_merge over all of lineitem; held against brute force, not SQL."""
     return _relation_merge(spark, sf, B.table(spark, sf, "lineitem"))
 
 
@@ -325,25 +315,19 @@ def _relation_merge(spark, sf, l):
     return resolution.merge_relations(r, ent).select("subject", "object", "confidence")
 
 
-@query(with_sql("chunks") + "SELECT chunk_id, n_name AS entity_name, left(text, 1000) AS evidence_text, 'l' || n_nationkey AS local_entity_id, 'g' || n_nationkey AS global_entity_id FROM chunks, nation WHERE chunk_index = 0 AND len(doc_id) % 25 = n_nationkey")
+@query(with_sql("chunks") + "SELECT chunk_id, n_name AS entity_name, 'nation' AS entity_type, left(text, 1000) AS evidence_text, 'l' || n_nationkey AS local_entity_id, 'g' || n_nationkey AS global_entity_id FROM chunks JOIN nation ON len(doc_id) % 25 = n_nationkey")
 def entity_mentions(spark, sf):
-    return _entity_mentions(spark, sf, B.chunks(spark, sf).filter("chunk_index = 0"))
-
-
-@query()
-def entity_mentions_whole(spark, sf):
-    """entity_mentions in all chunks; held against brute force, not SQL."""
     return _entity_mentions(spark, sf, B.chunks(spark, sf))
 
 
 def _entity_mentions(spark, sf, chunks):
     n = B.table(spark, sf, "nation")
     c = chunks.join(F.broadcast(n), F.length("doc_id") % 25 == n["n_nationkey"])
-    found = c.select(F.lit("g").alias("group_id"), F.lit("d").alias("doc_id"), "chunk_id", F.col("n_name").alias("name"), F.col("text").alias("chunk_text"))
+    found = c.select(F.lit("g").alias("group_id"), F.lit("d").alias("doc_id"), "chunk_id", F.col("n_name").alias("name"), F.lit("nation").alias("type"), F.lit("").alias("description"), F.col("text").alias("chunk_text"))
     amap = n.select(F.lit("g").alias("group_id"), F.lower("n_name").alias("alias"), F.col("n_name").alias("canonical_name"))
     local = n.select(F.lit("g").alias("group_id"), F.lit("d").alias("doc_id"), F.col("n_name").alias("canonical_name"), F.concat(F.lit("l"), "n_nationkey").alias("entity_id"))
     overall = n.select(F.lit("g").alias("group_id"), F.col("n_name").alias("canonical_name"), F.concat(F.lit("g"), "n_nationkey").alias("global_entity_id"))
-    return resolution.entity_mentions(found, amap, local, overall).drop("mention_id", "group_id", "doc_id")
+    return resolution.entity_mentions(found, amap, local, overall).drop("mention_id", "group_id", "doc_id", "description")
 
 
 @query("""WITH d AS (SELECT doc_id, sha1(unhex('6b45223bb3b84a2fb7b73d6ad9d2f3f0') || encode(source || ':' || doc_id || ':' || lang)) AS h FROM documents)
@@ -353,15 +337,12 @@ def uuid5_ids(spark, sf):
     return d.select("doc_id", ids.entity_id(F.col("source"), F.col("doc_id").cast("string"), F.col("lang")).alias("entity_id"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), chr(10)) AS text FROM documents WHERE trim(text, ' ') = trim(text, ' ' || chr(10) || chr(9) || chr(13)) AND NOT contains(text, chr(13)) AND NOT contains(text, chr(9))")
-def basic_clean(spark, sf):
-    d = B.table(spark, sf, "documents").filter("trim(text) = trim(both ' \n\t\r' from text) and not contains(text, '\r') and not contains(text, '\t')")
-    return d.select("doc_id", T.basic_clean(F.col("text")).alias("text"))
+#: Characters of white space, as SQL.
+_SPACE = " || ".join(f"chr({x})" for x in (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 
 
-@query()
-def basic_clean_whole(spark, sf):
-    """All texts, also those with CR, tabs and outer line ends; held against brute force, not SQL."""
+@query(f"""SELECT doc_id, trim(array_to_string(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, {_SPACE})), chr(10)), {_SPACE}) AS text FROM documents""")
+def basic_clean(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", T.basic_clean(F.col("text")).alias("text"))
 
 
@@ -380,14 +361,8 @@ def lag_lead_context(spark, sf):
     return progress.with_context(B.chunks(spark, sf), ["group_id", "doc_id"]).select("chunk_id", "before", "after")
 
 
-@query(with_sql("chunks") + "SELECT doc_id, chunk_id, text FROM chunks WHERE chunk_index < 3")
+@query(with_sql("chunks") + "SELECT doc_id, chunk_id, text FROM chunks")
 def chunk_lines_fallback(spark, sf):
-    return B.chunks(spark, sf).filter("chunk_index < 3").select("doc_id", "chunk_id", "text")
-
-
-@query()
-def chunk_lines_fallback_whole(spark, sf):
-    """All lines of each document; held against brute force, not SQL."""
     return B.chunks(spark, sf).select("doc_id", "chunk_id", "text")
 
 
@@ -444,15 +419,9 @@ def plan_dedupe_limit(spark, sf):
     return progress.plan_items(items).select("step", F.col("pos.chunk_index").alias("pos"), "text")
 
 
-@query("""WITH e AS (SELECT s_name AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 5), r AS (SELECT n_name AS h, r_name AS t, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey),
-a AS (SELECT 0 AS part, pos, 0 AS side, name FROM e UNION ALL SELECT 1, pos, 0, h FROM r UNION ALL SELECT 1, pos, 1, t FROM r) SELECT name, CAST(min(part) AS INTEGER) AS part FROM a GROUP BY name ORDER BY min(part * 1000000 + pos * 10 + side), name LIMIT 8""")
+@query("""WITH e AS (SELECT s_name AS name, s_suppkey AS pos FROM supplier), r AS (SELECT n_name AS h, r_name AS t, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT 0 AS part, pos, 0 AS side, name FROM e UNION ALL SELECT 1, pos, 0, h FROM r UNION ALL SELECT 1, pos, 1, t FROM r) SELECT name, CAST(min(part) AS INTEGER) AS part FROM a GROUP BY name ORDER BY min(part * 1000000000 + pos * 10 + side), name LIMIT 8""")
 def seed_pick(spark, sf):
-    return _seed_pick(spark, sf, B.table(spark, sf, "supplier").filter("s_suppkey <= 5"))
-
-
-@query()
-def seed_pick_whole(spark, sf):
-    """seed_pick with all suppliers as seeds; held against brute force, not SQL."""
     return _seed_pick(spark, sf, B.table(spark, sf, "supplier"))
 
 
@@ -480,7 +449,8 @@ def group_summary(spark, sf):
 
 @query("SELECT event_type AS name, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def monitor_counters(spark, sf):
-    return B.table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
+    seen = monitor.observations(B.table(spark, sf, "events").withColumnRenamed("event_type", "name"))
+    return seen.select("name", "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"))
 
 
 @query(with_sql("ents") + "SELECT canonical_name, canonical_name || '; ' || array_to_string(aliases, ',') || '; ' || description AS text FROM ents")
@@ -578,3 +548,6 @@ def clusters_density(spark, sf):
     """Density clusters of the vectors of each label."""
     e = B.table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("seq"), "embedding")
     return density.density_clusters(e, ["label"]).select("label", "seq", "cluster")
+
+
+from . import queries_assets  # noqa: E402, F401  (registers more queries)
