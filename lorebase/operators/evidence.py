@@ -116,3 +116,16 @@ def first_evidence(steps: DataFrame, keys: Sequence[str], limit: int = 20) -> Da
     flat = steps.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "evidence"))), lambda x: x["evidence"])).alias("e"))
     return flat.select(*keys, F.posexplode(F.slice("e", 1, limit)).alias("pos", "evidence"))
 
+
+
+def entity_index(entities: DataFrame) -> DataFrame:
+    """Graph-index rows (without vectors) of entities (group_id, doc_id, entity_id, canonical_name, aliases, description)."""
+    text = T.strip(F.concat_ws("\n", F.col("canonical_name"), F.coalesce(F.array_join(F.filter("aliases", lambda a: T.strip(a) != ""), " "), F.lit("")), F.coalesce("description", F.lit(""))))
+    none = [F.lit("").alias(c) for c in ("head_name", "tail_name", "relation_type")]
+    return entities.select(F.concat(F.lit("e:"), "entity_id").alias("pk"), F.lit("entity").alias("kind"), "group_id", "doc_id", F.col("entity_id").alias("source_id"), F.col("canonical_name").alias("name"), text.alias("text"), *none)
+
+
+def relation_index(relations: DataFrame) -> DataFrame:
+    """Graph-index rows (without vectors) of relations (group_id, doc_id, relation_id, subject, object, relation_type, description)."""
+    text = T.strip(F.concat("subject", F.lit(" -["), "relation_type", F.lit("]-> "), "object", F.lit("\n"), F.coalesce("description", F.lit(""))))
+    return relations.select(F.concat(F.lit("r:"), "relation_id").alias("pk"), F.lit("relation").alias("kind"), "group_id", "doc_id", F.col("relation_id").alias("source_id"), F.col("relation_type").alias("name"), text.alias("text"), F.col("subject").alias("head_name"), F.col("object").alias("tail_name"), "relation_type")

@@ -195,3 +195,88 @@ def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], st
     bad = told.filter(F.size("_f.entities") == 0).select(*keys, errors.alias("errors"))
     rest = fuse(entities.join(bad.select(*keys), keys, "left_semi"), keys).withColumn("aliases", F.array().cast("array<string>")).join(bad, keys)
     return good.unionByName(rest)
+
+
+def entity_text() -> Column:
+    """What an entity is embedded as for alignment: name, aliases, type and description."""
+    blank = lambda c: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))
+    return F.concat_ws("\n", blank(F.col("canonical_name")), F.nullif(F.array_join("aliases", ", "), F.lit("")), blank(F.col("type")), blank(F.col("description")))
+
+
+def align_group(new: DataFrame, old: DataFrame) -> DataFrame:
+    """`align` of documents' entities (group_id, doc_id, canonical_name, type, aliases, description, embedding) with the
+    group's level, in the shape of alignment rows: (group_id, doc_id, local_entity_id, local_name, global_entity_id,
+    global_name, method, score, type, aliases, description).
+
+    Old entities of one name or alias are told apart by their id's order; a new one that finds none makes its own.
+    """
+    keyed = new.withColumn("local_entity_id", ids.entity_id(F.col("group_id"), F.col("doc_id"), F.col("canonical_name")))
+    mine = keyed.withColumn("seq", F.col("local_entity_id"))
+    known = old.withColumn("seq", F.xxhash64("global_entity_id"))
+    told = align(mine, known).select(F.col("seq").alias("local_entity_id"), "global_entity_id", "method", "score")
+    names = old.select("group_id", "global_entity_id", F.col("canonical_name").alias("_old"))
+    out = keyed.join(told, "local_entity_id").join(names, ["group_id", "global_entity_id"], "left")
+    return out.select("group_id", "doc_id", "local_entity_id", F.col("canonical_name").alias("local_name"), "global_entity_id", F.coalesce("_old", "canonical_name").alias("global_name"), "method", "score", "type", "aliases", "description")
+
+
+def _all_aliases(*parts: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.filter(F.concat(*(F.coalesce(p, none) for p in parts)), lambda x: strip(x) != "")))
+
+
+def merged_level(told: DataFrame, old: DataFrame) -> DataFrame:
+    """Global entities that alignments made or touched: the old type, else the first that isn't blank by document; all
+    aliases and names; the longest description, the old one if none is longer."""
+    length = F.length(F.coalesce("description", F.lit("")))
+    kind = F.nullif(strip(F.coalesce("type", F.lit(""))), F.lit(""))
+    new = told.groupBy("group_id", "global_entity_id").agg(
+        F.min_by("global_name", "doc_id").alias("canonical_name"), F.min_by(kind, F.when(kind.isNotNull(), F.struct("doc_id", "local_name"))).alias("type"),
+        F.collect_set("local_name").alias("names"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("aliases"),
+        F.max_by("description", F.struct(length, "description")).alias("description"),
+    )
+    was = old.select("group_id", "global_entity_id", F.col("type").alias("_type"), F.col("aliases").alias("_aliases"), F.col("description").alias("_text"))
+    j = new.join(was, ["group_id", "global_entity_id"], "left")
+    longer = length > F.length(F.coalesce("_text", F.lit("")))
+    return j.select(
+        "global_entity_id", "group_id", "canonical_name", F.coalesce(F.nullif("_type", F.lit("")), "type", F.lit("")).alias("type"),
+        _all_aliases(F.col("_aliases"), F.col("aliases"), F.col("names"), F.array("canonical_name")).alias("aliases"),
+        F.when(longer | F.col("_text").isNull(), F.col("description")).otherwise(F.col("_text")).alias("description"),
+    )
+
+
+def rewritten_entities(told: DataFrame, old: DataFrame) -> DataFrame:
+    """Documents' entities under their global names; those that now share one are merged, ids follow the new name."""
+    was = old.select("group_id", "global_entity_id", F.col("type").alias("_type"), F.col("aliases").alias("_aliases"), F.col("description").alias("_text"))
+    j = told.join(was, ["group_id", "global_entity_id"], "left")
+    text = F.when(F.length(F.coalesce("description", F.lit(""))) > F.length(F.coalesce("_text", F.lit(""))), F.col("description")).otherwise(F.coalesce("_text", "description"))
+    one = j.select("group_id", "doc_id", F.col("global_name").alias("canonical_name"), F.coalesce(F.nullif("_type", F.lit("")), "type").alias("type"), _all_aliases(F.col("aliases"), F.col("_aliases")).alias("aliases"), text.alias("description"), "local_name")
+    scope = ["group_id", "doc_id", "canonical_name"]
+    merged = one.groupBy(*scope).agg(F.min_by("type", "local_name").alias("type"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"), F.max_by("description", F.struct(F.length("description"), "description")).alias("description"))
+    return merged.withColumn("entity_id", ids.entity_id(F.col("group_id"), F.col("doc_id"), F.col("canonical_name")))
+
+
+def alignment_map(told: DataFrame) -> DataFrame:
+    """(group_id, doc_id, alias, canonical_name): a document's names and aliases to global names, own names going first."""
+    own = F.concat(F.array("local_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    every = told.select("group_id", "doc_id", F.posexplode(own).alias("pos", "alias"), "global_name").filter("alias <> ''")
+    return every.groupBy("group_id", "doc_id", "alias").agg(F.min_by("global_name", F.struct("pos", "global_name")).alias("canonical_name"))
+
+
+def aligned_relations(relations: DataFrame, entities: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(global relations that these make or change, alignment rows). Relations without both global ends are left out.
+
+    A stored global relation keeps its id; descriptions and confidences are merged with it, the longest and greatest.
+    """
+    made = merge_relations(relations, entities)
+    was = stored.select("group_id", "global_relation_id", F.col("description").alias("_text"), F.col("confidence").alias("_confidence"))
+    longer = F.length(F.coalesce("description", F.lit(""))) > F.length(F.coalesce("_text", F.lit("")))
+    level = made.join(was, ["group_id", "global_relation_id"], "left").withColumns({"description": F.when(longer | F.col("_text").isNull(), F.col("description")).otherwise(F.col("_text")), "confidence": F.greatest("confidence", "_confidence")}).drop("_text", "_confidence")
+    method = F.when(F.col("_known"), "merge_global_relation").otherwise("create_global_relation")  # fixed values
+    known = stored.select("group_id", "global_relation_id", F.lit(True).alias("_known"))
+    ends = made.join(known, ["group_id", "global_relation_id"], "left").select("group_id", "relation_type", "global_relation_id", method.alias("_method"), norm(F.col("subject")).alias("_s"), norm(F.col("object")).alias("_o"))
+    keyed = relations.withColumns({"_s": norm(F.col("subject")), "_o": norm(F.col("object"))})
+    links = keyed.join(ends, ["group_id", "relation_type", "_s", "_o"]).select(
+        "group_id", "doc_id", F.col("relation_id").alias("local_relation_id"), "global_relation_id", "subject", "object", "relation_type",
+        F.col("_method").alias("alignment_method"), F.lit(None).cast("double").alias("alignment_score"),
+    )
+    return level, links

@@ -26,17 +26,31 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], keep:
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], sequence: str, immutable: Sequence[str] = ()) -> DataFrame:
     """Stored rows overlaid by the incoming ones, the last of a key winning; immutable columns keep the stored value.
 
-    One shuffle by key: a map-side combined arg-max, no window.
+    Of incoming rows of one key and place in the sequence the greatest as JSON text counts. One shuffle by key: a
+    map-side combined arg-max, no window.
     """
     rest = [c for c in stored.columns if c not in keys]
-    both = stored.withColumn("_seq", F.lit(-1).cast("long")).withColumn("_old", F.lit(True)).unionByName(incoming.withColumn("_seq", F.col(sequence).cast("long")).withColumn("_old", F.lit(False)).select(*stored.columns, "_seq", "_old"))
+    both = stored.withColumn("_seq", F.lit(None).cast("long")).withColumn("_old", F.lit(True)).unionByName(incoming.withColumn("_seq", F.col(sequence).cast("long")).withColumn("_old", F.lit(False)).select(*stored.columns, "_seq", "_old"))
     if not rest:
         return both.select(*keys).distinct()
     row = F.struct(*rest)
-    best = both.groupBy(*keys).agg(F.max_by(row, "_seq").alias("_new"), F.min_by(row, "_seq").alias("_first"), F.bool_or("_old").alias("_had"))
+    place = F.struct(~F.col("_old"), "_seq", F.when(~F.col("_old"), F.to_json(row)))
+    best = both.groupBy(*keys).agg(F.max_by(row, place).alias("_new"), F.max_by(row, F.when(F.col("_old"), 1)).alias("_first"), F.bool_or("_old").alias("_had"))
     return best.select(*keys, *(F.when(F.col("_had") & F.lit(c in immutable), F.col(f"_first.{c}")).otherwise(F.col(f"_new.{c}")).alias(c) for c in rest)).select(*stored.columns)
 
 
+def newest(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The last row of each key by `order`, among stored and incoming ones; a tie goes to the greatest as JSON text.
+
+    Incoming rows may lack columns of the stored ones: what a key's last row has no value for, the one before it gives.
+    """
+    rest = [c for c in stored.columns if c not in keys]
+    have = incoming.select(*[c for c in stored.columns if c in incoming.columns])
+    both = stored.unionByName(have, allowMissingColumns=True)
+    place = F.struct(order, F.to_json(F.struct(*rest)))
+    return both.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in rest)).select(*stored.columns)
+
+
 def upsert_table(name: str, stored: DataFrame, incoming: DataFrame, sequence: str = "seq") -> DataFrame:
     return upsert(stored, incoming, KEYS[name], sequence, IMMUTABLE.get(name, ()))
 

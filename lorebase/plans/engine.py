@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, models
 from ..functions.chunker import Limits, chunk_documents
-from ..operators import extraction, graph, resolution, search
+from ..operators import evidence, extraction, graph, recovery, resolution, search
 from ..operators.progress import plan_items
 from ..operators.search import required
 from ..sources.store import Store
@@ -33,60 +34,137 @@ def hash_embedding(text: str, dim: int = 64) -> list[float]:
 class Engine:
     """Models are functions: embed(text) -> vector, extract(text) -> tagged lines; both run on the workers in batches."""
 
-    def __init__(self, store: Store, embed: Callable[[str], Sequence[float]] = hash_embedding, extract: Callable[[str], str] | None = None, limits: Limits = Limits()):
-        self.store, self.embed, self.extract, self.limits = store, embed, extract, limits
+    def __init__(self, store: Store, embed: Callable[[str], Sequence[float]] = hash_embedding, extract: Callable[[str], str] | None = None, limits: Limits = Limits(), tries: int = 3):
+        self.store, self.embed, self.extract, self.limits, self.tries = store, embed, extract, limits, tries
 
     def _embedded(self, df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
-        embed = self.embed
-
-        @F.pandas_udf("array<float>")
-        def run(texts):
-            return texts.map(lambda t: [float(x) for x in embed(t)] if t and t.strip() else [])
-
-        return df.withColumn(name, run(F.col(text)))
+        return df.withColumn(name, models.embedded(self.embed, F.col(text)))
 
     def ingest(self, docs: DataFrame) -> None:
-        """docs: group_id, doc_id, doc_name, doc_time, text. A document that is there already is replaced."""
+        """docs: group_id, doc_id, doc_name, doc_time, text. A document that is there already is replaced.
+
+        All tables change together: a run that fails leaves the store as it was. The graph follows as a second change.
+        """
         base = docs.select("group_id", "doc_id", "doc_name", "doc_time", F.expr("cast(map() as map<string,string>)").alias("metadata"))
         fresh = docs.select("group_id", "doc_id").distinct()
-        for name in ("chunks", "chunk_embeddings", "entities", "relations"):
-            self.store.replace(name, self.store.read(name).join(fresh, ["group_id", "doc_id"], "left_anti"))
-        self.store.upsert("documents", base)
         chunks = chunk_documents(docs, self.limits)
-        self.store.upsert("chunks", chunks)
-        vectors = self._embedded(chunks.join(docs.select("group_id", "doc_id", "doc_time"), ["group_id", "doc_id"]), "text")
-        self.store.upsert("chunk_embeddings", vectors.select(F.concat_ws(":", "group_id", "chunk_id").alias("pk"), "group_id", "doc_id", "doc_time", "chunk_id", "embedding"))
+        with self.store.batch() as store:
+            for name in ("chunks", "chunk_embeddings", "chunk_checkpoints"):
+                store.remove(name, fresh)
+            store.upsert("documents", base)
+            store.upsert("chunks", chunks)
+            mine = store.read("chunks").join(docs.select("group_id", "doc_id", "doc_time"), ["group_id", "doc_id"])
+            vectors = self._embedded(mine, "text").select(F.concat_ws(":", "group_id", "chunk_id").alias("pk"), "group_id", "doc_id", "doc_time", "chunk_id", "embedding")
+            store.upsert("chunk_embeddings", vectors)
         if self.extract:
-            self.build_graph(chunks)
-
-    def build_graph(self, chunks: DataFrame) -> None:
-        """Extract, fuse within documents, write entities and relations, rebuild the group's level."""
-        extract = self.extract
-
-        @F.pandas_udf("string")
-        def run(texts):
-            return texts.map(lambda t: extract(t or ""))
-
-        keys = ["group_id", "doc_id", "chunk_id", "chunk_index"]
-        lines = extraction.tagged_lines(chunks.withColumn("raw", run("text")), keys)
-        scope = ["group_id", "doc_id"]
-        found = resolution.with_ordinals(extraction.entities(lines, keys), scope, ["chunk_index", "line"])
-        fused = resolution.fuse(found, scope).withColumn("aliases", F.array().cast("array<string>"))
-        rel = resolution.rewrite(extraction.relations(lines, keys), resolution.alias_map(fused, scope), scope)
-        self.store.upsert("entities", fused.withColumn("entity_id", ids.entity_id(F.col("group_id"), F.col("doc_id"), F.col("canonical_name"))))
-        named = rel.withColumn("relation_id", ids.relation_id(F.col("group_id"), F.col("doc_id"), F.col("subject"), F.col("relation_type"), F.col("object")))
-        self.store.upsert("relations", named.withColumn("seq", F.col("chunk_index") * 100000 + F.col("line")))
-        self.rebuild_group_level()
-
-    def rebuild_group_level(self) -> None:
-        local = self.store.read("entities").withColumn("seq", F.xxhash64("entity_id"))
-        overall = resolution.fuse(local.withColumnRenamed("canonical_name", "name"), ["group_id"])
-        overall = overall.select(ids.global_entity_id(F.col("group_id"), F.col("canonical_name")).alias("global_entity_id"), "group_id", "canonical_name", "type", F.array().cast("array<string>").alias("aliases"), "description")
-        self.store.replace("global_entities", overall)
-        self.store.replace("global_relations", resolution.merge_relations(self.store.read("relations"), self.store.read("global_entities")))
-        e = self.store.read("global_entities").select(F.concat(F.lit("e:"), "global_entity_id").alias("pk"), F.lit("entity").alias("kind"), "group_id", F.lit(search.GLOBAL).alias("doc_id"), F.col("global_entity_id").alias("source_id"), F.col("canonical_name").alias("name"), F.concat_ws("\n", "canonical_name", F.array_join("aliases", ", "), "description").alias("text"), *(F.lit("").alias(c) for c in ("head_name", "tail_name", "relation_type")))
-        r = self.store.read("global_relations").select(F.concat(F.lit("r:"), "global_relation_id").alias("pk"), F.lit("relation").alias("kind"), "group_id", F.lit(search.GLOBAL).alias("doc_id"), F.col("global_relation_id").alias("source_id"), F.col("relation_type").alias("name"), F.concat(F.col("subject"), F.lit(" -["), "relation_type", F.lit("]-> "), "object", F.lit("\n"), F.coalesce("description", F.lit(""))).alias("text"), F.col("subject").alias("head_name"), F.col("object").alias("tail_name"), "relation_type")
-        self.store.replace("graph_index", self._embedded(e.unionByName(r), "text"))
+            self.build_graph(fresh)
+
+    def extract_chunks(self, documents: DataFrame) -> None:
+        """Extract what documents (group_id, doc_id) have left to extract; a chunk that is done isn't asked for again.
+
+        Each chunk's reply is kept as its checkpoint, so a run that stops goes on from there.
+        """
+        keys = ["group_id", "doc_id"]
+        chunks = self.store.read("chunks").join(documents.select(*keys).distinct(), keys, "left_semi")
+        left = recovery.remaining(chunks, self.store.read("chunk_checkpoints"))
+        told = left.withColumn("_a", models.answered(self.extract, F.col("text"), self.tries, 0.0))
+        status = F.when(F.col("_a.error").isNull(), "completed").otherwise("failed")
+        none = F.lit(None).cast(dict(self.store.read("chunk_checkpoints").dtypes)["parsed"])
+        rows = told.select(*keys, "chunk_id", "chunk_index", status.alias("status"), F.col("text").alias("resolved_text"), F.coalesce("_a.reply", F.lit("")).alias("raw"), none.alias("parsed"), F.coalesce("_a.error", F.lit("")).alias("error"), recovery.now().alias("updated_at"))
+        self.store.upsert("chunk_checkpoints", rows)
+
+    def build_graph(self, documents: DataFrame) -> None:
+        """Documents (group_id, doc_id): extract, fuse within each, align with the group's level, write all of it together."""
+        self.extract_chunks(documents)
+        with ExitStack() as stack, self.store.batch() as store:
+            # what several tables are made of is written once; models run and vectors are compared once
+            once = lambda rows: stack.enter_context(store.staged(rows))
+            keys, scope = ["group_id", "doc_id", "chunk_id", "chunk_index"], ["group_id", "doc_id"]
+            mine = once(documents.select(*scope).distinct())
+            done = once(recovery.restored(store.read("chunk_checkpoints").join(mine, scope, "left_semi"), store.read("chunks")).select(*keys, "raw", "text"))
+            lines = extraction.tagged_lines(done, keys)
+            texts = done.select("group_id", "chunk_id", F.col("text").alias("chunk_text"))
+            named = once(resolution.with_ordinals(extraction.entities(lines, keys), scope, ["chunk_index", "line"]).join(texts, ["group_id", "chunk_id"]))
+            found = once(extraction.relations(lines, keys).join(texts, ["group_id", "chunk_id"]))
+            fused = once(resolution.fuse(named, scope).withColumn("aliases", F.array().cast("array<string>")))
+            aliases = once(resolution.alias_map(fused, scope))
+            # the group's level as it is now: a fixed snapshot that all new entities are aligned with
+            groups = mine.select("group_id").distinct()
+            old = once(store.read("global_entities").join(groups, "group_id", "left_semi"))
+            index = store.read("graph_index").filter(F.col("kind") == "entity").filter(F.col("doc_id") == search.GLOBAL).select("group_id", F.col("source_id").alias("global_entity_id"), "embedding")
+            told = once(resolution.align_group(self._embedded(fused.withColumn("_text", resolution.entity_text()), "_text"), old.join(index, ["group_id", "global_entity_id"], "left")))
+            for name in ("entities", "relations", "entity_alignments", "relation_alignments", "entity_mentions", "relation_mentions"):
+                store.remove(name, mine)
+            store.upsert("entity_alignments", told.select(*scope, "local_entity_id", "global_entity_id", "local_name", "global_name", F.col("method").alias("alignment_method"), F.col("score").alias("alignment_score")))
+            store.upsert("global_entities", resolution.merged_level(told, old))
+            entities = once(resolution.rewritten_entities(told, old))
+            store.upsert("entities", entities)
+            overall = store.read("global_entities").join(groups, "group_id", "left_semi")
+            renamed = resolution.rewrite(resolution.rewrite(found, aliases, scope), resolution.alignment_map(told), scope)
+            local = renamed.withColumns({"relation_id": ids.relation_id(F.col("group_id"), F.col("doc_id"), F.col("subject"), F.col("relation_type"), F.col("object")), "seq": F.col("chunk_index") * 100_000 + F.col("line")})
+            store.upsert("relations", local)
+            new = once(store.read("relations").join(mine, scope, "left_semi"))
+            known = store.read("global_relations").join(groups, "group_id", "left_semi")
+            level, links = resolution.aligned_relations(new, overall, known)
+            store.upsert("relation_alignments", links)
+            store.upsert("global_relations", level)
+            store.upsert("entity_mentions", resolution.entity_mentions(named, aliases, entities, overall))
+            store.upsert("relation_mentions", resolution.relation_mentions(found, aliases, new, store.read("global_relations")))
+            self._index(mine)
+
+    def _index(self, documents: DataFrame) -> None:
+        """The graph index of documents and of their groups' level, written anew."""
+        store, scope = self.store, ["group_id", "doc_id"]
+        groups = documents.select("group_id").distinct()
+        level = groups.withColumn("doc_id", F.lit(search.GLOBAL))
+        places = documents.select(*scope).unionByName(level)
+        e = store.read("global_entities").join(groups, "group_id", "left_semi").withColumns({"doc_id": F.lit(search.GLOBAL), "entity_id": F.col("global_entity_id")})
+        r = store.read("global_relations").join(groups, "group_id", "left_semi").withColumns({"doc_id": F.lit(search.GLOBAL), "relation_id": F.col("global_relation_id")})
+        cols = ["group_id", "doc_id"]
+        every_e = e.select(*cols, "entity_id", "canonical_name", "aliases", "description").unionByName(store.read("entities").join(documents, scope, "left_semi").select(*cols, "entity_id", "canonical_name", "aliases", "description"))
+        fields = [*cols, "relation_id", "subject", "object", "relation_type", "description"]
+        every_r = r.select(*fields).unionByName(store.read("relations").join(documents, scope, "left_semi").select(*fields))
+        rows = evidence.entity_index(every_e).unionByName(evidence.relation_index(every_r))
+        store.remove("graph_index", places)
+        store.upsert("graph_index", self._embedded(rows, "text"))
+
+    def retry_chunk(self, group_id: str, doc_id: str, chunk_id: str) -> None:
+        """Extract one chunk again, and build its document's graph anew. An unknown chunk is an error."""
+        one = self.store.spark.createDataFrame([(group_id, doc_id, chunk_id)], "group_id string, doc_id string, chunk_id string")
+        if recovery.chunk_places(one, search.in_group(self.store.read("chunks"), group_id, doc_id)).filter("chunk_index >= 0").isEmpty():
+            raise ValueError(f"unknown chunk {chunk_id!r} of document {doc_id!r}")
+        self.store.remove("chunk_checkpoints", one)
+        self.build_graph(one.select("group_id", "doc_id"))
+
+    def recover(self, active: Sequence[str] = ()) -> int:
+        """Take up tasks that were running when the engine stopped (but those in `active`); how many there were."""
+        spark = self.store.spark
+        running = spark.createDataFrame([(x,) for x in active], "task_id string")
+        tasks = recovery.started_again(self.store.read("ingest_tasks"), running, recovery.now())
+        number = tasks.count()
+        if number:
+            self.store.merge_newest("ingest_tasks", tasks)
+            if self.extract:
+                again = self.store.read("ingest_tasks").filter("status = 'recovering'").select("group_id", "doc_id").distinct()
+                self.build_graph(again)
+            done = self.store.read("ingest_tasks").filter("status = 'recovering'").withColumns({"status": F.lit("completed"), "updated_at": recovery.now()})
+            self.store.merge_newest("ingest_tasks", done)
+        return number
+
+    def graph_search(self, group_id: str, query: str, top_k: int = 10, doc_id: str | None = None) -> dict[str, DataFrame]:
+        """Entities and relations near the query, up to eight seeds of them, what is around these, and where it is said."""
+        mine = lambda t: search.in_group(self.store.read(t), required("group_id", group_id))
+        rel, ent = self._graph(group_id, doc_id)
+        hits = {m: self.search(m, group_id, query, top_k, doc_id).withColumn("pos", F.struct(-F.col("score"), "pk")) for m in ("entities", "relations")}
+        parts = evidence.graph_search(hits["entities"], hits["relations"], rel, ent, mine("entity_mentions"), mine("relation_mentions"), mine("chunks"), doc_id)
+        return {"entity_hits": hits["entities"].drop("pos"), "relation_hits": hits["relations"].drop("pos")} | parts
+
+    def _graph(self, group_id: str, doc_id: str | None) -> tuple[DataFrame, DataFrame]:
+        """Relations and entities of a document, or of the group's level."""
+        if doc_id:
+            return tuple(search.in_group(self.store.read(t), group_id, doc_id) for t in ("relations", "entities"))
+        rel = search.in_group(self.store.read("global_relations"), group_id).withColumns({"relation_id": F.col("global_relation_id"), "doc_id": F.lit(search.GLOBAL)})
+        return rel, search.in_group(self.store.read("global_entities"), group_id).withColumn("doc_id", F.lit(search.GLOBAL))
 
     def search(self, mode: str, group_id: str, query: str = "", top_k: int = 20, doc_id: str | None = None, start: str | None = None, end: str | None = None, names: Sequence[str] = (), relation_ids: Sequence[str] = (), triples: Sequence[tuple[str, str, str]] = (), limit: int = 200) -> DataFrame:
         """One of MODES; any other is an error, and so is a blank group."""
@@ -101,15 +179,12 @@ class Engine:
             return search.with_text(search.chunks_vector(read("chunk_embeddings"), group_id, vector, top_k, doc_id, start, end), search.in_group(read("chunks"), group_id))
         if mode in ("entities", "relations"):
             return search.graph_index(read("graph_index"), group_id, "entity" if mode == "entities" else "relation", vector, top_k, doc_id)
-        mine = lambda t: search.in_group(read(t), group_id, doc_id)
-        rel, ent = (mine("relations"), mine("entities")) if doc_id else (read("global_relations").filter(F.col("group_id") == group_id).withColumn("relation_id", F.col("global_relation_id")).withColumn("doc_id", F.lit(search.GLOBAL)), read("global_entities").filter(F.col("group_id") == group_id).withColumn("doc_id", F.lit(search.GLOBAL)))
+        rel, ent = self._graph(group_id, doc_id)
         if mode == "relations_by_entities":
             return graph.relations_by_entities(rel, ent, names, limit)
         if mode == "entities_by_relations":
             return graph.entities_by_relations(rel, ent, relation_ids, triples, limit)
-        hits = search.graph_index(read("graph_index"), group_id, "entity", vector, 10, doc_id, ["pk", "name"])
-        seeds = [x[0] for x in hits.limit(8).select("name").collect()]
-        return graph.relations_by_entities(rel, ent, seeds, limit)
+        return self.graph_search(group_id, query, min(top_k, 10), doc_id)["relations"]
 
     def expand(self, group_id: str, names: Sequence[str], depth: int = 2, limit: int = 50) -> DataFrame:
         """Trails of the group's graph from distinct, non-blank names."""
@@ -123,13 +198,17 @@ class Engine:
         for i, step in enumerate(steps):
             try:
                 hits = self.search(step["mode"], group_id, step.get("query") or query, int(step.get("top_k") or 10), step.get("doc_id"))
-                have = set(hits.columns)
-                pick = lambda *c: F.coalesce(*(F.col(x).cast("string") for x in c if x in have), F.lit(""))  # noqa: E731, B023
-                parts.append(hits.select(F.lit(i).alias("step"), F.monotonically_increasing_id().alias("pos"), F.lit(step["mode"]).alias("mode"), pick("doc_id").alias("doc_id"), pick("chunk_id").alias("chunk_id"), pick("text").alias("text"), pick("name", "canonical_name").alias("entity_name"), pick("relation_type").alias("relation")))
-            except Exception as e:  # told to the caller
+            except (KeyError, ValueError) as e:  # told to the caller; an error of the engine is not caught
                 failed.append({"step": i, "error": str(e)})
+                continue
+            have = set(hits.columns)
+            pick = lambda *c: F.coalesce(*(F.col(x).cast("string") for x in c if x in have), F.lit(""))  # noqa: E731, B023
+            key = [pick("doc_id"), pick("chunk_id", "pk", "relation_id", "entity_id", "global_entity_id", "canonical_name")]
+            # at most top_k or limit rows: their place is that of their sort key, whatever task they are in
+            place = F.struct(*([-F.col("score")] if "score" in have else []), *key)
+            parts.append(hits.select(F.lit(i).alias("step"), F.to_json(place).alias("_tie"), (-F.col("score") if "score" in have else F.lit(0.0)).cast("double").alias("_by"), F.lit(step["mode"]).alias("mode"), pick("doc_id").alias("doc_id"), pick("chunk_id").alias("chunk_id"), pick("text").alias("text"), pick("name", "canonical_name").alias("entity_name"), pick("relation_type").alias("relation")).withColumn("pos", F.struct("_by", "_tie")).drop("_by", "_tie"))
         if not parts:
-            return self.store.spark.createDataFrame([], "step int, pos bigint, mode string, doc_id string, chunk_id string, text string, entity_name string, relation string"), failed
+            return self.store.spark.createDataFrame([], "step int, pos struct<_by:double,_tie:string>, mode string, doc_id string, chunk_id string, text string, entity_name string, relation string"), failed
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)

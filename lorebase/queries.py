@@ -11,7 +11,7 @@ from . import bindings as B
 from .bindings import with_sql
 from .functions import chunker, ids, vectors
 from .functions import text as T
-from .operators import density, extraction, graph, monitor, progress, resolution, search, store, traces
+from .operators import density, evidence, extraction, graph, monitor, progress, resolution, search, store, traces
 from .streaming import progress as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,9 +453,9 @@ def monitor_counters(spark, sf):
     return seen.select("name", "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"))
 
 
-@query(with_sql("ents") + "SELECT canonical_name, canonical_name || '; ' || array_to_string(aliases, ',') || '; ' || description AS text FROM ents")
+@query(with_sql("ents") + "SELECT canonical_name, canonical_name || chr(10) || array_to_string(aliases, ' ') || chr(10) || description AS text FROM ents")
 def graph_index_text(spark, sf):
-    return B.entities(spark, sf).select("canonical_name", F.concat_ws("; ", "canonical_name", F.array_join("aliases", ","), "description").alias("text"))
+    return evidence.entity_index(B.entities(spark, sf).withColumn("entity_id", F.col("canonical_name"))).select(F.col("name").alias("canonical_name"), "text")
 
 
 @query("""SELECT n_nationkey AS k, n_name AS name, 'nation' AS type, 'in ' || n_regionkey || '<|SEP|>x' AS description FROM nation""")

@@ -355,6 +355,37 @@ def relation_mentions(spark, sf):
     return out.join(names, "chunk_id").select("chunk_id", F.col("_s").alias("subject"), "object", "local_relation_id", "global_relation_id")
 
 
+@query(with_sql("rels") + "SELECT relation_id, relation_type AS name, subject || ' -[' || relation_type || ']-> ' || object || chr(10) || description AS text FROM rels")
+def relation_index_text(spark, sf):
+    return evidence.relation_index(B.relations(spark, sf)).select(F.col("source_id").alias("relation_id"), "name", "text")
+
+
+@query(with_sql("ents", "rels") + """
+SELECT relation_id, CASE WHEN confidence > 5 THEN 'merge_global_relation' ELSE 'create_global_relation' END AS method FROM rels""")
+def relation_alignment(spark, sf):
+    """Relations against a group's level that has those of confidence over 5."""
+    from .functions import ids
+
+    e = B.entities(spark, sf).select("group_id", "canonical_name").distinct().withColumn("global_entity_id", ids.global_entity_id(F.col("group_id"), F.col("canonical_name")))
+    r = B.relations(spark, sf)
+    known = resolution.merge_relations(r.filter("confidence > 5"), e)
+    _, links = resolution.aligned_relations(r, e, known)
+    return links.select(F.col("local_relation_id").alias("relation_id"), F.col("alignment_method").alias("method"))
+
+
+@query("""SELECT s_suppkey AS k, s_name AS global_name, CASE WHEN s_suppkey % 2 = 0 THEN 'old words of it' ELSE 'new words, which are more' END AS description, 2 AS aliases FROM supplier""")
+def level_merge(spark, sf):
+    """Entities in upper case aligned with a level that has their names: longest descriptions, all names."""
+    s = B.table(spark, sf, "supplier")
+    none = F.array().cast("array<double>")
+    key = F.concat(F.lit("g"), "s_suppkey")
+    old = s.select(key.alias("global_entity_id"), F.lit("g").alias("group_id"), F.col("s_name").alias("canonical_name"), F.lit("supplier").alias("type"), F.array("s_name").alias("aliases"), F.lit("old words of it").alias("description"), none.alias("embedding"))
+    text = F.when(F.col("s_suppkey") % 2 == 0, "new").otherwise("new words, which are more")
+    new = s.select(F.lit("g").alias("group_id"), F.lit("d").alias("doc_id"), F.upper("s_name").alias("canonical_name"), F.lit("").alias("type"), F.array().cast("array<string>").alias("aliases"), text.alias("description"), none.alias("embedding"))
+    merged = resolution.merged_level(resolution.align_group(new, old), old)
+    return merged.select(F.substring("global_entity_id", 2, 20).cast("long").alias("k"), F.col("canonical_name").alias("global_name"), "description", F.size("aliases").alias("aliases"))
+
+
 @query(with_sql("rels") + ", top AS (SELECT DISTINCT relation_id FROM und WHERE a IN (SELECT r_name FROM region)) SELECT relation_id FROM top ORDER BY relation_id LIMIT 200")
 def incident_of_regions(spark, sf):
     names = [r.r_name for r in B.table(spark, sf, "region").select("r_name").collect()]  # the names that a caller asks for

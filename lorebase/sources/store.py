@@ -1,65 +1,249 @@
-"""The store on disk: one Parquet folder for each table version, partitioned by group; merges write anew and swap a pointer."""
+"""The store on disk: Parquet folders by group and part, and manifests that say which folders count."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import delete_document, empty, upsert_table
-from ..schemas import SCHEMAS
+from ..operators.store import delete_document, empty, newest, upsert_table
+from ..schemas import KEYS, SCHEMAS
+
+#: Parts that a new store deals a group's rows to, so that a write touches few of them.
+PARTS = 64
+#: Manifests that are kept besides the current one.
+KEPT = 5
+_PLACE = ("group_id", "part")
+
+
+def _fields(name: str) -> list[str]:
+    depth, out = 0, [""]
+    for c in SCHEMAS[name]:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [f.split()[0] for f in out]
+
+
+def part_of(name: str, parts: int) -> Column:
+    """The part of a row: by its document, or by its last key where a table has none."""
+    fields = _fields(name)
+    return F.pmod(F.xxhash64("doc_id" if "doc_id" in fields else KEYS[name][-1]), F.lit(parts)).cast("int")
 
 
 class Store:
-    """Tables below a folder. A write goes to a new folder, and a one-row table names the current one: readers never see half."""
+    """Tables below a folder. Rows of a group and part lie in one folder; a write makes new folders for those it touches only.
+
+    A manifest lists the folders of all tables. It is written last, under the next number: readers see all of a change
+    or nothing, over all tables that `batch` spans, and a writer that dies leaves folders nobody reads. One writer at a
+    time; the manifest has one line for each table, group and part.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        """parts: of a new store; one that is there already keeps its own."""
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: tuple[int, dict[str, dict[str, str]]] = (0, {})
+        self.parts = int(self._stored().get("", {}).get("parts", parts))
+        self._pending: dict[str, dict[str, str]] | None = None
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/_current/{name}"
+    # --- files
 
-    def _exists(self, path: str) -> bool:
+    def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def read(self, name: str) -> DataFrame:
-        if not self._exists(self._pointer(name)):
+    def _list(self, pattern: str) -> list[str]:
+        fs, p = self._fs(pattern)
+        return sorted(x.getPath().toString() for x in (fs.globStatus(p) or ()))
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _versions(self) -> list[int]:
+        return [int(x.rstrip("/").split("/")[-2]) for x in self._list(f"{self.root}/_manifests/*/_SUCCESS")]
+
+    def _manifest(self) -> dict[str, dict[str, str]]:
+        """By table: folder of a group and part -> version it is of."""
+        if self._pending is not None:
+            return self._pending
+        return self._stored()
+
+    def _stored(self) -> dict[str, dict[str, str]]:
+        newest = max(self._versions(), default=0)
+        if newest != self._seen[0]:
+            out: dict[str, dict[str, str]] = {}
+            for row in self.spark.read.text(f"{self.root}/_manifests/{newest}").collect():  # a line for each folder
+                table, place, version = json.loads(row.value)
+                out.setdefault(table, {})[place] = version
+            self._seen = newest, out
+        return self._seen[1]
+
+    def _commit(self, manifest: dict[str, dict[str, str]]) -> None:
+        if self._pending is not None:
+            self._pending = manifest
+            return
+        known = self._versions()
+        number = max(known, default=0) + 1
+        self._delete(f"{self.root}/_manifests/{number}")  # what a writer left that died
+        manifest = manifest | {"": {"parts": str(self.parts)}}
+        lines = [(json.dumps([t, p, v]),) for t, places in manifest.items() for p, v in sorted(places.items())]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{self.root}/_manifests/{number}")
+        for old in sorted(known)[:-KEPT]:
+            self._delete(f"{self.root}/_manifests/{old}")
+
+    @contextmanager
+    def batch(self):
+        """Writes inside count together, when the block ends without an error; reads inside see them."""
+        if self._pending is not None:
+            yield self
+            return
+        self._pending = self._manifest()
+        try:
+            yield self
+            made = self._pending
+        finally:
+            self._pending = None
+        self._commit(made)
+
+    def vacuum(self) -> int:
+        """Delete folders that no manifest names; how many there were."""
+        used = {f"{t}/{v}" for t, places in self._manifest().items() for v in places.values()}
+        for n in self._versions():
+            used |= {f"{t}/{v}" for r in self.spark.read.text(f"{self.root}/_manifests/{n}").collect() for t, _, v in [json.loads(r.value)]}
+        gone = [x for x in self._list(f"{self.root}/data/*/*") if "/".join(x.split("/")[-2:]) not in used]
+        for x in gone:
+            self._delete(x)
+        return len(gone)
+
+    # --- tables
+
+    def _folder(self, name: str, group_id: str | None, part: int) -> str:
+        one = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        return "/".join([*([one("group_id", group_id)] if "group_id" in _fields(name) else []), one("part", str(part))])
+
+    def _read(self, name: str, places: dict[str, str]) -> DataFrame:
+        if not places:
             return empty(self.spark, name)
-        at = self.spark.read.schema("path string").json(self._pointer(name)).first()[0]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{at}")
+        base = f"{self.root}/data/{name}"
+        paths = [f"{base}/{v}/{p}" for p, v in places.items()]
+        return self.spark.read.schema(f"{SCHEMAS[name]}, part int, v string").option("basePath", base).parquet(*paths).select(*_fields(name))
+
+    def read(self, name: str) -> DataFrame:
+        """The whole table; a filter on group_id reads that group's folders only."""
+        return self._read(name, self._manifest().get(name, {}))
+
+    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
+        version = f"v={uuid.uuid4()}"
+        at = f"{self.root}/data/{name}/{version}"
+        by = [c for c in _PLACE if c == "part" or c in _fields(name)]
+        out = rows.select(*_fields(name), part_of(name, self.parts).alias("part"))
+        # dealt by folder, but a folder with very many rows is split over tasks and files
+        out.hint("rebalance", *by).write.partitionBy(*by).parquet(at)
+        depth = len(by)
+        return {"/".join(x.rstrip("/").split("/")[-depth:]): version for x in self._list(f"{at}/{'/'.join(f'{c}=*' for c in by)}")}
+
+    def _put(self, name: str, rows: DataFrame, touched: set[str] | None = None) -> None:
+        """Rows are all there is in the touched folders (None: in the table)."""
+        made = self._write(name, rows)
+        manifest = dict(self._manifest())
+        kept = {p: v for p, v in manifest.get(name, {}).items() if touched is not None and p not in touched}
+        self._commit(manifest | {name: kept | made})
+
+    def _touched(self, name: str, rows: DataFrame) -> set[str]:
+        by = [c for c in _PLACE if c == "part" or c in _fields(name)]
+        found = rows.select(*[c for c in by if c != "part"], part_of(name, self.parts).alias("part")).distinct().collect()  # a row for each folder
+        return {self._folder(name, r.group_id if "group_id" in by else None, r.part) for r in found}
+
+    def _here(self, name: str, touched: set[str]) -> DataFrame:
+        return self._read(name, {p: v for p, v in self._manifest().get(name, {}).items() if p in touched})
+
+    @contextmanager
+    def staged(self, rows: DataFrame):
+        """The rows as files: what made them (a model, say) runs once, and what is read below isn't written to meanwhile."""
+        at = f"{self.root}/_staging/{uuid.uuid4()}"
+        rows.write.parquet(at)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(at)
+        finally:
+            self._delete(at)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        at = f"{name}/{uuid.uuid4()}"
-        fields = [f.split()[0] for f in SCHEMAS[name].split(", ") if " " in f]
-        out = rows.select(*[c for c in self.read(name).columns if c in fields or c in rows.columns])
-        writer = out.write.partitionBy("group_id") if "group_id" in out.columns and name != "groups" else out.write
-        writer.parquet(f"{self.root}/{at}")
-        self.spark.createDataFrame([(at,)], "path string").coalesce(1).write.mode("overwrite").json(self._pointer(name))
+        self._put(name, rows)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows))
+        """Rows beside those that are there, read together."""
+        with self.staged(rows) as new:
+            touched = self._touched(name, new)
+            self._put(name, self._here(name, touched).unionByName(new.select(*_fields(name))), touched)
 
     def upsert(self, name: str, rows: DataFrame, sequence: str = "seq") -> None:
-        some = rows if sequence in rows.columns else rows.withColumn(sequence, F.lit(0))
-        self.replace(name, upsert_table(name, self.read(name), some, sequence))
+        """Merge by the table's keys; of rows of one key the last by `sequence` counts, without that column the greatest as text."""
+        with self.staged(rows) as new:
+            touched = self._touched(name, new)
+            some = new if sequence in new.columns else new.withColumn(sequence, F.lit(0))
+            self._put(name, upsert_table(name, self._here(name, touched), some, sequence), touched)
+
+    def merge_newest(self, name: str, rows: DataFrame, order: str = "updated_at") -> None:
+        """Merge by the table's keys, stored rows too giving way only to later ones: merging twice, or late, changes nothing."""
+        with self.staged(rows) as new:
+            touched = self._touched(name, new)
+            self._put(name, newest(self._here(name, touched), new, KEYS[name], order), touched)
+
+    def remove(self, name: str, keys: DataFrame) -> None:
+        """Without the rows that agree with any row of keys, whose columns are some of the table's."""
+        on = keys.columns
+        places = None
+        if set(on) >= ({"group_id", "doc_id"} & set(_fields(name))) and "doc_id" in _fields(name):
+            places = self._touched(name, keys)
+        every = self._manifest().get(name, {})
+        touched = set(every) if places is None else places & set(every)
+        if touched:
+            self._put(name, self._here(name, touched).join(keys.distinct(), on, "left_anti"), touched)
+
+    def _of_group(self, name: str, group_id: str) -> set[str]:
+        head = self._folder(name, group_id, 0).split("/")[0] + "/"
+        return {p for p in self._manifest().get(name, {}) if p.startswith(head)}
 
     def delete_document(self, group_id: str, doc_id: str, graph_only: bool = False) -> bool:
-        """Whether the document was there. Chunk vectors and its graph-index rows go with it."""
+        """Whether the document was there. Chunk vectors and its graph-index rows go with it; only its group is read."""
         names = ["documents", "chunks", "entities", "relations", "global_entities", "entity_alignments", "global_relations", "relation_alignments", "entity_mentions", "relation_mentions"]
-        tables = {n: self.read(n) for n in names}
         here = (F.col("group_id") == group_id) & (F.col("doc_id") == doc_id)
+        own = {n: self._of_group(n, group_id) for n in [*names, "graph_index", "chunk_embeddings"]}
+        tables = {n: self._here(n, own[n]) for n in names}
         was = not tables["documents"].filter(here).isEmpty()
-        for name, rows in delete_document(tables, group_id, doc_id, graph_only).items():
-            if rows is not tables[name]:
-                self.replace(name, rows)
-        for name in ["graph_index"] + ["chunk_embeddings"] * (not graph_only):
-            self.replace(name, self.read(name).filter(~here))
+        with self.batch():
+            for name, rows in delete_document(tables, group_id, doc_id, graph_only).items():
+                # a document's rows lie in one part of their table
+                touched = own[name] & {self._doc_folder(name, group_id, doc_id)} if "doc_id" in _fields(name) else own[name]
+                if rows is not tables[name] and touched:
+                    self._put(name, self._here(name, touched).filter(~here) if "doc_id" in _fields(name) else rows, touched)
+            for name in ["graph_index"] + ["chunk_embeddings"] * (not graph_only):
+                touched = own[name] & {self._doc_folder(name, group_id, doc_id)}
+                if touched:
+                    self._put(name, self._here(name, touched).filter(~here), touched)
         return True if graph_only else was
 
+    def _doc_folder(self, name: str, group_id: str, doc_id: str) -> str:
+        part = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id)), F.lit(self.parts)).cast("int")).first()[0]
+        return self._folder(name, group_id, part)
+
     def delete_group(self, group_id: str) -> None:
-        """All rows of a group but its own record."""
-        for name in SCHEMAS:
-            if "group_id" in self.read(name).columns and name != "groups":
-                self.replace(name, self.read(name).filter(F.col("group_id") != group_id))
+        """All rows of a group but its own record: its folders are left out of the manifest, no row is read."""
+        manifest = self._manifest()
+        out = {n: {p: v for p, v in places.items() if n in ("", "groups") or "group_id" not in _fields(n) or p not in self._of_group(n, group_id)} for n, places in manifest.items()}
+        self._commit(out)
+
+    def clear(self, names: Sequence[str] | None = None, really: bool = False) -> dict[str, int]:
+        """How many folders of the tables would go (all tables without names); they go if `really`."""
+        manifest = self._manifest()
+        gone = {n: len(places) for n, places in manifest.items() if n and (names is None or n in names)}
+        if really:
+            self._commit({n: places for n, places in manifest.items() if n not in gone})
+        return gone

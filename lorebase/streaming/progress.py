@@ -47,10 +47,14 @@ def transition(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     return j.withColumns({"retry_count": F.col("retry_count") + F.when(action == "resume", 1).otherwise(0), "cancel_requested": (action == "cancel") & ~ended & status.isin(*ACTIVE) | F.coalesce("cancel_requested", F.lit(False)) & ((action != "resume") | action.isNull()), "updated_at": F.when(action.isNotNull() & (new != status), F.col("r.at")).otherwise(F.col("updated_at")), "status": new}).drop("r")
 
 
-def write_states(events: DataFrame, store, checkpoint: str, table: str = "ingest_tasks"):
-    """Each micro-batch is merged into the store by its key; run with what has arrived."""
+def write_states(events: DataFrame, store, checkpoint: str, table: str = "ingest_tasks", order: str = "updated_at"):
+    """Each micro-batch is merged into the store by its key; run with what has arrived.
+
+    A key's row is that with the greatest `order`, over all batches: a batch that is run again, or rows that come late,
+    don't undo what is newer.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        store.upsert(table, batch)
+        store.merge_newest(table, batch, order)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

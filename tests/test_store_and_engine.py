@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase.functions.chunker import Limits
-from lorebase.operators import density, progress, store
+from lorebase.operators import ann, density, evidence, monitor, progress, store
 from lorebase.plans.engine import Engine
 from lorebase.sources.files import batch_process, scan_files, tail_log
 from lorebase.sources.store import Store
@@ -28,10 +28,10 @@ def test_engine(spark, tmp_path):
         lines += [f"relation<|SEP|>{a}<|SEP|>{b}<|SEP|>next<|SEP|>near<|SEP|>5" for a, b in zip(names, names[1:])]
         return "\n".join([*lines, "<|DONE|>"])
 
-    engine = Engine(Store(spark, str(tmp_path)), extract=extract, limits=Limits(5, 1))
+    engine = Engine(Store(spark, str(tmp_path), 2), extract=extract, limits=Limits(5, 1))
     docs = spark.createDataFrame([("g", "1", "one", "2024-01-01", "Alpha meets Beta\nBeta meets Gamma"), ("g", "2", "two", "2024-02-01", "Delta sleeps"), ("h", "3", "three", "2024-02-01", "Alpha")], "group_id string, doc_id string, doc_name string, doc_time string, text string")
-    engine.ingest(docs)
-    engine.ingest(docs)  # again: nothing doubles
+    engine.ingest(docs.limit(2))
+    engine.ingest(docs)  # some again: nothing doubles
     assert engine.store.read("chunks").count() == 4
     hit = engine.search("chunks_keyword", "g", "gamma").first()
     assert hit.doc_id == "1" and hit.chunk_index == 1
@@ -104,3 +104,137 @@ def test_density(spark):
 def test_dedupe_lines(spark):
     df = spark.createDataFrame([("a\n\n\nb\n a\nb\nc",)], "c string")
     assert df.select(progress.dedupe_lines(F.col("c"))).first()[0] == "a\n\nb\nc"
+
+
+def namer(text):
+    names = [w for w in text.split() if w[:1].isupper()]
+    if "Boom" in names:
+        raise ValueError("no")
+    lines = [f"entity<|SEP|>{n}<|SEP|>Name<|SEP|>about {n}" for n in names]
+    lines += [f"relation<|SEP|>{a}<|SEP|>{b}<|SEP|>next<|SEP|>near<|SEP|>5" for a, b in zip(names, names[1:])]
+    return "\n".join([*lines, "<|DONE|>"])
+
+
+DOCS = "group_id string, doc_id string, doc_name string, doc_time string, text string"
+
+
+def test_alignment_mentions_and_evidence(spark, tmp_path):
+    engine = Engine(Store(spark, str(tmp_path), 2), extract=namer, limits=Limits(5, 1), tries=1)
+    engine.ingest(spark.createDataFrame([("g", "1", "one", "t1", "Alpha meets Beta\nBeta meets Gamma")], DOCS))
+    engine.ingest(spark.createDataFrame([("g", "2", "two", "t2", "ALPHA sees Beta")], DOCS))
+    rows = lambda t, *c: {tuple(r) for r in engine.store.read(t).select(*c).collect()}
+    # ALPHA is found under the name that the group has for it
+    assert rows("global_entities", "canonical_name") == {("Alpha",), ("Beta",), ("Gamma",)}
+    assert ("2", "ALPHA", "Alpha", "exact_name") in rows("entity_alignments", "doc_id", "local_name", "global_name", "alignment_method")
+    assert rows("entities", "doc_id", "canonical_name") == {("1", "Alpha"), ("1", "Beta"), ("1", "Gamma"), ("2", "Alpha"), ("2", "Beta")}
+    assert rows("global_relations", "subject", "object") == {("Alpha", "Beta"), ("Beta", "Gamma")}
+    assert {r[0] for r in rows("relation_alignments", "doc_id")} == {"1", "2"} and len(rows("relation_mentions", "mention_id")) == 3
+    assert {("1", "Beta"), ("2", "ALPHA")} <= rows("entity_mentions", "doc_id", "entity_name")
+    found = engine.graph_search("g", "Alpha", 2)
+    assert {r["name"] for r in found["seeds"].collect()} >= {"Alpha"}
+    assert {(r.subject, r.object) for r in found["relations"].collect()} >= {("Alpha", "Beta")}
+    assert {r.doc_id for r in found["entity_mentions"].collect()} == {"1", "2"} and found["chunks"].count() >= 2
+    assert {r.part for r in evidence.result_counts(found).filter("used").collect()} >= {"entity_hits", "relations", "entities", "chunks"}
+    # a document that goes takes only what nothing else stands on
+    engine.store.delete_document("g", "1", graph_only=True)
+    assert rows("global_entities", "canonical_name") == {("Alpha",), ("Beta",)} and rows("global_relations", "object") == {("Beta",)}
+    assert engine.store.vacuum() > 0 and engine.store.read("chunks").count() == 3
+
+
+def test_resume_and_retry(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def counting(text):
+        (asked / f"{abs(hash(text))}-{len(list(asked.iterdir()))}").write_text(text)
+        return namer(text) if not (tmp_path / "calm").exists() else namer(text.replace("Boom", "Bim"))
+
+    engine = Engine(Store(spark, str(tmp_path / "store"), 2), extract=counting, limits=Limits(5, 1), tries=1)
+    engine.ingest(spark.createDataFrame([("g", "1", "one", "t1", "Alpha meets Beta\nBoom meets Gamma")], DOCS))
+    states = lambda: {r.chunk_id: r.status for r in engine.store.read("chunk_checkpoints").collect()}
+    assert states() == {"1::chunk_1": "completed", "1::chunk_2": "failed"} and len(list(asked.iterdir())) == 2
+    (tmp_path / "calm").write_text("")
+    engine.build_graph(engine.store.read("documents").select("group_id", "doc_id"))  # goes on with what is left
+    assert states()["1::chunk_2"] == "completed" and len(list(asked.iterdir())) == 3
+    assert {r.canonical_name for r in engine.store.read("entities").collect()} == {"Alpha", "Beta", "Bim", "Gamma"}
+    engine.retry_chunk("g", "1", "1::chunk_1")
+    assert len(list(asked.iterdir())) == 4
+    with pytest.raises(ValueError):
+        engine.retry_chunk("g", "1", "none")
+    task = spark.createDataFrame([("t", "g", "1", "running", "2024", "2024", 0, False)], "task_id string, group_id string, doc_id string, status string, created_at string, updated_at string, retry_count int, cancel_requested boolean")
+    engine.store.merge_newest("ingest_tasks", task)
+    assert engine.recover(["t"]) == 0 and engine.recover() == 1
+    assert {(r.status, r.retry_count) for r in engine.store.read("ingest_tasks").collect()} == {("completed", 1)}
+
+
+def test_store_writes(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    kind = "group_id string, doc_id string, chunk_id string, chunk_index int, text string"
+    row = lambda g, d, t: (g, d, f"{d}::chunk_1", 0, t)
+    s.upsert("chunks", spark.createDataFrame([row("a", str(i), "x") for i in range(40)] + [row("b/c=d", "1", "x"), row(None, "2", "x")], kind))
+    before = s._manifest()["chunks"]
+    assert Store(spark, str(tmp_path), 3).parts == s.parts == 64 and Store(spark, str(tmp_path)).read("chunks").count() == 42
+    # two rows of one key in a batch, in either order: by the order column, and without it by what they are
+    for rows in ([("y", 1), ("z", 0)], [("z", 0), ("y", 1)]):
+        s.upsert("chunks", spark.createDataFrame([(*row("a", "7", t), n) for t, n in rows], f"{kind}, seq long"))
+        assert s.read("chunks").filter("doc_id = '7'").first().text == "y"
+    for rows in (("p", "q"), ("q", "p")):
+        s.upsert("chunks", spark.createDataFrame([row("a", "8", t) for t in rows], kind))
+        assert s.read("chunks").filter("doc_id = '8'").first().text == "q"
+    after = s._manifest()["chunks"]
+    assert sum(before[p] != after[p] for p in before) <= 2 and s.read("chunks").count() == 42
+    with pytest.raises(ZeroDivisionError):
+        with s.batch():
+            s.replace("chunks", s.read("chunks").limit(0))
+            assert s.read("chunks").count() == 0
+            1 / 0
+    assert s.read("chunks").count() == 42
+    s.remove("chunks", spark.createDataFrame([("b/c=d", "1")], "group_id string, doc_id string"))
+    s.delete_group("a")
+    assert [tuple(r)[:2] for r in s.read("chunks").collect()] == [(None, "2")]
+    assert s.clear(["chunks"]) == {"chunks": 1} and s.read("chunks").count() == 1
+    s.clear(really=True)
+    assert s.read("chunks").count() == 0
+
+
+def test_states_are_merged_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    kind = "task_id string, group_id string, doc_id string, status string, updated_at string"
+    s = Store(spark, str(tmp_path / "store"))
+    for i, rows in enumerate([[("t", "2", "running"), ("t", "1", "pending")], [("t", "1", "late")], [("t", "3", "completed")]]):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"task_id": t, "group_id": "g", "doc_id": "d", "status": x, "updated_at": u}) for t, u, x in rows))
+        for _ in range(2):  # the second time nothing is new
+            stream.write_states(spark.readStream.schema(kind).json(str(tmp_path / "in")), s, str(tmp_path / "cp")).awaitTermination()
+        assert s.read("ingest_tasks").first().status == ("running" if i < 2 else "completed") and s.read("ingest_tasks").count() == 1
+    stream.write_states(spark.readStream.schema(kind).json(str(tmp_path / "in")), s, str(tmp_path / "cp2")).awaitTermination()  # all again
+    assert s.read("ingest_tasks").first().status == "completed"
+
+
+def test_paired_streams(spark, tmp_path):
+    for name, rows in (("s", [("1", "tool", "x", "2024-01-01T00:00:00Z"), ("2", "tool", "y", "2024-01-01T00:00:00Z")]), ("e", [("1", "done", None, "2024-01-01T00:00:01.5Z"), ("9", "done", None, "2024-01-01T00:00:01Z")])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(json.dumps({"invocation_id": i, "kind": k, "status": k, "name": n, "ts": t}) for i, k, n, t in rows))
+    starts = spark.readStream.schema("invocation_id string, kind string, name string, ts timestamp").json(str(tmp_path / "s"))
+    ends = spark.readStream.schema("invocation_id string, status string, ts timestamp").json(str(tmp_path / "e"))
+    monitor.paired(starts, ends).writeStream.format("memory").queryName("paired").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.invocation_id, r.kind, r.latency_ms) for r in spark.table("paired").collect()] == [("1", "tool", 1500.0)]
+    monitor.export({"counters": monitor.counters(spark.createDataFrame([("a", 1), ("a", 2)], "name string, value long"))}, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "counters")).first().total == 3
+
+
+def test_inverted_lists(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(12, 16))
+    x = (centre[rng.integers(0, 12, 1500)] + 0.3 * rng.normal(size=(1500, 16))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)] + [("empty", []), ("short", [1.0])], "pk string, embedding array<float>")
+    c = ann.fit(rows.filter("size(embedding) = 16"), "pk", 24)
+    index = ann.build(rows, c).cache()
+    assert {r["list"] for r in index.filter("pk in ('empty', 'short')").collect()} == {-1}
+    hit = 0
+    for q in range(0, 1500, 75):
+        want = set(map(str, np.argsort(-(x @ x[q]), kind="stable")[:10]))
+        hit += len(want & {r.pk for r in ann.search(index.filter("list >= 0"), c, x[q].tolist(), 10, "pk", ["pk"], probes=6).collect()})
+    assert hit >= 0.9 * 200  # recall at 10 against all vectors
+    assert ann.search(index.filter("list >= 0"), c, x[0].tolist(), 1400, "pk", ["pk"], probes=1).count() == 1400  # too few in a list: all are read
+    assert ann.fit(rows.limit(0), "pk").shape == (0, 0) and ann.search(index, c, [], 3, "pk", ["pk"]).count() == 0
