@@ -56,18 +56,26 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None =
     """Undirected trails of 1 to depth edges from the seeds (column `name`), none using an edge twice.
 
     (seed, node, hops, path): path is the array of relation_ids. With a limit, each seed keeps its first trails by
-    length and path. One join a hop; the edges are shuffled by their end once and reused.
+    length and path; as shorter ones come first, each hop is cut to the limit as it is made and a seed that has its
+    trails goes no further, so that a hub costs its edges once and not their products. One join a hop; the edges are
+    shuffled by their end once and reused.
     """
     steps = undirected(edges).select("relation_id", "from", "to")
     front = seeds.select(F.col("name").alias("seed"), F.col("name").alias("node"), F.array().cast("array<string>").alias("path"))
     found = None
-    for _ in range(max(1, depth)):
+    place = Window.partitionBy("seed").orderBy("path", "node")
+    for hop in range(max(1, depth)):
+        if limit is not None and found is not None:
+            full = found.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= limit)
+            front = front.join(full, "seed", "left_anti")
         front = front.join(steps, front["node"] == steps["from"]).filter(~F.array_contains("path", F.col("relation_id"))).select("seed", F.col("to").alias("node"), F.array_append("path", F.col("relation_id")).alias("path"))
+        if limit is not None:
+            front = front.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= limit).drop("_n")
         found = front if found is None else found.unionByName(front)
     found = found.withColumn("hops", F.size("path"))
     if limit is not None:
-        place = Window.partitionBy("seed").orderBy("hops", "path")
-        found = found.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= limit).drop("_n")
+        by_length = Window.partitionBy("seed").orderBy("hops", "path", "node")
+        found = found.withColumn("_n", F.row_number().over(by_length)).filter(F.col("_n") <= limit).drop("_n")
     return found
 
 
@@ -81,7 +89,9 @@ def subgraph(trails: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 def merge_subgraphs(edges: DataFrame, sequence: str) -> DataFrame:
     """The first edge of each (group, doc, type, description, confidence): the key has no ends, so edges can collapse."""
     key = ["group_id", "doc_id", "relation_type", "description", "confidence"]
-    return edges.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(sequence))).filter("_n = 1").drop("_n")
+    rest = [c for c in edges.columns if c not in key]
+    first = edges.groupBy(*key).agg(F.min_by(F.struct(*rest), sequence).alias("_e"))  # combined map-side, no window
+    return first.select(*(F.col(c) if c in key else F.col(f"_e.{c}").alias(c) for c in edges.columns))
 
 
 def group_sample(edges: DataFrame, limit: int = 200) -> DataFrame:

@@ -71,17 +71,21 @@ def align(new: DataFrame, old: DataFrame, vector_threshold: float = VECTOR, gap:
     new: seq, group_id, canonical_name, type, aliases, embedding. old: global_entity_id, group_id, canonical_name, type,
     aliases, embedding, seq. Old entities are a fixed snapshot, so each new one is decided by itself: by name among old
     names and aliases, then by its aliases in order, then by the best cosine among old ones of the same or no type.
-    The vector step compares only what the names left, in groups of one group_id; it never builds a product of all.
+    The vector step joins only what the names left, by group and type: an old entity stands under its type and under
+    any type, a new one looks under its own type and none, or, if it has none, under any. Within a group and type all
+    pairs are compared, as the best one is asked for.
     """
     keys = old.select("group_id", "global_entity_id", "seq", F.posexplode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("place", "_n"))
     keys = keys.withColumn("_n", norm(F.col("_n"))).filter("_n <> ''").groupBy("group_id", "_n").agg(F.min_by("global_entity_id", F.struct("seq", "place")).alias("global_entity_id"))
     tries = new.select("seq", "group_id", F.posexplode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "_n")).withColumn("_n", norm(F.col("_n")))
     by_name = tries.join(keys, ["group_id", "_n"]).groupBy("seq").agg(F.min_by(F.struct("pos", "global_entity_id"), "pos").alias("hit"))
     told = new.join(by_name, "seq", "left")
-    left = told.filter("hit is null").select("seq", "group_id", F.col("type").alias("_type"), F.col("embedding").alias("_v"))
-    pairs = left.join(old.select("group_id", "global_entity_id", "type", "embedding", F.col("seq").alias("old_seq")), "group_id")
-    same = (F.coalesce("_type", F.lit("")) == "") | (F.coalesce("type", F.lit("")) == "") | (F.col("_type") == F.col("type"))
-    scored = pairs.filter(same).withColumn("score", F.round(vectors.cosine(F.col("_v"), F.col("embedding")), 6))
+    kind = F.coalesce("type", F.lit(""))
+    typed = F.concat(F.lit("="), kind)
+    asked = F.when(kind == "", F.array(F.lit("any"))).otherwise(F.array(typed, F.lit("=")))
+    left = told.filter("hit is null").select("seq", "group_id", F.explode(asked).alias("_as"), F.col("embedding").alias("_v"))
+    offered = old.select("group_id", "global_entity_id", "embedding", F.col("seq").alias("old_seq"), F.explode(F.array(typed, F.lit("any"))).alias("_as"))
+    scored = left.join(offered, ["group_id", "_as"]).withColumn("score", F.round(vectors.cosine(F.col("_v"), F.col("embedding")), 6))
     best = scored.groupBy("seq").agg(F.max_by(F.struct("global_entity_id", "score"), F.struct("score", -F.col("old_seq"))).alias("near"))
     out = told.join(best, "seq", "left")
     named, near = F.col("hit").isNotNull(), F.col("near.score")

@@ -233,14 +233,13 @@ SELECT canonical_name, type FROM ents WHERE canonical_name IN (SELECT subject FR
 def graph_search(spark, sf):
     n = B.table(spark, sf, "nation")
     hits = search.vector_top(B.graph_index(spark, sf).filter("kind = 'entity'"), B.query_vector(spark, sf), 10, "pk", ["pk"])
-    named = hits.join(F.broadcast(n), F.substring("pk", 3, 20).cast("long") % 25 == n["n_nationkey"])
-    from pyspark.sql.window import Window
-
-    ranked = named.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "pk")).alias("pos"), F.col("n_name").alias("name"))
-    none = spark.createDataFrame([], "pos int, head_name string, tail_name string")
-    names = [x[0] for x in progress.pick_names(ranked, none).collect()]  # at most eight seeds
-    rel = graph.relations_by_entities(B.relations(spark, sf), B.entities(spark, sf).withColumn("aliases", F.array().cast("array<string>")), names)
-    return graph.entities_by_relations(rel, B.entities(spark, sf), ids=[x[0] for x in rel.select("relation_id").collect()]).select("canonical_name", "type")  # at most 200 relations
+    named = hits.join(n, F.substring("pk", 3, 20).cast("long") % 25 == n["n_nationkey"])
+    entity_hits = named.select(F.struct(-F.col("score"), "pk").alias("pos"), F.col("n_name").alias("name"), F.col("pk").alias("source_id"), F.lit(search.GLOBAL).alias("doc_id"))
+    none = entity_hits.limit(0).select("pos", F.col("name").alias("head_name"), F.col("name").alias("tail_name"), "source_id", "doc_id")
+    ids_of = lambda level: [F.lit("").alias(c) for c in ("mention_id", f"global_{level}_id", f"local_{level}_id")]
+    chunks = B.chunks(spark, sf)
+    mentions = [chunks.limit(0).select("group_id", "doc_id", "chunk_id", *ids_of(level)) for level in ("entity", "relation")]
+    return evidence.graph_search(entity_hits, none, B.relations(spark, sf), B.entities(spark, sf), *mentions, chunks)["entities"].select("canonical_name", "type")
 
 
 _FUSE = """SELECT trim(p_brand, ' ') AS canonical_name, coalesce(arg_min(CASE WHEN p_size % 3 <> 0 THEN p_type END, CASE WHEN p_size % 3 <> 0 THEN p_partkey END), 'Unknown') AS type, arg_max(p_name, len(p_name) * 1000000000::BIGINT - p_partkey) AS description FROM part GROUP BY 1"""
