@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import flat
 from .runtime import cut, prepare, tidy
 
 #: Filters (kind, first class, classes, frames), two bits each: sixteen make a 32-bit integer.
@@ -152,7 +153,7 @@ class Recordings:
         # by hash: whether an integer votes for any of them (at times told of another)
         self.shift = np.uint32(32 - min(27, (len(self.flips) * len(value)).bit_length() + 2))
         self.near = np.zeros(1 << (32 - int(self.shift)), bool)
-        own = np.unique(value)
+        own = flat.distinct(value)
         for flip in self.flips:
             self.near[self._slot(own ^ flip)] = True
 
