@@ -17,10 +17,11 @@ from .runtime import prepare, tidy
 SPACE = "▁"
 #: Characters of text whose words are merged together.
 BLOCK_CHARS = 1 << 20
-#: Words with more symbols take a heap, as rounds would be as many as their merges.
-LONG = 256
 #: Words that a worker remembers.
 MEMORY = 150_000
+#: Rounds after which what is left is merged one by one: only long runs of one character (of spaces, in this model) need
+#: that, where a merge makes a better pair at once and so each round holds few merges.
+ROUNDS = 1000
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -43,6 +44,7 @@ class Vocabulary:
     byte_ids: list[int]
     surface: dict[int, bytes]  # what an id decodes to
     breaks: bool  # whether no piece of more than one character has a line feed
+    by_symbol: list[int]  # id of a symbol, -1 if it is no piece
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -76,7 +78,7 @@ class Vocabulary:
                 slot = (slot + 1) % _SLOTS
             table[slot] = i
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        return cls(ids, symbols, list(symbols), pairs[:, 0], pairs[:, 1].astype(np.int32), pairs[:, 2].astype(np.int32), table, byte_ids, surface, not any("\n" in p for p in ids))
+        return cls(ids, symbols, list(symbols), pairs[:, 0], pairs[:, 1].astype(np.int32), pairs[:, 2].astype(np.int32), table, byte_ids, surface, not any("\n" in p for p in ids), [ids.get(t, -1) for t in symbols])
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; unknown symbols are -1 and never merge."""
@@ -134,7 +136,8 @@ def merge_rounds(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
 
     One round takes, for every word at once, its least pair rank and merges that rank's pairs from the left without
     overlap, as far as one-by-one merging would: up to the first merge that makes a pair of the same or a better rank.
-    Then the arrays are compacted; words without a pair leave.
+    Then the arrays are compacted; words without a pair leave. After ROUNDS rounds the words that are left are merged
+    one by one, in the same order.
     """
     done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
     size = np.array([len(w) for w in words], np.int64)
@@ -147,7 +150,13 @@ def merge_rounds(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
     rank, to = np.full(n, _NEVER), np.full(n, -1, np.int32)  # of the pair that a symbol makes with the next one
     i = np.flatnonzero(word[1:] == word[:-1])
     rank[i], to[i] = v.look(sym[i], sym[i + 1])
+    rounds = 0
     while len(sym):
+        rounds += 1
+        if rounds > ROUNDS:
+            for w in word[np.concatenate(([True], word[1:] != word[:-1]))].tolist():
+                done[w] = np.array([v.symbols.get(x, -1) for x in _heap_merge(v, words[w])], np.int32)
+            break
         begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         count = np.diff(np.append(begin, len(sym)))
         least = np.minimum.reduceat(rank, begin)
@@ -196,26 +205,23 @@ def merge_rounds(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
 
 def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
     """Ids of each word (spaces as U+2581)."""
-    short = [i for i, w in enumerate(words) if len(w) <= LONG]
-    out: list[list[int]] = [[]] * len(words)
+    out: list[list[int]] = []
 
     def ids(piece: str) -> list[int]:
         i = v.ids.get(piece)
         return [i] if i is not None else [v.byte_ids[b] for c in piece for b in c.encode()]
 
-    by_symbol = [v.ids.get(t, -1) for t in v.texts]
-    for i, found in zip(short, merge_rounds(v, [words[i] for i in short])):
-        row = [by_symbol[s] if s >= 0 else -1 for s in found.tolist()]
+    by_symbol = v.by_symbol
+    for word, found in zip(words, merge_rounds(v, words)):
+        symbols = found.tolist()
+        row = [by_symbol[s] if s >= 0 else -1 for s in symbols]
         if -1 in row:
             row, at = [], 0
-            for s in found.tolist():
-                piece = v.texts[s] if s >= 0 else words[i][at]
+            for s in symbols:
+                piece = v.texts[s] if s >= 0 else word[at]
                 row += ids(piece)
                 at += len(piece)
-        out[i] = row
-    for i, w in enumerate(words):
-        if len(w) > LONG:
-            out[i] = [x for piece in _heap_merge(v, w) for x in ids(piece)]
+        out.append(row)
     return out
 
 
@@ -235,8 +241,9 @@ class Codec:
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
             new = list({w for words in texts_words for w in words})
+        surface = self.v.surface.__getitem__
         for w, ids in zip(new, encode_words(self.v, new)):
-            self.known[w] = ids, ",".join(map(str, ids)), b"".join(map(self.v.surface.__getitem__, ids))
+            self.known[w] = ids, ",".join(map(str, ids)), b"".join(map(surface, ids))
 
     def encode(self, text: str) -> list[int]:
         words = self.words(text)
