@@ -68,7 +68,7 @@ def op3_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = _documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharding.shard_rows(rows, "doc_id", [1.0] * 8, grown="grown_shard", tie=("text_crc32", "size"))
+    out = sharding.shard_rows(rows, "doc_id", [1.0] * 8, grown="grown_shard", tie=("text_crc32", "size"), spread=F.shiftrightunsigned("text_crc32", 24))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

@@ -219,6 +219,13 @@ def test_shards(spark):
     for s in range(8):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert all(r.grown_shard in (r.shard, 8) for r in rows) and 200 < sum(r.grown_shard == 8 for r in rows) < 480
+    # a key or none may hold most rows: their slots are the same whether its rows are parted or not
+    hot = table(spark, [(None, f"t{i:05d}") for i in range(900)] + [(7, f"u{i:05d}") for i in range(500)] + [(i, f"v{i}") for i in range(300)] + [(None, None), (7, None)])
+    for spread in (F.expr("int(substring(text, 2, 3))"), F.lit(0)):
+        args = dict(key="doc_id", weights=[1.0] * 2, tie=("text",))
+        plain, parted = ({tuple(r) for r in sharding.shard_rows(hot, **args, spread=x).collect()} for x in (None, spread))
+        assert plain == parted and len(plain) == 1702
+    assert sharding.shard_rows(table(spark, []), "doc_id", [1.0], spread=F.lit(1)).count() == 0
     heavy = sharding.shard_rows(docs, "doc_id", [3.0, 1.0]).filter("shard = 0").count()
     assert 2100 < heavy < 2400
     assert sharding.shard_rows(table(spark, []), "doc_id", [1.0]).count() == 0
