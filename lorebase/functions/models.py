@@ -37,14 +37,19 @@ def patiently(call: Callable, tries: int = TRIES, wait: float = WAIT, sleep: Cal
 
 
 def answered(call: Callable[[str], str], prompt: Column, tries: int = TRIES, wait: float = WAIT) -> Column:
-    """struct<reply,error> of a text model; a row whose last try fails has a null reply and its error."""
+    """struct<reply,error> of a text model; a row whose last try fails has a null reply and its error.
+
+    A null prompt isn't asked: its reply and error are null.
+    """
     ask = patiently(call, tries, wait)
 
     @F.pandas_udf("reply string, error string")
     def run(prompts: pd.Series) -> pd.DataFrame:
         def one(p):
+            if p is None:
+                return None, None
             try:
-                return str(ask(p or "")), None
+                return str(ask(p)), None
             except Exception as e:  # told in the row
                 return None, f"{type(e).__name__}: {e}"
 
@@ -53,21 +58,33 @@ def answered(call: Callable[[str], str], prompt: Column, tries: int = TRIES, wai
     return run(prompt)
 
 
-def answered_json(call: Callable[[str], str], prompt: Column, required: Sequence[str] = (), tries: int = 5, wait: float = 2.0) -> Column:
-    """struct<reply,error>: the reply's JSON value as text, asked for again until it is one that has the required keys."""
+def answered_json(call: Callable[[str], str], prompt: Column, required: Sequence[str] = (), tries: int = 5, wait: float = 2.0, hint: str = "") -> Column:
+    """struct<reply,error>: the reply's JSON value as text, asked for again until it is one that has the required keys.
+
+    Once a reply was none, the hint follows the prompt.
+    """
     import json
 
     from .replies import balanced
 
-    def once(p: str) -> str:
-        told = balanced(call(p))
-        got = json.loads(told)
-        missing = [k for k in required if not isinstance(got, dict) or k not in got]
-        if missing:
-            raise ValueError(f"the reply lacks {', '.join(missing)}")
-        return told
+    def asked(p: str) -> str:
+        bad = []
+
+        def once() -> str:
+            told = balanced(call(p + hint * bool(bad)))
+            try:
+                got = json.loads(told)
+                missing = [k for k in required if not isinstance(got, dict) or k not in got]
+                if missing:
+                    raise ValueError(f"the reply lacks {', '.join(missing)}")
+            except ValueError:
+                bad.append(told)
+                raise
+            return told
+
+        return patiently(once, tries, wait)()
 
-    return answered(once, prompt, tries, wait)
+    return answered(asked, prompt, 1)
 
 
 def standardised(call: Callable[[str], str], text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .bindings import with_sql
 from .functions import models, replies
-from .operators import ann, evidence, graph, monitor, recovery, resolution, search, skills
+from .operators import ann, events, evidence, graph, monitor, recovery, resolution, search, skills
 from .queries import query
 
 _DOT = "list_inner_product(embedding::DOUBLE[], qv::DOUBLE[])"
@@ -390,3 +390,29 @@ def level_merge(spark, sf):
 def incident_of_regions(spark, sf):
     names = [r.r_name for r in B.table(spark, sf, "region").select("r_name").collect()]  # the names that a caller asks for
     return graph.relations_by_entities(B.relations(spark, sf), B.entities(spark, sf), names).select("relation_id")
+
+
+def _event_model(prompt: str) -> str:
+    """Stands in for a model: lines are sentences, an event is a sentence's length."""
+    import json
+
+    task, _, rest = prompt.partition("\n\n")
+    if task.startswith("Name"):
+        return json.dumps({"resolved_text": rest})
+    if task.startswith("Part"):
+        return json.dumps({"sentences": [{"id": i, "sentence": line} for i, line in enumerate(rest.split("\n"), 1)]})
+    if task.startswith("Give"):
+        return json.dumps({"length": len(rest.split("\nsentence: ", 1)[1])})
+    lengths = [e["length"] for e in json.loads(rest.rsplit("\nsentence_events: ", 1)[1])]
+    return "so: " + json.dumps({"events": len(lengths), "length": sum(lengths), "last": lengths[-1]})
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d WHERE t <> '')
+SELECT doc_id, count(*) AS events, CAST(sum(length(x)) AS BIGINT) AS total, CAST(arg_max(length(x), i) AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS error FROM l WHERE x <> '' GROUP BY 1
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'the text is empty' FROM d WHERE t = ''""")
+def sentence_events(spark, sf):
+    found = events.sentence_events(B.table(spark, sf, "documents").select("doc_id", "text"), _event_model, wait=0.0)
+    told = F.try_parse_json("aggregated")
+    member = lambda k: F.try_variant_get(told, f"$.{k}", "long")
+    return found.select("doc_id", member("events").alias("events"), member("length").alias("total"), member("last").alias("last"), "error")

@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorebase import config
 from lorebase.functions import models, replies
-from lorebase.operators import traces
+from lorebase.operators import events, traces
 
 
 def test_replies(spark):
@@ -102,3 +104,33 @@ def test_listings(spark):
     assert tuple(traces.rag_context(text).first())[1:] == ("g1", "d1", "ask\nmore")
     use = spark.createDataFrame([({"prompt_tokens": "3", "total_tokens": "5"}, {}), ({}, {"completion_tokens": "2"}), ({}, {})], "a map<string,string>, b map<string,string>")
     assert [tuple(x.u) for x in use.select(traces.usage_fields(F.col("a"), F.col("b")).alias("u")).collect()] == [(3, 0, 5, "usage_metadata"), (0, 2, 0, "response_metadata"), (0, 0, 0, "estimated")]
+
+
+def test_events(spark):
+    """Each stage's failure is its document's; the others go on."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(p):
+        asked.add(1)
+        task, _, rest = p.partition("\n\n")
+        if "broken" in rest and task.startswith("Give"):
+            return "no json here" if events.AGAIN not in p else "{}"
+        if task.startswith("Name"):
+            return "[1]" if "list" in rest else json.dumps({"resolved_text": 5 if "number" in rest else rest.upper()})
+        if task.startswith("Part"):
+            return json.dumps({"sentences": [] if "NOTHING" in rest else [{"id": 0, "sentence": "a"}, {"id": "", "sentence": "b"}, {"id": "0", "sentence": rest}, {"id": 2}, {"id": 3, "sentence": "c"}]})
+        if task.startswith("Give"):
+            if "FAIL" in rest:
+                raise OSError("down")
+            return f"it is {json.dumps({'of': rest})}"
+        return json.dumps({"n": len(json.loads(rest.rsplit("sentence_events: ", 1)[1]))})
+
+    rows = [(1, "one"), (2, None), (3, " \n"), (4, "a list"), (5, "a number"), (6, "nothing"), (7, "fail"), (8, "broken number")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r for r in events.sentence_events(docs, model, tries=2, wait=0.0).collect()}
+    assert got[1].resolved_text == "ONE" and [json.loads(e)["of"] for e in got[1].sentence_events] == ["sentence_id: 0\nsentence: ONE", "sentence_id: 3\nsentence: c"] and got[1].aggregated == '{"n": 2}' and got[1].error is None
+    assert got[2].error == got[3].error == "the text is empty" and got[4].error == "the resolved text came as no object" and got[6].error == "no sentences came" and got[7].error == "OSError: down"
+    assert got[5].resolved_text == "a number" and got[5].error is None and got[7].aggregated is None and got[8].sentence_events[0] == "{}" and got[8].error is None
+    assert events.sentence_events(docs.limit(0), model).count() == 0
+    whole = {r.doc_id: r for r in events.whole_events(docs, lambda p: json.dumps({k: {"k": k} for k in events.WHOLE if "list" not in p or k != "aggregated"}), tries=2, wait=0.0).collect()}
+    assert whole[1].aggregated == '{"k":"aggregated"}' and whole[1].error is None and whole[2].error == "the text is empty" and whole[4].error == "ValueError: the reply lacks aggregated"
