@@ -12,6 +12,7 @@ from .bindings import with_sql
 from .functions import chunker, ids, vectors
 from .functions import text as T
 from .operators import density, evidence, extraction, graph, monitor, progress, resolution, search, store, traces
+from .session import shared_folder
 from .streaming import progress as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,6 +527,29 @@ def stream_dedup(spark, sf):
     return stream.deduplicated(B.table(spark, sf, "events").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
+def _event_stream(spark, sf):
+    schema = B.table(spark, sf, "events").schema
+    read = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return read.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def stream_closed_windows(spark, sf):
+    """A stream of the whole table: windows that the watermark of two hours has closed."""
+    out = stream.drained(stream.tumbling(_event_stream(spark, sf), "1 hour", "2 hours"), shared_folder(spark, "windows"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT user_id, event_type, min(ts) AS first FROM events GROUP BY 1, 2")
+def stream_first_seen(spark, sf):
+    """A stream of the whole table, each key's first row told once, whatever comes twice."""
+    rows = _event_stream(spark, sf)
+    twice = stream.deduplicated(rows.union(rows).select("event_id", "user_id", "event_type", "ts"), ["event_id"], "60 days")
+    out = stream.drained(twice, shared_folder(spark, "seen"))
+    return out.groupBy("user_id", "event_type").agg(F.min("ts").cast("timestamp_ntz").alias("first"))
+
+
 @query("""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'cancel_requested' ELSE 'cancelled' END WHEN o_orderkey % 3 = 1 THEN 'recovering' ELSE CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END END AS status, CAST(o_orderkey % 3 = 1 AS INTEGER) AS retry_count FROM orders""")
 def task_state_machine(spark, sf):
     o = B.table(spark, sf, "orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +27,13 @@ def session(app: str = "lorebase", **conf: str) -> SparkSession:
     spark = builder.getOrCreate()
     ship(spark)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that driver and executors share; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="shared-")
+    return f"{shared}/{name}-{uuid.uuid4()}"

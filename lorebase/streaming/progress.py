@@ -58,3 +58,14 @@ def write_states(events: DataFrame, store, checkpoint: str, table: str = "ingest
         store.merge_newest(table, batch, order)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What the stream has given once all that has arrived is read: rows are appended as Parquet and read back.
+
+    With a watermark a window comes out once it is closed. A run that ended early goes on from its checkpoint in the
+    folder, each batch being written once.
+    """
+    done = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

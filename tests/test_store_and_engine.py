@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 from datetime import datetime
 
@@ -85,6 +86,23 @@ def test_streams(spark, sf, tmp_path):
     assert stream.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
 
 
+def test_late_rows(spark, tmp_path):
+    """A row behind the watermark is left out, one within it counts, a row sent again doesn't.
+
+    Spark holds a batch's rows against the watermark that the batch before it began with, so a row is late from the second batch on.
+    """
+    (tmp_path / "in").mkdir()
+    said = [("a", "00:05"), ("b", "00:50")], [("c", "00:20"), ("d", "03:00"), ("d", "03:00")], [("f", "02:55"), ("d", "03:01")], [("e", "00:30"), ("g", "09:00")]
+    for i, rows in enumerate(said):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"event": "x", "task_id": k, "ts": f"2024-01-01T{t}:00Z", "value": 1.0}) for k, t in rows))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    read = stream.read_traces(spark, str(tmp_path / "in"), 1)
+    out = stream.drained(stream.tumbling(read.withColumnRenamed("event", "event_type"), "1 hour", "30 minutes"), str(tmp_path / "w"))
+    assert sorted((r.start.hour, r.n) for r in out.collect()) == [(0, 3), (2, 1), (3, 3)]
+    out = stream.drained(stream.deduplicated(read.select("task_id", "ts"), ["task_id"], "30 minutes"), str(tmp_path / "s"))
+    assert sorted(r.task_id for r in out.collect()) == ["a", "b", "c", "d", "f", "g"]
+
+
 def test_transitions(spark):
     tasks = spark.createDataFrame([("1", "running", 0, False, "t"), ("2", "completed", 0, False, "t"), ("3", "pending", 0, False, "t"), ("4", "failed", 1, False, "t")], "task_id string, status string, retry_count int, cancel_requested boolean, updated_at string")
     asked = spark.createDataFrame([(x, "cancel", "u") for x in "123"] + [("4", "resume", "u")], "task_id string, action string, at string")
