@@ -74,10 +74,43 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, b F
 low AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
+OP11 = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
+s AS (SELECT source, sum(size) AS words, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
+r AS (SELECT *, 3 * words AS most, sum(words) OVER () AS total, coalesce(sum(3 * words) OVER before, 0) AS full_before, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left FROM s
+  WINDOW before AS (ORDER BY CAST(3 * words AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CAST(most AS DOUBLE) * weight_left <= CAST(weight AS DOUBLE) * CAST(total - full_before AS DOUBLE) AS filled FROM r),
+t AS (SELECT source, words AS source_size, CASE WHEN filled THEN CAST(most AS DOUBLE) ELSE CAST(weight AS DOUBLE) * CAST(total - coalesce(sum(most) FILTER (filled) OVER (), 0) AS DOUBLE) / CAST(sum(weight) FILTER (NOT filled) OVER () AS DOUBLE) END AS target FROM f),
+o AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken FROM o"""
+
+
+def _op13(entries: int = 64, rounds: int = 2) -> str:
+    def assigned(i: int) -> str:
+        far = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"a{i} AS (SELECT vec_id, m, any_value(p.x) AS x, arg_min(k, {far} * {entries} + k) AS k, min({far}) AS far FROM p JOIN c{i} c USING (m) GROUP BY vec_id, m)"
+
+    def moved(i: int) -> str:
+        means = f"SELECT m, k, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY pos) AS x FROM (SELECT m, k, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT m, k, x, unnest(range(1, len(x) + 1)) AS pos FROM a{i}) GROUP BY m, k, pos) GROUP BY m, k"
+        return f"u{i} AS ({means}), c{i + 1} AS (SELECT m, k, coalesce(u{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN u{i} USING (m, k))"
+
+    steps = ", ".join(f"{assigned(i)}, {moved(i)}" for i in range(rounds))
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, m, x[m * (len(x) // 16) + 1 : (m + 1) * (len(x) // 16)] AS x FROM (SELECT vec_id, x, unnest(range(16)) AS m FROM v)),
+c0 AS (SELECT m, k, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v) USING (vec_id) WHERE k < {entries}),
+{steps}, {assigned(rounds)},
+told AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY m, k)) AS codebooks_sha256 FROM c{rounds}),
+e AS (SELECT vec_id, string_agg(lower(lpad(to_hex(k), 2, '0')), '' ORDER BY m) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), told"""
+
+
+OP13 = _op13()
+
 ORACLE_SQL = {
     "op1_license_scan": OP1,
     "op4_rendezvous_shards": OP4,
     "op6_benchmark_decontamination": OP6,
     "op9_url_rules": OP9,
     "op10_ngram_jaccard_join": OP10,
+    "op11_mix_sources": OP11,
+    "op13_vector_codes": OP13,
 }

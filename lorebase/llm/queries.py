@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, jaccard_join, license_scan, pii, piece_bpe, secret_scan, sharding, toxicity, url_rules
+from . import chroma, decontaminate, jaccard_join, license_scan, mixing, pii, piece_bpe, secret_scan, sharding, token_align, toxicity, url_rules, vector_codes
 from .oracle import ORACLE_SQL  # noqa: F401
 from .runtime import cut
 
 try:
     import public_tokenizers
 
-    MODEL = public_tokenizers.path("piece_bpe_32k.model")
+    MODEL, BYTE_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 except ImportError:  # the package isn't on this machine's path: the place where its files are kept
-    MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+    MODEL, BYTE_BPE = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +100,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.compare(_documents(spark, sf_dir), BYTE_BPE, MODEL)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_errors(found.codes).select("vec_id", "code", "error", "label_error", F.lit(found.books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity_ftrl, op3_chroma_fingerprint, op4_rendezvous_shards, op5_pii_spans,
         op6_benchmark_decontamination, op7_secret_novelty, op8_sentencepiece_codec, op9_url_rules, op10_ngram_jaccard_join,
+        op11_mix_sources, op12_token_alignment, op13_vector_codes,
     )
 }
