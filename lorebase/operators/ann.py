@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from .search import vector_top
 
 #: Lists of an index, and lists that a search reads.
@@ -77,6 +78,39 @@ def search(index: DataFrame, centroids: np.ndarray, query: Sequence[float], top_
     return vector_top(some.drop("list"), query, top_k, key, fields, embedding)
 
 
+def radii(rows: DataFrame, centroids: np.ndarray, keys: Sequence[str] = ("group_id", "list"), embedding: str = "embedding") -> DataFrame:
+    """(keys, radius): the farthest vector of each list from its centroid; a vector without a list has none."""
+    sent = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.pandas_udf("double")
+    def far(v: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series(np.linalg.norm(np.stack(v.to_numpy()).astype(np.float64) - sent.value[place.to_numpy()], axis=1))
+
+    return rows.filter("list >= 0").groupBy(*keys).agg(F.max(far(F.col(embedding), F.col("list"))).alias("radius"))
+
+
+def in_reach(centroids: np.ndarray, radius: dict[int, float], query: Sequence[float]) -> list[tuple[float, int]]:
+    """(upper bound of the inner product with the query, list), the greatest first: q c + |q| times the list's radius."""
+    q = np.asarray(query, np.float64)
+    bounds = {at: float(centroids[at].astype(np.float64) @ q + np.linalg.norm(q) * r) for at, r in radius.items()}
+    return sorted(((b, at) for at, b in bounds.items()), key=lambda x: (-x[0], x[1]))
+
+
+def bounded(index: DataFrame, centroids: np.ndarray, radius: dict[int, float], query: Sequence[float], top_k: int, key: str, probes: int = PROBES, embedding: str = "embedding") -> list[int] | None:
+    """The lists that can hold one of the top_k by inner product (None: all, as there are too few rows in the first ones).
+
+    The `probes` lists of the greatest bound are searched first; their k-th score is what any other list's bound has to
+    reach. Rows without a list (-1) are always among those read.
+    """
+    reach = in_reach(centroids, radius, query)
+    first = [at for _, at in reach[:probes]]
+    score = vectors.dot(F.col(embedding), vectors.literal(query))
+    best = [r[0] for r in index.filter(F.col("list").isin(-1, *first)).select(score.alias("s")).orderBy(F.desc("s")).limit(top_k).collect()]  # top_k numbers
+    if len(best) < top_k:
+        return None
+    return [-1, *(at for b, at in reach if at in first or b >= best[-1] - 1e-6)]  # scores are told to six digits
+
+
 def lists_for(rows: int) -> int:
     """Lists that suit so many vectors: about four times the square root, LISTS at least from a million on."""
     return max(1, min(max(LISTS, 4 * math.isqrt(rows)), rows // 8 or 1))

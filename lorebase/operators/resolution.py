@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import ids, vectors
 from ..functions.text import norm, strip
+from . import cells
 
 # Cosine from which a vector match counts, and the gap below it in which a model decides.
 VECTOR, GAP, RATIO = 0.90, 0.05, 3.0
@@ -65,15 +66,16 @@ def cosine(a: Column, b: Column) -> Column:
     return vectors.cosine(a, b)
 
 
-def align(new: DataFrame, old: DataFrame, vector_threshold: float = VECTOR, gap: float = GAP) -> DataFrame:
+def align(new: DataFrame, old: DataFrame, vector_threshold: float = VECTOR, gap: float = GAP, staged=None) -> DataFrame:
     """How each new entity finds its global one: (seq, canonical_name, global_entity_id, method, score).
 
     new: seq, group_id, canonical_name, type, aliases, embedding. old: global_entity_id, group_id, canonical_name, type,
     aliases, embedding, seq. Old entities are a fixed snapshot, so each new one is decided by itself: by name among old
     names and aliases, then by its aliases in order, then by the best cosine among old ones of the same or no type.
     The vector step joins only what the names left, by group and type: an old entity stands under its type and under
-    any type, a new one looks under its own type and none, or, if it has none, under any. Within a group and type all
-    pairs are compared, as the best one is asked for.
+    any type, a new one looks under its own type and none, or, if it has none, under any. Vectors of a group and type
+    are compared cell by cell, as far as a cell's bound can beat what a new entity has found (`cells.nearest`); hot
+    types are split over tasks. staged(df), if given, writes a table between the steps and reads it.
     """
     keys = old.select("group_id", "global_entity_id", "seq", F.posexplode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("place", "_n"))
     keys = keys.withColumn("_n", norm(F.col("_n"))).filter("_n <> ''").groupBy("group_id", "_n").agg(F.min_by("global_entity_id", F.struct("seq", "place")).alias("global_entity_id"))
@@ -83,10 +85,13 @@ def align(new: DataFrame, old: DataFrame, vector_threshold: float = VECTOR, gap:
     kind = F.coalesce("type", F.lit(""))
     typed = F.concat(F.lit("="), kind)
     asked = F.when(kind == "", F.array(F.lit("any"))).otherwise(F.array(typed, F.lit("=")))
-    left = told.filter("hit is null").select("seq", "group_id", F.explode(asked).alias("_as"), F.col("embedding").alias("_v"))
-    offered = old.select("group_id", "global_entity_id", "embedding", F.col("seq").alias("old_seq"), F.explode(F.array(typed, F.lit("any"))).alias("_as"))
-    scored = left.join(offered, ["group_id", "_as"]).withColumn("score", F.round(vectors.cosine(F.col("_v"), F.col("embedding")), 6))
-    best = scored.groupBy("seq").agg(F.max_by(F.struct("global_entity_id", "score"), F.struct("score", -F.col("old_seq"))).alias("near"))
+    left = told.filter("hit is null").select(F.col("seq").alias("query"), "group_id", F.explode(asked).alias("_as"), F.col("embedding").alias("vector"))
+    offered = old.select(F.col("global_entity_id").alias("key"), F.col("seq").alias("tie"), "group_id", F.explode(F.array(typed, F.lit("any"))).alias("_as"), F.col("embedding").alias("vector"))
+    found = cells.nearest(left, offered, 1, ["group_id", "_as"], staged=staged).hits
+    # a new entity that has old ones to be held against, but no vector that can be, is as far as can be
+    offers = left.select("query", "group_id", "_as").join(offered.select("group_id", "_as").distinct(), ["group_id", "_as"], "left_semi").select("query").distinct()
+    near = offers.join(found, "query", "left")
+    best = near.select(F.col("query").alias("seq"), F.struct(F.col("key").alias("global_entity_id"), F.coalesce("score", F.lit(-1.0)).alias("score")).alias("near"))
     out = told.join(best, "seq", "left")
     named, near = F.col("hit").isNotNull(), F.col("near.score")
     method = (
@@ -207,7 +212,7 @@ def entity_text() -> Column:
     return F.concat_ws("\n", blank(F.col("canonical_name")), F.nullif(F.array_join("aliases", ", "), F.lit("")), blank(F.col("type")), blank(F.col("description")))
 
 
-def align_group(new: DataFrame, old: DataFrame) -> DataFrame:
+def align_group(new: DataFrame, old: DataFrame, staged=None) -> DataFrame:
     """`align` of documents' entities (group_id, doc_id, canonical_name, type, aliases, description, embedding) with the
     group's level, in the shape of alignment rows: (group_id, doc_id, local_entity_id, local_name, global_entity_id,
     global_name, method, score, type, aliases, description).
@@ -217,7 +222,7 @@ def align_group(new: DataFrame, old: DataFrame) -> DataFrame:
     keyed = new.withColumn("local_entity_id", ids.entity_id(F.col("group_id"), F.col("doc_id"), F.col("canonical_name")))
     mine = keyed.withColumn("seq", F.col("local_entity_id"))
     known = old.withColumn("seq", F.xxhash64("global_entity_id"))
-    told = align(mine, known).select(F.col("seq").alias("local_entity_id"), "global_entity_id", "method", "score")
+    told = align(mine, known, staged=staged).select(F.col("seq").alias("local_entity_id"), "global_entity_id", "method", "score")
     names = old.select("group_id", "global_entity_id", F.col("canonical_name").alias("_old"))
     out = keyed.join(told, "local_entity_id").join(names, ["group_id", "global_entity_id"], "left")
     return out.select("group_id", "doc_id", "local_entity_id", F.col("canonical_name").alias("local_name"), "global_entity_id", F.coalesce("_old", "canonical_name").alias("global_name"), "method", "score", "type", "aliases", "description")

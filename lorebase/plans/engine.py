@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from contextlib import ExitStack
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, models
 from ..functions.chunker import Limits, chunk_documents
-from ..operators import evidence, extraction, graph, recovery, resolution, search
+from ..operators import ann, evidence, extraction, graph, keyword_index, recovery, resolution, search
 from ..operators.progress import plan_items
 from ..operators.search import required
+from ..schemas import SCHEMAS
 from ..sources.store import Store
 
 MODES = ("chunks_vector", "chunks_keyword", "entities", "relations", "relations_by_entities", "entities_by_relations", "graph_search")
@@ -49,13 +51,15 @@ class Engine:
         fresh = docs.select("group_id", "doc_id").distinct()
         chunks = chunk_documents(docs, self.limits)
         with self.store.batch() as store:
-            for name in ("chunks", "chunk_embeddings", "chunk_checkpoints"):
+            store.forget_graph(fresh)  # a replaced document's graph goes with its text
+            for name in ("chunks", "chunk_grams", "chunk_embeddings", "chunk_checkpoints"):
                 store.remove(name, fresh)
             store.upsert("documents", base)
             store.upsert("chunks", chunks)
             mine = store.read("chunks").join(docs.select("group_id", "doc_id", "doc_time"), ["group_id", "doc_id"])
             vectors = self._embedded(mine, "text").select(F.concat_ws(":", "group_id", "chunk_id").alias("pk"), "group_id", "doc_id", "doc_time", "chunk_id", "embedding")
-            store.upsert("chunk_embeddings", vectors)
+            self._put_vectors("chunk_embeddings", vectors)
+            store.upsert("chunk_grams", keyword_index.postings(mine))
         if self.extract:
             self.build_graph(fresh)
 
@@ -90,11 +94,10 @@ class Engine:
             aliases = once(resolution.alias_map(fused, scope))
             # the group's level as it is now: a fixed snapshot that all new entities are aligned with
             groups = mine.select("group_id").distinct()
+            store.forget_graph(mine)
             old = once(store.read("global_entities").join(groups, "group_id", "left_semi"))
             index = store.read("graph_index").filter(F.col("kind") == "entity").filter(F.col("doc_id") == search.GLOBAL).select("group_id", F.col("source_id").alias("global_entity_id"), "embedding")
-            told = once(resolution.align_group(self._embedded(fused.withColumn("_text", resolution.entity_text()), "_text"), old.join(index, ["group_id", "global_entity_id"], "left")))
-            for name in ("entities", "relations", "entity_alignments", "relation_alignments", "entity_mentions", "relation_mentions"):
-                store.remove(name, mine)
+            told = once(resolution.align_group(self._embedded(fused.withColumn("_text", resolution.entity_text()), "_text"), old.join(index, ["group_id", "global_entity_id"], "left"), staged=once))
             store.upsert("entity_alignments", told.select(*scope, "local_entity_id", "global_entity_id", "local_name", "global_name", F.col("method").alias("alignment_method"), F.col("score").alias("alignment_score")))
             store.upsert("global_entities", resolution.merged_level(told, old))
             entities = once(resolution.rewritten_entities(told, old))
@@ -112,8 +115,51 @@ class Engine:
             store.upsert("relation_mentions", resolution.relation_mentions(found, aliases, new, store.read("global_relations")))
             self._index(mine)
 
+    def _put_vectors(self, name: str, rows: DataFrame) -> None:
+        """Vectors with the list of their nearest centroid (-1 while the table has none); a list's radius grows with them."""
+        centroids = self._centroids(name)
+        if not len(centroids):
+            self.store.upsert(name, rows.withColumn("list", F.lit(-1)))
+            return
+        with self.store.staged(ann.build(rows, centroids)) as listed, self.store.batch() as store:
+            store.upsert(name, listed)
+            new = ann.radii(listed, centroids).withColumn("name", F.lit(name))
+            both = new.unionByName(store.read("list_radii").filter(F.col("name") == name).join(new.select("group_id", "list"), ["group_id", "list"], "left_semi"))
+            store.upsert("list_radii", both.groupBy("group_id", "name", "list").agg(F.max("radius").alias("radius")))
+
+    def _centroids(self, name: str) -> np.ndarray:
+        rows = self.store.read("vector_lists").filter(F.col("name") == name).orderBy("list").select("centroid").collect()  # ann.LISTS of them, or 4 times the root of the rows
+        return np.array([r[0] for r in rows], np.float32)
+
+    def fit_lists(self, lists: int | None = None) -> None:
+        """Inverted lists for both vector tables: centroids from a bounded sample, every vector's list, each group's radii."""
+        with self.store.batch() as store:
+            for name in ("chunk_embeddings", "graph_index"):
+                rows = store.read(name)
+                centroids = ann.fit(rows, "pk", lists or ann.lists_for(rows.count()))
+                made = store.spark.createDataFrame([(name, i, c.tolist()) for i, c in enumerate(centroids)], SCHEMAS["vector_lists"])
+                others = store.read("vector_lists").filter(F.col("name") != name)
+                store.replace("vector_lists", others.unionByName(made))
+                if len(centroids):
+                    with store.staged(ann.build(rows.drop("list"), centroids)) as listed:
+                        store.replace(name, listed)
+                        radii = ann.radii(listed, centroids).withColumn("name", F.lit(name))
+                        store.replace("list_radii", store.read("list_radii").filter(F.col("name") != name).unionByName(radii))
+
+    def lists_of(self, name: str, group_id: str, rows: DataFrame, vector: Sequence[float], top_k: int, key: str = "pk") -> list[int] | None:
+        """The lists that a search of a group's rows has to read, by their bounds (None: all)."""
+        centroids = self._centroids(name)
+        if not len(centroids) or not len(vector):
+            return None
+        mine = search.in_group(self.store.read("list_radii"), group_id).filter(F.col("name") == name)
+        return ann.bounded(rows, centroids, {r["list"]: r["radius"] for r in mine.collect()}, vector, top_k, key)  # a row for each list
+
+    def _reached(self, name: str, group_id: str, rows: DataFrame, vector: Sequence[float], top_k: int) -> DataFrame:
+        lists = self.lists_of(name, group_id, rows, vector, top_k)
+        return rows if lists is None else rows.filter(F.col("list").isin(lists))
+
     def _index(self, documents: DataFrame) -> None:
-        """The graph index of documents and of their groups' level, written anew."""
+        """The graph index of documents and of their groups' level: only rows whose text is new or changed go to the model."""
         store, scope = self.store, ["group_id", "doc_id"]
         groups = documents.select("group_id").distinct()
         level = groups.withColumn("doc_id", F.lit(search.GLOBAL))
@@ -125,8 +171,13 @@ class Engine:
         fields = [*cols, "relation_id", "subject", "object", "relation_type", "description"]
         every_r = r.select(*fields).unionByName(store.read("relations").join(documents, scope, "left_semi").select(*fields))
         rows = evidence.entity_index(every_e).unionByName(evidence.relation_index(every_r))
-        store.remove("graph_index", places)
-        store.upsert("graph_index", self._embedded(rows, "text"))
+        known = store.read("graph_index").join(places, scope, "left_semi")
+        with store.staged(rows) as rows, store.staged(known.join(rows, "pk", "left_anti").select(*scope, "pk")) as gone:
+            same = known.filter("size(embedding) > 0").select("pk", F.col("text").alias("_was"))
+            changed = rows.join(same, "pk", "left").filter(~F.col("text").eqNullSafe(F.col("_was"))).drop("_was")
+            with store.staged(self._embedded(changed, "text")) as fresh:
+                store.remove("graph_index", gone)
+                self._put_vectors("graph_index", fresh)
 
     def retry_chunk(self, group_id: str, doc_id: str, chunk_id: str) -> None:
         """Extract one chunk again, and build its document's graph anew. An unknown chunk is an error."""
@@ -174,11 +225,15 @@ class Engine:
         read = self.store.read
         vector = list(self.embed(query)) if query.strip() else []
         if mode == "chunks_keyword":
-            return search.chunks_keyword(read("chunks"), read("documents"), group_id, query, top_k, doc_id, start, end)
+            return keyword_index.search(read("chunk_grams"), read("chunks"), read("documents"), group_id, query, top_k, doc_id, start, end)
         if mode == "chunks_vector":
-            return search.with_text(search.chunks_vector(read("chunk_embeddings"), group_id, vector, top_k, doc_id, start, end), search.in_group(read("chunks"), group_id))
+            some = search.in_group(read("chunk_embeddings"), group_id, doc_id, start, end)
+            some = self._reached("chunk_embeddings", group_id, some, vector, top_k)
+            return search.with_text(search.chunks_vector(some, group_id, vector, top_k), search.in_group(read("chunks"), group_id))
         if mode in ("entities", "relations"):
-            return search.graph_index(read("graph_index"), group_id, "entity" if mode == "entities" else "relation", vector, top_k, doc_id)
+            kind = "entity" if mode == "entities" else "relation"
+            some = search.in_group(read("graph_index"), group_id, search.GLOBAL if doc_id is None else doc_id).filter(F.col("kind") == kind)
+            return search.graph_index(self._reached("graph_index", group_id, some, vector, top_k), group_id, kind, vector, top_k, doc_id, fields=[c for c in some.columns if c not in ("embedding", "list")])
         rel, ent = self._graph(group_id, doc_id)
         if mode == "relations_by_entities":
             return graph.relations_by_entities(rel, ent, names, limit)

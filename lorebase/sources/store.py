@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import GLOBAL
 from ..operators.store import delete_document, empty, newest, upsert_table
-from ..schemas import KEYS, SCHEMAS
+from ..schemas import KEYS, LAID, SCHEMAS
 
 #: Parts that a new store deals a group's rows to, so that a write touches few of them.
 PARTS = 64
@@ -31,10 +32,13 @@ def _fields(name: str) -> list[str]:
     return [f.split()[0] for f in out]
 
 
+def part_key(name: str) -> str:
+    """The column that parts a table: the document, or its last key where a table has none."""
+    return "doc_id" if "doc_id" in _fields(name) else KEYS[name][-1]
+
+
 def part_of(name: str, parts: int) -> Column:
-    """The part of a row: by its document, or by its last key where a table has none."""
-    fields = _fields(name)
-    return F.pmod(F.xxhash64("doc_id" if "doc_id" in fields else KEYS[name][-1]), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(part_key(name)), F.lit(parts)).cast("int")
 
 
 class Store:
@@ -145,7 +149,8 @@ class Store:
         by = [c for c in _PLACE if c == "part" or c in _fields(name)]
         out = rows.select(*_fields(name), part_of(name, self.parts).alias("part"))
         # dealt by folder, but a folder with very many rows is split over tasks and files
-        out.hint("rebalance", *by).write.partitionBy(*by).parquet(at)
+        out = out.hint("rebalance", *by)
+        (out.sortWithinPartitions(*by, LAID[name]) if name in LAID else out).write.partitionBy(*by).parquet(at)
         depth = len(by)
         return {"/".join(x.rstrip("/").split("/")[-depth:]): version for x in self._list(f"{at}/{'/'.join(f'{c}=*' for c in by)}")}
 
@@ -186,10 +191,39 @@ class Store:
     def upsert(self, name: str, rows: DataFrame, sequence: str = "seq") -> None:
         """Merge by the table's keys; of rows of one key the last by `sequence` counts, without that column the greatest as text."""
         with self.staged(rows) as new:
+            self._same_size(name, new)
             touched = self._touched(name, new)
             some = new if sequence in new.columns else new.withColumn(sequence, F.lit(0))
             self._put(name, upsert_table(name, self._here(name, touched), some, sequence), touched)
 
+    def _same_size(self, name: str, rows: DataFrame) -> None:
+        """Vectors of one table have one length, as a search compares them all: another is an error before anything is written."""
+        if "embedding" not in _fields(name) or not (told := rows.filter("size(embedding) > 0").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first())[1]:
+            return
+        one = self.read(name).filter("size(embedding) > 0").select(F.size("embedding")).first()
+        if len(sizes := {*told, *(one or ())}) > 1:
+            raise ValueError(f"vectors of {name} have different sizes: {sorted(sizes)}")
+
+    def forget_graph(self, documents: DataFrame) -> None:
+        """Take away the graph of documents (group_id, doc_id), and what of their groups' level stood on them alone.
+
+        Only global ids that these documents were aligned to are asked about: those that no other alignment names go, and
+        their rows of the graph index with them.
+        """
+        scope = ["group_id", "doc_id"]
+        with self.batch(), ExitStack() as stack:
+            docs = stack.enter_context(self.staged(documents.select(*scope).distinct()))
+            for kind, level, links in (("relation", "global_relations", "relation_alignments"), ("entity", "global_entities", "entity_alignments")):
+                key = f"global_{kind}_id"
+                held = self.read(links).join(docs.select("group_id").distinct(), "group_id", "left_semi")
+                mine = held.join(docs, scope, "left_semi").select("group_id", key).distinct()
+                alone = stack.enter_context(self.staged(mine.join(held.join(docs, scope, "left_anti"), ["group_id", key], "left_anti")))
+                self.remove(links, docs)
+                self.remove(level, alone)
+                self.remove("graph_index", alone.select("group_id", F.lit(GLOBAL).alias("doc_id"), F.lit(kind).alias("kind"), F.col(key).alias("source_id")))
+            for name in ("entities", "relations", "entity_mentions", "relation_mentions", "graph_index"):
+                self.remove(name, docs)
+
     def merge_newest(self, name: str, rows: DataFrame, order: str = "updated_at") -> None:
         """Merge by the table's keys, stored rows too giving way only to later ones: merging twice, or late, changes nothing."""
         with self.staged(rows) as new:
@@ -200,7 +234,7 @@ class Store:
         """Without the rows that agree with any row of keys, whose columns are some of the table's."""
         on = keys.columns
         places = None
-        if set(on) >= ({"group_id", "doc_id"} & set(_fields(name))) and "doc_id" in _fields(name):
+        if set(on) >= ({"group_id", part_key(name)} & set(_fields(name))):
             places = self._touched(name, keys)
         every = self._manifest().get(name, {})
         touched = set(every) if places is None else places & set(every)
@@ -215,7 +249,7 @@ class Store:
         """Whether the document was there. Chunk vectors and its graph-index rows go with it; only its group is read."""
         names = ["documents", "chunks", "entities", "relations", "global_entities", "entity_alignments", "global_relations", "relation_alignments", "entity_mentions", "relation_mentions"]
         here = (F.col("group_id") == group_id) & (F.col("doc_id") == doc_id)
-        own = {n: self._of_group(n, group_id) for n in [*names, "graph_index", "chunk_embeddings"]}
+        own = {n: self._of_group(n, group_id) for n in [*names, "graph_index", "chunk_embeddings", "chunk_grams"]}
         tables = {n: self._here(n, own[n]) for n in names}
         was = not tables["documents"].filter(here).isEmpty()
         with self.batch():
@@ -224,7 +258,7 @@ class Store:
                 touched = own[name] & {self._doc_folder(name, group_id, doc_id)} if "doc_id" in _fields(name) else own[name]
                 if rows is not tables[name] and touched:
                     self._put(name, self._here(name, touched).filter(~here) if "doc_id" in _fields(name) else rows, touched)
-            for name in ["graph_index"] + ["chunk_embeddings"] * (not graph_only):
+            for name in ["graph_index"] + ["chunk_embeddings", "chunk_grams"] * (not graph_only):
                 touched = own[name] & {self._doc_folder(name, group_id, doc_id)}
                 if touched:
                     self._put(name, self._here(name, touched).filter(~here), touched)
