@@ -137,9 +137,9 @@ def _matches(items: _Items, w: flat.Words, h: np.ndarray, same: set):
             yield own[good], z, i[good]
 
 
-def _pass(docs: DataFrame, block: _Items, text: str) -> DataFrame:
-    """docs with the columns of _FOUND, which go on from those it has already."""
-    spark = docs.sparkSession
+def _counted(texts: DataFrame, block: _Items) -> None:
+    """Choose the block's rarest shingles: one pass over the texts counts all of them."""
+    spark = texts.sparkSession
     asked = spark.sparkContext.broadcast(block.shingles)
 
     def count(batches):
@@ -157,21 +157,25 @@ def _pass(docs: DataFrame, block: _Items, text: str) -> DataFrame:
     counts = {q: np.zeros(len(x), np.int64) for q, x in block.shingles.items()}
     if counts:
         # at most one row for each shingle of the block comes back
-        counted = docs.select(text).mapInArrow(tidy(count), "q long, shingle long, n long").groupBy("q", "shingle").agg(F.sum("n").alias("n")).toArrow()
+        counted = texts.mapInArrow(tidy(count), "q long, shingle long, n long").groupBy("q", "shingle").agg(F.sum("n").alias("n")).toArrow()
         length, shingle, n = (counted.column(c).to_numpy() for c in ("q", "shingle", "n"))
         for q, own in counts.items():
             own[shingle[length == q]] = n[length == q]
     block.choose(counts)
-    told = spark.sparkContext.broadcast(block)
-    goes_on = "__spans" in docs.columns
-    kept = [c for c in docs.columns if c not in _FOUND]
+
+
+def _pass(docs: DataFrame, block: _Items, text: str, tag: str, goes_on: bool) -> DataFrame:
+    """docs with the columns of _FOUND, their names ending in `tag`; it has them already if the pass goes on from another."""
+    told = docs.sparkSession.sparkContext.broadcast(block)
+    names = [f"{c}{tag}" for c in _FOUND]
+    kept = [c for c in docs.columns if c not in names]
     at = docs.columns.index(text)
 
     def find(batches):
         b, same = told.value, set()
         for batch in batches:
             n_words, spans, found = [], [], []
-            before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__spans", "__items")] if goes_on else None
+            before = [batch.column(batch.schema.get_field_index(f"{c}{tag}")).to_pylist() for c in ("__spans", "__items")] if goes_on else None
             row = 0
             for lo, hi, raw, offsets in flat.blocks(batch.column(at)):
                 w = flat.words(raw, offsets, flat.ALNUM)
@@ -202,27 +206,31 @@ def _pass(docs: DataFrame, block: _Items, text: str) -> DataFrame:
                     n_words.append(int(z - a))
                     row += 1
             made = [pa.array(x, kind) for x, kind in zip((n_words, spans, found), _KINDS)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *_FOUND])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *names])
 
-    schema = [f"`{c}` {t}" for c, t in docs.dtypes if c not in _FOUND] + [f"{c} {t}" for c, t in _FOUND.items()]
+    schema = [f"`{c}` {t}" for c, t in docs.dtypes if c in kept] + [f"`{c}` {t}" for c, t in zip(names, _FOUND.values())]
     return docs.mapInArrow(tidy(find), ", ".join(schema))
 
 
-def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, tag: str = "") -> DataFrame:
     """Every row of docs, whole, with __n_words, __n_hit, __spans and __items; see `contamination` for their meaning.
 
-    The rows stay in place: each pass over a block of items adds to what the passes before it found.
+    The rows stay in place: each pass over a block of items adds to what the passes before it found. Shingles are counted
+    on the texts as they came, so work grows with the number of blocks. `tag` ends the new names, where docs may have some
+    like them.
     """
     prepare(docs.sparkSession)
     asked = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).filter("text is not null").distinct()
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-size // block_bytes) or 1
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
-    out = docs
+    out, texts = docs, docs.select(text)
     for i in range(n_blocks):
-        block = dealt.filter(F.col("block") == i).drop("block").toArrow()  # block_bytes of item text on average
-        out = _pass(out, _Items(block.column("id").to_pylist(), block.column("text").combine_chunks(), window), text)
-    return out.withColumn("__n_hit", F.expr("aggregate(__spans, 0L, (a, x) -> a + x.end - x.start)"))
+        rows = dealt.filter(F.col("block") == i).drop("block").toArrow()  # block_bytes of item text on average
+        block = _Items(rows.column("id").to_pylist(), rows.column("text").combine_chunks(), window)
+        _counted(texts, block)
+        out = _pass(out, block, text, tag, i > 0)
+    return out.withColumn(f"__n_hit{tag}", F.expr(f"aggregate(`__spans{tag}`, 0L, (a, x) -> a + x.end - x.start)"))
 
 
 def contamination(

@@ -21,6 +21,7 @@ Entries and blobs beyond a fixed size are dealt to a grid of cells, so that no t
 
 from __future__ import annotations
 
+import uuid
 import hashlib
 
 import numpy as np
@@ -625,12 +626,12 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     component has none with one. Rows whose text has no words are linked with nothing and all stay. Decisions go by id
     and text together, so a row that shares its id with one that goes isn't touched. Empty tables give no rows.
     """
-    h = "__text_hash"
+    h, own_id, own_hash, goes = (f"{x}_{uuid.uuid4().hex}" for x in ("hash", "own_id", "own_hash", "goes"))  # docs may have any column
     found = cut(component_rows(docs, text, doc_id, k, similarity).filter("component is not null").groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("n")))
     first = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")))
     away = F.expr("not (doc_id <=> first.doc_id and text_hash = first.text_hash)")
     # rows that go, and those that are there more than once
-    named = found.join(first, "component").withColumn("away", away).filter("away or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "away")
-    told = docs.withColumn(h, F.xxhash64(F.col(text))).join(cut(named), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__hash")), "left")
-    once = told.filter("not away").dropDuplicates(["__id", "__hash"])
-    return told.filter("away is null").unionByName(once).select(*docs.columns)
+    named = found.join(first, "component").withColumn("away", away).filter("away or n > 1").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("away").alias(goes))
+    told = docs.withColumn(h, F.xxhash64(F.col(text))).join(cut(named), F.col(doc_id).cast("long").eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_hash)), "left")
+    once = told.filter(~F.col(goes)).dropDuplicates([own_id, own_hash])
+    return told.filter(F.col(goes).isNull()).unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))

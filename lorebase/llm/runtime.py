@@ -20,6 +20,7 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches keep a Python worker's memory flat however long the texts are."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not spark.sparkContext.master.startswith("local"):
@@ -28,7 +29,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; Spark drops the files once nothing refers to them."""
+    """Materialise in the shared checkpoint folder.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints (which `session` sets; a session made elsewhere has to) Spark
+    drops the files once nothing refers to them, else they stay until the folder is cleared.
+    """
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
 

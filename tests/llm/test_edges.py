@@ -9,7 +9,7 @@ from lorebase.llm import chroma
 LABELS = "doc_id long, toxic int, quality int"
 ITEMS = "item_id string, text string"
 #: Columns of documents, with others that the stages' own columns are called like.
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, label int, n_hit long, n_words long, media_id long, print string, n int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, label int, n_hit long, n_words long, media_id long, print string, n int, away boolean, __spans string, __n_hit int, __n_words int, __items string, __score double, __id long, __hash long, __text_hash long, component long, first int"
 
 
 def rows_of():
@@ -18,7 +18,7 @@ def rows_of():
     say = lambda n: " ".join(rng.choice(words, n))
     same, item = say(60), say(30)
     texts = [(1, same), (1, same), (2, same + " end"), (3, None), (None, None), (4, ""), (5, " \n\t"), (None, say(40)), (6, f"{item} {say(5)}"), (6, say(50)), (7, say(60_000)), (8, "mail a@b.cd now " + say(20)), (8, "mail a@b.cd now other " + say(20))]
-    return [(i, t, None, "x", None if t is None else len(t), 0.5, "s", 1, 2, 3, 4, "p", 5) for i, t in texts], item
+    return [(i, t, None, "x", None if t is None else len(t), 0.5, "s", 1, 2, 3, 4, "p", 5, True, "s", 1, 2, "i", 0.5, 6, 7, 8, 9, 10) for i, t in texts], item
 
 
 @pytest.fixture(scope="module")
