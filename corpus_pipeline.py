@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorebase.llm import decontaminate, jaccard_join, pii, piece_bpe, toxicity
 from lorebase.llm.queries import MODEL
@@ -23,8 +24,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = toxicity.fit(toxicity.train_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     if model.bias == 0 and not len(model.bucket):
         return docs
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), name="__score")
-    return scored.filter("__score < 0.5").select(*docs.columns)
+    score = f"score_{uuid.uuid4().hex}"  # docs may have any column
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), name=score)
+    return scored.filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the contamination rule clears, each by its own text; one without words is clean, as are all without items."""
-    found = decontaminate.marked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(~decontaminate.contaminated(n_hit="__n_hit", n_words="__n_words")).select(*docs.columns)
+    tag = uuid.uuid4().hex
+    found = decontaminate.marked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tag=tag)
+    clean = found.filter(~decontaminate.contaminated(n_hit=f"__n_hit{tag}", n_words=f"__n_words{tag}"))
+    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage keeps is written to the shared folder and read again."""
-    from lorebase.llm.runtime import prepare
+    from lorebase.llm.runtime import prepare, unlink
 
     prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
@@ -76,4 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{folder}/{i}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if i:
+                unlink(spark, before)  # nothing reads what the stage before it kept any more
+            before = path
     return docs
