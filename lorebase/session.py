@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
 def session(app: str = "lorebase", **conf: str) -> SparkSession:
     """A session in UTC with adaptive plans and Arrow."""
     builder = SparkSession.builder.appName(app)
-    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", **conf}.items():
+    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     ship(spark)
