@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .piece_bpe import SPACE, Vocabulary, _chunks, encode_words
+from .flat import changes, distinct
+from .piece_bpe import SPACE, Vocabulary, _chunks, encode_words, merge_rounds
 from .runtime import cut, prepare, tidy
 
 #: Characters of white space, and others that some pattern may count among them.
 WHITE = " \t\n\r\f\v\x85\xa0  -     　"
 DOUBTFUL = "\x1c-\x1f᠎​﻿"
 #: Units, and characters of units, that a task remembers.
-MEMORY, MEMORY_CHARS = 150_000, 4_000_000
+MEMORY, MEMORY_CHARS = 400_000, 8_000_000
 #: Id pairs, the most frequent ones, whose counts are broadcast (some 17 bytes each); others are joined by a shuffle.
 MOST_PAIRS = 2_000_000
 
@@ -48,7 +51,7 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
     Between two neighbouring ends lies one token of either side, so each interval is one overlap; no two overlap twice.
     """
-    ends = np.union1d(ends_a, ends_b)
+    ends = distinct(np.concatenate((ends_a, ends_b)))  # as union1d, by a sort
     own_a, own_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return ends, own_a, own_b, (ends_a[own_a] == ends) & (ends_b[own_b] == ends) if len(ends) else np.zeros(0, bool)
 
@@ -84,7 +87,7 @@ class Pair:
         ids = [str(i) for i in range(max(len(self.bytes_a), self.size_b))]
         self.words = [*(f"{i}," for i in ids), *(f"{i}|" for i in ids), *(f"{i};" for i in ids)]
         self.n_ids = len(ids)
-        self.split_b = vocabulary.splitter()
+        self.by_symbol = np.append(np.array(vocabulary.by_symbol, np.int64), -1)  # the last: a character that no piece has
         self.unit = re.compile(self.pattern(vocabulary))
 
     @staticmethod
@@ -99,22 +102,44 @@ class Pair:
         odd = f"{WHITE}{DOUBTFUL}"
         return f"[{odd}]*[^{odd}]+(?:(?![{safe}])[{odd}][{odd}]*[^{odd}]*)*|[{odd}]+"
 
+    def tokens_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, number of each)."""
+        ids = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def tokens_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `tokens_a`, by merge rounds over all units at once; one that has a symbol without an id is encoded by itself."""
+        words = [u.replace(" ", SPACE) for u in units]
+        found = merge_rounds(self.b, words)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = self.by_symbol[np.concatenate(found)] if len(found) else np.zeros(0, np.int64)
+        odd = np.unique(np.repeat(np.arange(len(words)), counts)[ids < 0]).tolist()
+        if odd:
+            cuts = np.cumsum(counts)
+            parts, at = [], 0
+            for i, told in zip(odd, encode_words(self.b, [words[i] for i in odd])):
+                parts += [ids[at : cuts[i] - counts[i]], np.array(told, np.int64)]
+                at = cuts[i]
+                counts[i] = len(told)
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, counts
+
     def align(self, units: list[str]) -> Aligned:
         """Tokens, groups and overlaps of units; one whose tokens' bytes differ from its own has n_a of -1."""
-        raw = [u.encode() for u in units]
-        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        split = [self.split_b.findall(u.replace(" ", SPACE)) for u in units]
-        flat = encode_words(self.b, [w for s in split for w in s])
-        at, ids_b = 0, []
-        for s in split:
-            ids_b.append([i for w in flat[at : at + len(s)] for i in w])
-            at += len(s)
-        fine = [b"".join([self.bytes_a[i] for i in x]) == r and b"".join([self.bytes_b[i] for i in y]) == r and SPACE not in u for u, r, x, y in zip(units, raw, ids_a, ids_b)]
-        n_a, n_b = (np.array([len(i) if f else 0 for i, f in zip(ids, fine)], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x, f in zip(ids, fine) if f for i in x], np.int64) for ids in (ids_a, ids_b))
+        # U+2581 comes back as a space
+        raw = [u.encode() if SPACE not in u else b"" for u in units]
+        (a, n_a), (b, n_b) = self.tokens_a([u if r else "" for u, r in zip(units, raw)]), self.tokens_b([u if r else "" for u, r in zip(units, raw)])
+        for ids, counts, texts in ((a, n_a, self.bytes_a), (b, n_b, self.bytes_b)):
+            if b"".join([texts[i] for i in ids.tolist()]) != b"".join(raw):
+                cuts = np.cumsum(counts)
+                bad = {i for i, (r, n, end) in enumerate(zip(raw, counts.tolist(), cuts.tolist())) if b"".join([texts[k] for k in ids[end - n : end].tolist()]) != r}
+                raw = [b"" if i in bad else r for i, r in enumerate(raw)]
+        ok = np.array([len(r) > 0 for r in raw], bool)
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        n_a, n_b = np.where(ok, n_a, 0), np.where(ok, n_b, 0)
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         ends, own_a, own_b, shared = overlaps(ends_a, ends_b)
-        unit_ends = np.cumsum([len(r) if f else 0 for r, f in zip(raw, fine)])
+        unit_ends = np.cumsum([len(r) for r in raw])
         group_ends = ends[shared]
         first, first_group = (np.searchsorted(x, np.concatenate(([0], unit_ends)), "right") for x in (ends, group_ends))
         # the text of the groups: A's tokens, then B's, each with what follows it
@@ -125,7 +150,6 @@ class Pair:
         for n in (n_a + n_b).tolist():
             groups.append("".join([words[c] for c in codes[at : at + n]]))
             at += n
-        ok = np.array(fine, bool)
         return Aligned(np.where(ok, n_a, -1), n_b, np.diff(first_group), a[own_a] * self.size_b + b[own_b], first, groups)
 
 
@@ -165,7 +189,8 @@ class Memory:
         units = [self.pair.unit.findall(" " + t) if t else [] for t in texts]
         self.learn(set().union(*units))
         where = self.at.__getitem__
-        flat = np.array([i for u in units for i in map(where, u)], np.int64)
+        told = [list(map(where, u)) for u in units]
+        flat = np.fromiter(chain.from_iterable(told), np.int64)
         sizes = np.array([len(u) for u in units], np.int64)
         doc = np.repeat(np.arange(len(texts)), sizes)
         bad = np.zeros(len(texts), bool)
@@ -175,18 +200,15 @@ class Memory:
         size = self.first[flat + 1] - self.first[flat]
         n_links = np.bincount(doc, size, len(texts)).astype(np.int64)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.first[flat], size)
-        pairs, owner = self.pairs[place], np.repeat(doc, size)
-        order = np.lexsort((pairs, owner)) if len(texts) >= 1 << 24 else np.argsort(owner << 40 | pairs)
-        pairs, owner = pairs[order], owner[order]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])
-        begin = np.flatnonzero(new)
-        times, pairs = np.diff(np.append(begin, len(new))), pairs[begin]
-        cuts = np.searchsorted(owner[begin], np.arange(len(texts) + 1))
+        # a pair is below 2^40 with vocabularies of a million, a block has far fewer than 2^23 texts
+        both = np.sort(np.repeat(doc, size) << 40 | self.pairs[place])
+        begin = np.flatnonzero(changes(both)[: len(both)])
+        times, pairs, owner = np.diff(np.append(begin, len(both))), both[begin] & (1 << 40) - 1, both[begin] >> 40
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         groups, out = self.groups, []
-        for i, u in enumerate(units):
-            told = "" if bad[i] or not u else hashlib.sha256("".join([groups[k] for k in map(where, u)])[:-1].encode()).hexdigest()
-            out.append((int(n_a[i]), int(n_b[i]), int(n_groups[i]), int(n_links[i]), told, pairs[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]]))
+        for i, u in enumerate(told):
+            digest = "" if bad[i] or not u else hashlib.sha256("".join([groups[k] for k in u])[:-1].encode()).hexdigest()
+            out.append((int(n_a[i]), int(n_b[i]), int(n_groups[i]), int(n_links[i]), digest, pairs[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]]))
         return out
 
 
@@ -205,6 +227,7 @@ def aligned(docs: DataFrame, path_a: str, vocabulary: Vocabulary, text: str = "t
     model = docs.sparkSession.sparkContext.broadcast((_read(path_a), vocabulary))  # as large as the models, not as the data
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         memory = Memory(Pair(*model.value))
         for batch in batches:
             rows = [row for texts in _chunks([x or "" for x in batch.column(1).to_pylist()]) for row in memory.rows(texts)]
