@@ -96,7 +96,7 @@ def in_reach(centroids: np.ndarray, radius: dict[int, float], query: Sequence[fl
     return sorted(((b, at) for at, b in bounds.items()), key=lambda x: (-x[0], x[1]))
 
 
-def bounded(index: DataFrame, centroids: np.ndarray, radius: dict[int, float], query: Sequence[float], top_k: int, key: str, probes: int = PROBES, embedding: str = "embedding") -> list[int] | None:
+def bounded(index: DataFrame, centroids: np.ndarray, radius: dict[int, float], query: Sequence[float], top_k: int, probes: int = PROBES, embedding: str = "embedding") -> list[int] | None:
     """The lists that can hold one of the top_k by inner product (None: all, as there are too few rows in the first ones).
 
     The `probes` lists of the greatest bound are searched first; their k-th score is what any other list's bound has to

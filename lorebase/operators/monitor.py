@@ -46,6 +46,29 @@ def paired(starts: DataFrame, ends: DataFrame, late: str = "1 hour") -> DataFram
     return e.join(s, on).select("invocation_id", "kind", "name", "status", "started", "ended", F.round((F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1000, 2).alias("latency_ms"))
 
 
+def paired_all(starts: DataFrame, ends: DataFrame, late: str = "1 hour", within: str = "1 hour") -> DataFrame:
+    """`invocations` of two streams with the ends that nothing began and the starts that nothing ended.
+
+    An id that starts or ends again within the watermark counts once, by its first row. A start waits for its end as long
+    as one can still come: one without is told as unfinished when the watermark has passed it by `within`, and an end
+    without a start (kind generic, name unknown, no time) likewise.
+    """
+    s = starts.select("invocation_id", "kind", "name", "ts").withWatermark("ts", late).dropDuplicatesWithinWatermark(["invocation_id"]).select(F.col("invocation_id").alias("s_id"), "kind", "name", F.col("ts").alias("started"))
+    e = ends.select("invocation_id", "status", "ts").withWatermark("ts", late).dropDuplicatesWithinWatermark(["invocation_id"]).select(F.col("invocation_id").alias("e_id"), "status", F.col("ts").alias("ended"))
+    j = s.join(e, F.expr(f"s_id = e_id and ended >= started and ended <= started + interval {within}"), "full_outer")
+    status = F.when(F.col("ended").isNull(), "unfinished").otherwise(F.coalesce(F.nullif("status", F.lit("")), F.lit("completed")))
+    begun = F.coalesce("started", "ended")
+    latency = F.round((F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(begun.cast("timestamp"))) / 1000, 2)
+    return j.select(F.coalesce("s_id", "e_id").alias("invocation_id"), F.coalesce("kind", F.lit("generic")).alias("kind"), F.coalesce("name", F.lit("unknown")).alias("name"), status.alias("status"), begun.alias("started_at"), F.col("ended").alias("ended_at"), latency.alias("latency_ms"))
+
+
+def delivered(rows: DataFrame, after: tuple | None = None, limit: int = 500, order: Sequence[str] = ("started_at", "invocation_id")) -> DataFrame:
+    """The next `limit` rows after a cursor (the order columns of the last row delivered), in order: a reader goes on where it stopped."""
+    place = F.struct(*order)
+    some = rows if after is None else rows.filter(place > F.struct(*(F.lit(x).cast(dict(rows.dtypes)[c]).alias(c) for x, c in zip(after, order))))
+    return some.orderBy(*order).limit(limit)
+
+
 def published(events: DataFrame, at: Column) -> DataFrame:
     """Events (type, payload map) as they are sent out: stamped with the time unless they have one."""
     stamp = F.coalesce(F.nullif(F.try_element_at("payload", F.lit("timestamp")), F.lit("")), at)

@@ -146,13 +146,12 @@ class Engine:
                         radii = ann.radii(listed, centroids).withColumn("name", F.lit(name))
                         store.replace("list_radii", store.read("list_radii").filter(F.col("name") != name).unionByName(radii))
 
-    def lists_of(self, name: str, group_id: str, rows: DataFrame, vector: Sequence[float], top_k: int, key: str = "pk") -> list[int] | None:
+    def lists_of(self, name: str, group_id: str, rows: DataFrame, vector: Sequence[float], top_k: int) -> list[int] | None:
         """The lists that a search of a group's rows has to read, by their bounds (None: all)."""
-        centroids = self._centroids(name)
-        if not len(centroids) or not len(vector):
+        if not len(vector) or not len(centroids := self._centroids(name)):
             return None
         mine = search.in_group(self.store.read("list_radii"), group_id).filter(F.col("name") == name)
-        return ann.bounded(rows, centroids, {r["list"]: r["radius"] for r in mine.collect()}, vector, top_k, key)  # a row for each list
+        return ann.bounded(rows, centroids, {r["list"]: r["radius"] for r in mine.collect()}, vector, top_k)  # a row for each list
 
     def _reached(self, name: str, group_id: str, rows: DataFrame, vector: Sequence[float], top_k: int) -> DataFrame:
         lists = self.lists_of(name, group_id, rows, vector, top_k)

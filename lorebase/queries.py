@@ -11,9 +11,10 @@ from . import bindings as B
 from .bindings import with_sql
 from .functions import chunker, ids, vectors
 from .functions import text as T
-from .operators import density, evidence, extraction, graph, monitor, progress, resolution, search, store, traces
-from .session import shared_folder
+from .operators import cells, density, evidence, extraction, graph, keyword_index, monitor, progress, resolution, search, store, traces
+from .session import shared_folder, written
 from .streaming import progress as stream
+from .streaming import tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,19 +50,43 @@ FROM s WHERE near >= 0.08 OR word >= 0.12 OR {' OR '.join(likes)} ORDER BY score
     )
 
 
+def _keyword(spark, sf, group, q, **where):
+    """The search reads the posting table twice, so the group's part of it is written first, as a store has it."""
+    chunks = B.chunks(spark, sf)
+    index = written(keyword_index.postings(search.in_group(chunks, group, where.get("doc_id"))), "postings")
+    return keyword_index.search(index, chunks, B.documents(spark, sf), group, q, **where)
+
+
 @query(_keyword_sql("license version", "src3"))
 def chunks_keyword(spark, sf):
-    return search.chunks_keyword(B.chunks(spark, sf), B.documents(spark, sf), "src3", "license version")
+    return _keyword(spark, sf, "src3", "license version")
 
 
 @query(_keyword_sql("the edon, tion", "src5", " AND c.doc_id = '5'"))
 def chunks_keyword_doc(spark, sf):
-    return search.chunks_keyword(B.chunks(spark, sf), B.documents(spark, sf), "src5", "the edon, tion", doc_id="5")
+    return _keyword(spark, sf, "src5", "the edon, tion", doc_id="5")
 
 
 @query(_keyword_sql("released under", "src7", " AND d.doc_time >= '2024-03-01' AND d.doc_time <= '2024-09-30'"))
 def chunks_keyword_time(spark, sf):
-    return search.chunks_keyword(B.chunks(spark, sf), B.documents(spark, sf), "src7", "released under", start="2024-03-01", end="2024-09-30")
+    return _keyword(spark, sf, "src7", "released under", start="2024-03-01", end="2024-09-30")
+
+
+@query(with_sql("chunks") + f"SELECT group_id, gram, count(*) AS chunks FROM (SELECT group_id, unnest({_TRI.format(x='text')}) AS gram FROM chunks) GROUP BY ALL")
+def keyword_postings(spark, sf):
+    """The posting table over all chunks: how many chunks of a group hold a trigram."""
+    return keyword_index.postings(B.chunks(spark, sf)).groupBy("group_id", "gram").agg(F.count("*").alias("chunks"))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS q, b.vec_id AS k, floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) / 1000000 AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS place FROM p) SELECT q AS vec_id, k AS near_id, place, round(s, 4) AS score FROM r WHERE place <= 10""")
+def nearest_by_cells(spark, sf):
+    """The ten nearest of all vectors to each id divisible by 50: cells that can't beat what is found are left out."""
+    e = B.table(spark, sf, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    rows = e.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("tie"), F.col("embedding").alias("vector"))
+    found = cells.nearest(asked, rows, 10, staged=written).hits
+    return found.select(F.col("query").alias("vec_id"), F.col("key").alias("near_id"), F.col("place").cast("long").alias("place"), F.round("score", 4).alias("score"))
 
 
 _DOT = "list_sum(list_transform(list_zip(embedding, qv), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -299,7 +324,7 @@ def _align_vector(spark, sf, asked, known):
     shape = [F.col("vec_id").alias("seq"), F.lit("g").alias("group_id"), F.col("label").cast("string").alias("type"), F.array().cast("array<string>").alias("aliases"), "embedding"]
     new = e.filter(asked).select(*shape, F.concat(F.lit("new "), "vec_id").alias("canonical_name"))
     old = e.filter(known).select(*shape, F.concat(F.lit("old "), "vec_id").alias("canonical_name"), F.concat(F.lit("g"), "vec_id").alias("global_entity_id"))
-    return resolution.align(new, old).select("seq", "method", F.round("score", 4).alias("score"))
+    return resolution.align(new, old, staged=written).select("seq", "method", F.round("score", 4).alias("score"))
 
 
 @query("""SELECT s_name AS subject, p_name AS object, CAST(max(l_partkey + l_linenumber) AS INTEGER) AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
@@ -366,6 +391,18 @@ def chunk_lines_fallback(spark, sf):
     return B.chunks(spark, sf).select("doc_id", "chunk_id", "text")
 
 
+@query("""WITH d AS (SELECT doc_id, trim(text, chr(10)) AS body FROM documents WHERE regexp_matches(text, '\\S')),
+t AS (SELECT doc_id, [list_filter(string_split(body, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S')), list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '\\S')),
+ list_filter(string_split(regexp_replace(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')),
+ list_filter(list_transform(range(0, (len(body) + 699) // 700), lambda i: substring(body, i * 700 + 1, 700)), lambda x: regexp_matches(x, '\\S'))] AS tries FROM d),
+u AS (SELECT doc_id, coalesce(list_filter(tries[1:3], lambda l: len(l) > 1)[1], tries[4]) AS l FROM t)
+SELECT doc_id, unnest(l) AS unit, CAST(unnest(range(0, len(l))) AS INTEGER) AS place FROM u""")
+def fallback_units(spark, sf):
+    """Units of every text without regard to headings: paragraphs, else lines, else sentences, else steps of 700 characters."""
+    made = B.table(spark, sf, "documents").select("doc_id", F.posexplode(chunker.unit_list(F.col("text"))).alias("place", "unit"))
+    return made.select("doc_id", "unit", "place")
+
+
 _NORM = "CASE WHEN lower(trim(status)) IN ('completed','done','success','succeeded') THEN 'completed' WHEN lower(trim(status)) IN ('failed','error') THEN 'failed' WHEN lower(trim(status)) IN ('running','processing','in_progress','active') THEN 'running' WHEN lower(trim(status)) IN ('pending','queued','waiting') THEN 'pending' ELSE coalesce(nullif(lower(trim(status)), ''), 'pending') END"
 
 
@@ -541,6 +578,50 @@ def stream_closed_windows(spark, sf):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+_ACTIONS = {"click": "start", "view": "cancel", "purchase": "complete", "signup": "resume", "error": "fail"}
+_ACTIVE_SQL = "('running', 'recovering', 'cancel_requested')"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS task_id, ts, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTIONS.items())} END AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w(task_id, n, ts, status, retries, asked) AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), 'pending', 0, false FROM e UNION ALL
+ SELECT task_id, n, ts,
+  CASE WHEN action = 'resume' THEN 'recovering' WHEN was IN ('completed', 'failed', 'cancelled') THEN was WHEN action = 'cancel' AND was IN {_ACTIVE_SQL} THEN 'cancel_requested' WHEN action = 'cancel' THEN 'cancelled'
+   WHEN action = 'start' THEN CASE WHEN still THEN was ELSE 'running' END WHEN action IN ('complete', 'fail') THEN CASE WHEN still THEN 'cancelled' WHEN action = 'complete' THEN 'completed' ELSE 'failed' END ELSE was END,
+  retries + CASE WHEN action = 'resume' THEN 1 ELSE 0 END,
+  CASE WHEN action = 'resume' THEN false WHEN was IN ('completed', 'failed', 'cancelled') THEN still WHEN action = 'cancel' THEN was IN {_ACTIVE_SQL} WHEN action IN ('complete', 'fail') THEN false ELSE still END
+ FROM (SELECT e.task_id, e.n, e.ts, e.action, w.retries, w.status IN {_ACTIVE_SQL} AND e.ts >= w.ts + INTERVAL 24 HOUR AS quiet, CASE WHEN quiet THEN CASE WHEN w.asked THEN 'cancelled' ELSE 'failed' END ELSE w.status END AS was, w.asked AND NOT quiet AS still FROM w JOIN e ON e.task_id = w.task_id AND e.n = w.n + 1)),
+l AS (SELECT task_id, max(ts) AS ts, arg_max(status, n) AS status, arg_max(retries, n) AS retries, arg_max(asked, n) AS asked FROM w WHERE n > 0 GROUP BY 1),
+q AS (SELECT *, status IN {_ACTIVE_SQL} AND ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS stale FROM l)
+SELECT task_id, CASE WHEN stale AND asked THEN 'cancelled' WHEN stale THEN 'failed' ELSE status END AS status, CAST(retries AS INTEGER) AS retry_count, asked AND NOT stale AS cancel_requested, stale FROM q""")
+def stream_task_states(spark, sf):
+    """Tasks by user as a stateful stream of the whole table: requests, steps, and a timer of a day for silent ones."""
+    e = _event_stream(spark, sf)
+    action = F.element_at(F.create_map(*(F.lit(x) for pair in _ACTIONS.items() for x in pair)), F.col("event_type"))
+    asked = e.select(F.col("user_id").cast("string").alias("task_id"), action.alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    with tasks.typed_states(spark):
+        changes = stream.drained(tasks.task_changes(asked, "10 minutes", 24 * 60), shared_folder(spark, "tasks"))
+    return tasks.states(changes).select(F.col("task_id").cast("long").alias("task_id"), "status", "retry_count", "cancel_requested", "stale")
+
+
+@query("""WITH s AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 3 <> 0), e AS (SELECT event_id, event_type, ts + INTERVAL 1 MINUTE * (event_id % 90) AS ts FROM events WHERE event_id % 5 <> 0)
+SELECT coalesce(s.event_id, e.event_id) AS invocation_id, CASE WHEN s.ts IS NULL THEN 'generic' ELSE 'tool' END AS kind, coalesce(s.event_type, 'unknown') AS name, CASE WHEN e.ts IS NULL THEN 'unfinished' ELSE e.event_type END AS status,
+ CASE WHEN e.ts IS NULL THEN NULL ELSE round(date_diff('microsecond', coalesce(s.ts, e.ts), e.ts) / 1000.0, 2) END AS latency_ms
+FROM s FULL JOIN e ON s.event_id = e.event_id AND e.ts <= s.ts + INTERVAL 1 HOUR""")
+def stream_invocations(spark, sf):
+    """Starts and ends of the whole table as two streams, each row twice: pairs, ends nothing began, starts nothing ended.
+
+    Each feed closes with a mark a century on, so that the watermark passes all of it.
+    """
+    e = _event_stream(spark, sf)
+    e = e.union(e).select("event_id", "event_type", F.explode(F.when(F.col("event_id") == 1, F.array("ts", F.col("ts") + F.expr("interval 100 years"))).otherwise(F.array("ts"))).alias("ts"))
+    real = F.col("ts") < "2100-01-01"
+    key = F.when(real, F.col("event_id")).otherwise(-1)
+    starts = e.filter((key % 3 != 0) | ~real).select(key.alias("invocation_id"), F.lit("tool").alias("kind"), F.col("event_type").alias("name"), "ts")
+    ends = e.filter((key % 5 != 0) | ~real).select(key.alias("invocation_id"), F.col("event_type").alias("status"), F.when(real, F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int"))).otherwise(F.col("ts")).alias("ts"))
+    out = stream.drained(monitor.paired_all(starts, ends), shared_folder(spark, "invocations"))
+    return out.filter("invocation_id >= 0").select("invocation_id", "kind", "name", "status", "latency_ms")
+
+
 @query("SELECT user_id, event_type, min(ts) AS first FROM events GROUP BY 1, 2")
 def stream_first_seen(spark, sf):
     """A stream of the whole table, each key's first row told once, whatever comes twice."""

@@ -9,6 +9,7 @@ from .bindings import with_sql
 from .functions import models, replies
 from .operators import ann, events, evidence, graph, monitor, recovery, resolution, search, skills
 from .queries import query
+from .session import written
 
 _DOT = "list_inner_product(embedding::DOUBLE[], qv::DOUBLE[])"
 
@@ -336,10 +337,14 @@ def cluster_fusion(spark, sf):
 
 @query(with_sql("emb") + f"SELECT chunk_id, round({_DOT}, 4) AS score FROM emb, q ORDER BY round({_DOT}, 6) DESC, pk LIMIT 20")
 def inverted_lists(spark, sf):
-    """Vector search over inverted lists, all of which are probed: the exact answer."""
-    e = B.embeddings(spark, sf)
-    c = ann.fit(e, "pk", 8)
-    return ann.search(ann.build(e, c), c, B.query_vector(spark, sf), 20, "pk", ["pk", "chunk_id"], probes=8).select("chunk_id", F.round("score", 4).alias("score"))
+    """Vector search over inverted lists: two are probed, then those whose bound reaches the k-th score, so it is exact."""
+    e, q = B.embeddings(spark, sf), B.query_vector(spark, sf)
+    c = ann.fit(e, "pk", 24)
+    index = written(ann.build(e, c), "lists")
+    radius = {r["list"]: r["radius"] for r in ann.radii(index, c, ["list"]).collect()}  # a row for each of 24 lists
+    reached = ann.bounded(index, c, radius, q, 20, probes=2)
+    some = index if reached is None else index.filter(F.col("list").isin(reached))
+    return search.vector_top(some, q, 20, "pk", ["chunk_id"]).withColumn("score", F.round("score", 4))
 
 
 @query(with_sql("ents", "rels") + "SELECT relation_id AS chunk_id, subject, object, 'l' || relation_id AS local_relation_id, 'g' || relation_id AS global_relation_id FROM rels WHERE relation_type = 'PART_OF'")

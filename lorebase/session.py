@@ -29,6 +29,13 @@ def session(app: str = "lorebase", **conf: str) -> SparkSession:
     return spark
 
 
+def written(rows, name: str = "stage"):
+    """The rows as Parquet in a new shared folder: what made them runs once, and a lost executor costs no more than a read."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the folder that driver and executors share; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
