@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = r"([\p{L}\p{N}]+)"
 #: An extent of a text is at most so many times as long as the query's trigrams.
 EXTENT = 4
 
 
 def sequence(c: Column) -> Column:
     """Trigrams in order, with repeats."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    words = F.regexp_extract_all(F.lower(c), F.lit(WORD), 1)
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.flatten(grams)
 

@@ -79,36 +79,57 @@ def search(index: DataFrame, centroids: np.ndarray, query: Sequence[float], top_
 
 
 def radii(rows: DataFrame, centroids: np.ndarray, keys: Sequence[str] = ("group_id", "list"), embedding: str = "embedding") -> DataFrame:
-    """(keys, radius): the farthest vector of each list from its centroid; a vector without a list has none."""
+    """(keys, radius, longest): the greatest angle of each list's vectors with its centroid, and their greatest length.
+
+    A vector without a list counts nowhere; one of length zero stands at a right angle to everything.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
-    @F.pandas_udf("double")
-    def far(v: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series(np.linalg.norm(np.stack(v.to_numpy()).astype(np.float64) - sent.value[place.to_numpy()], axis=1))
+    @F.pandas_udf("radius double, longest double")
+    def far(v: pd.Series, place: pd.Series) -> pd.DataFrame:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        size = np.linalg.norm(x, axis=1)
+        cosine = (x * sent.value[place.to_numpy()].astype(np.float64)).sum(axis=1) / np.maximum(size, 1e-300)
+        return pd.DataFrame({"radius": np.arccos(np.clip(cosine, -1, 1)), "longest": size})
+
+    told = rows.filter("list >= 0").withColumn("_far", far(F.col(embedding), F.col("list")))
+    return told.groupBy(*keys).agg(F.max("_far.radius").alias("radius"), F.max("_far.longest").alias("longest"))
 
-    return rows.filter("list >= 0").groupBy(*keys).agg(F.max(far(F.col(embedding), F.col("list"))).alias("radius"))
+
+def cosine_bound(cosine: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Upper bound of the cosine with any vector within an angle of a centroid, from the cosine with the centroid.
+
+    Angles obey the triangle inequality; a little is added for the arc cosine's roundings near 1.
+    """
+    return np.cos(np.maximum(np.arccos(np.clip(cosine, -1, 1)) - radius - 1e-6, 0))
 
 
-def in_reach(centroids: np.ndarray, radius: dict[int, float], query: Sequence[float]) -> list[tuple[float, int]]:
-    """(upper bound of the inner product with the query, list), the greatest first: q c + |q| times the list's radius."""
-    q = np.asarray(query, np.float64)
-    bounds = {at: float(centroids[at].astype(np.float64) @ q + np.linalg.norm(q) * r) for at, r in radius.items()}
-    return sorted(((b, at) for at, b in bounds.items()), key=lambda x: (-x[0], x[1]))
+def in_reach(centroids: np.ndarray, reach: dict[int, tuple[float, float]], query: Sequence[float]) -> list[tuple[float, int]]:
+    """(upper bound of the inner product with the query, list), the greatest first. reach: radius and longest of each list."""
+    q, lists = np.asarray(query, np.float64), sorted(reach)
+    size = np.linalg.norm(q)
+    if not lists or not size:
+        return [(0.0, at) for at in lists]
+    radius, longest = np.array([reach[at] for at in lists]).T
+    bounds = cosine_bound(centroids[lists].astype(np.float64) @ q / size, radius)
+    # a vector of the list may be as short as nothing: below a right angle the bound is zero
+    bounds = np.where(bounds > 0, bounds * longest * size, 0.0)
+    return sorted(zip(bounds.tolist(), lists), key=lambda x: (-x[0], x[1]))
 
 
-def bounded(index: DataFrame, centroids: np.ndarray, radius: dict[int, float], query: Sequence[float], top_k: int, probes: int = PROBES, embedding: str = "embedding") -> list[int] | None:
+def bounded(index: DataFrame, centroids: np.ndarray, reach: dict[int, tuple[float, float]], query: Sequence[float], top_k: int, probes: int = PROBES, embedding: str = "embedding") -> list[int] | None:
     """The lists that can hold one of the top_k by inner product (None: all, as there are too few rows in the first ones).
 
     The `probes` lists of the greatest bound are searched first; their k-th score is what any other list's bound has to
     reach. Rows without a list (-1) are always among those read.
     """
-    reach = in_reach(centroids, radius, query)
-    first = [at for _, at in reach[:probes]]
+    order = in_reach(centroids, reach, query)
+    first = [at for _, at in order[:probes]]
     score = vectors.dot(F.col(embedding), vectors.literal(query))
     best = [r[0] for r in index.filter(F.col("list").isin(-1, *first)).select(score.alias("s")).orderBy(F.desc("s")).limit(top_k).collect()]  # top_k numbers
     if len(best) < top_k:
         return None
-    return [-1, *(at for b, at in reach if at in first or b >= best[-1] - 1e-6)]  # scores are told to six digits
+    return [-1, *(at for b, at in order if at in first or b >= best[-1] - 1e-6)]  # scores are told to six digits
 
 
 def lists_for(rows: int) -> int:

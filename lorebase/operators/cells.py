@@ -26,17 +26,14 @@ SLACK = 1e-6
 
 @dataclass
 class Cells:
-    """Unit centroids and the farthest member of each; -1 where a cell has none. As many as `ann.lists_for` says, 4,096 at most."""
+    """Unit centroids and the greatest angle of a member with each; -1 where a cell has none. Their number follows `ann.lists_for`."""
 
     centroids: np.ndarray
     radius: np.ndarray
 
     def bounds(self, unit: np.ndarray) -> np.ndarray:
-        """Upper bound of the cosine of each query (rows of unit length) with the members of each cell.
-
-        |x - c| is at most the radius, so q x = q c + q (x - c) is at most q c + radius (Cauchy-Schwarz).
-        """
-        out = np.minimum(unit @ self.centroids.T + self.radius[None, :], 1.0)
+        """Upper bound of the cosine of each query (rows of unit length) with the members of each cell (`ann.cosine_bound`)."""
+        out = ann.cosine_bound(unit @ self.centroids.T, self.radius[None, :])
         out[:, self.radius < 0] = -np.inf
         return out
 
@@ -51,14 +48,15 @@ def _usable(rows: DataFrame, vector: str, dim: int) -> DataFrame:
 
 
 def assigned(rows: DataFrame, centroids: np.ndarray, vector: str, cell: str = "cell", far: str = "far") -> DataFrame:
-    """The rows with their nearest centroid and their distance from it. The centroids go out as a broadcast (bounded by their number)."""
+    """The rows with their nearest centroid and their angle with it. The centroids go out as a broadcast (bounded by their number)."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     @F.pandas_udf("cell int, far double")
     def place(v: pd.Series) -> pd.DataFrame:
         c, x = sent.value, units(v)
-        near = (x @ c.T).argmax(axis=1)
-        return pd.DataFrame({"cell": near, "far": np.linalg.norm(x - c[near], axis=1)})
+        cosine = x @ c.T
+        near = cosine.argmax(axis=1)
+        return pd.DataFrame({"cell": near, "far": np.arccos(np.clip(cosine[np.arange(len(x)), near], -1, 1))})
 
     at = f"at_{uuid.uuid4().hex}"
     return rows.withColumn(at, place(F.col(vector))).withColumns({cell: F.col(f"{at}.cell"), far: F.col(f"{at}.far")}).drop(at)

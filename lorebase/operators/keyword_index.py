@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trigram
+from ..session import ship
 from .search import MIN_SIMILARITY, MIN_WORD, W_COMPACT, W_QUERY, W_SIMILARITY, W_TOKEN, W_WORD, in_group, keyword_score, query_tokens, required
 
 #: Chunks with the best bounds that are scored first; their k-th score then says which others can matter.
-FIRST = 256
+FIRST = 64
 #: Scores are told to six digits, so bounds within that are looked at.
 SLACK = 1e-6
 
@@ -22,8 +26,21 @@ def postings(chunks: DataFrame) -> DataFrame:
     """(group_id, doc_id, chunk_id, gram, n): the distinct trigrams of each chunk, n being their number.
 
     A chunk without letters or digits has none. Written in order of the gram, a search reads the pages of its own grams.
+    Words are those of `trigram.sequence`; a task makes the trigrams of a word it meets again once.
     """
-    grams = chunks.select("group_id", "doc_id", "chunk_id", F.array_distinct(trigram.sequence(F.col("text"))).alias("grams"))
+    ship(chunks.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def grams_of(words: pd.Series) -> pd.Series:
+        @lru_cache(1 << 16)
+        def one(word: str) -> tuple[str, ...]:
+            padded = f"  {word} "
+            return tuple(padded[i : i + 3] for i in range(len(padded) - 2))
+
+        return words.map(lambda some: list(dict.fromkeys(chain.from_iterable(map(one, some)))) if some is not None else [])
+
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(trigram.WORD), 1))
+    grams = chunks.select("group_id", "doc_id", "chunk_id", grams_of(words).alias("grams"))
     return grams.select("group_id", "doc_id", "chunk_id", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
 
 
@@ -67,7 +84,7 @@ def asked(spark: SparkSession, query: str) -> Asked:
     weights = [(q, W_QUERY), *[(compact, W_COMPACT)] * (compact != q), *((t, W_TOKEN) for t in tokens)]
     # % and _ stand for anything, so a pattern is as good as its literal segments
     segments = [(i, s) for i, (p, _) in enumerate(weights) for s in re.split(r"[%_\\]+", p) if s]
-    rows = spark.createDataFrame([(-1, q), *segments], "i int, s string").select("i", F.lower("s").alias("s"), F.regexp_extract_all(F.lower("s"), F.lit(r"([\p{L}\p{N}]+)"), 1).alias("runs"), F.array_distinct(trigram.sequence(F.col("s"))).alias("grams")).collect()
+    rows = spark.createDataFrame([(-1, q), *segments], "i int, s string").select("i", F.lower("s").alias("s"), F.regexp_extract_all(F.lower("s"), F.lit(trigram.WORD), 1).alias("runs"), F.array_distinct(trigram.sequence(F.col("s"))).alias("grams")).collect()
     found: list[set[str]] = [set() for _ in weights]
     for r in rows:
         if r["i"] >= 0:
@@ -120,7 +137,11 @@ class Plan:
 
 def _scored(chunks: DataFrame, keys: DataFrame, query: str) -> DataFrame:
     score, match = keyword_score(F.col("text"), query)
-    return chunks.join(keys, ["doc_id", "chunk_id"]).filter(match).withColumn("score", F.round(score, 6))
+    # the ranking names the bound, which only candidates have: it can't be worked out before the join
+    told = F.when(F.col("bound").isNotNull(), F.struct(F.round(score, 6).alias("score"), match.alias("match")))
+    # few rows, much work for each: dealt anew, wherever they lay
+    some = chunks.join(keys, ["doc_id", "chunk_id"]).repartition(chunks.sparkSession.sparkContext.defaultParallelism, "doc_id", "chunk_id")
+    return some.withColumn("told", told).filter("told.match").withColumn("score", F.col("told.score")).drop("told", "bound")
 
 
 def plan(index: DataFrame, chunks: DataFrame, documents: DataFrame, group_id: str, query: str, limit: int = 20, doc_id: str | None = None, start: str | None = None, end: str | None = None, first: int = FIRST) -> Plan:
@@ -129,7 +150,7 @@ def plan(index: DataFrame, chunks: DataFrame, documents: DataFrame, group_id: st
     mine = in_group(chunks, group_id, doc_id)
     found = candidates(in_group(index, group_id, doc_id), mine, asked(chunks.sparkSession, query)).join(docs, "doc_id")
     best = found.orderBy(F.desc("bound"), "doc_id", "chunk_id").limit(max(first, limit))
-    scores = [r["score"] for r in _scored(mine, F.broadcast(best.select("doc_id", "chunk_id")), query).select("score").orderBy(F.desc("score")).limit(limit).collect()]  # at most limit numbers
+    scores = [r["score"] for r in _scored(mine, F.broadcast(best.select("doc_id", "chunk_id", "bound")), query).select("score").orderBy(F.desc("score")).limit(limit).collect()]  # at most limit numbers
     return Plan(found, scores[-1] - SLACK if len(scores) == limit else None)
 
 
@@ -144,5 +165,5 @@ def search(index: DataFrame, chunks: DataFrame, documents: DataFrame, group_id:
     if not (query or "").strip() or limit <= 0:
         return mine.limit(0).select("doc_id", "chunk_id", "chunk_index", "text", F.lit("").alias("doc_time"), F.lit(0.0).alias("score"))
     todo = plan(index, chunks, documents, group_id, query, limit, doc_id, start, end, first).looked_at()
-    out = _scored(mine, todo.select("doc_id", "chunk_id", "doc_time"), query)
+    out = _scored(mine, todo.select("doc_id", "chunk_id", "doc_time", "bound"), query)
     return out.select("doc_id", "chunk_id", "chunk_index", "text", "doc_time", "score").orderBy(F.desc("score"), F.desc("doc_time"), "chunk_index", "doc_id", "chunk_id").limit(limit)

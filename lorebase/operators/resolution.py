@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,6 +208,62 @@ def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], st
     return good.unionByName(rest)
 
 
+def _dealt(rows: DataFrame, keys: list[str], budget: int, name: dict[str, str]) -> DataFrame:
+    """Adds the part of a cluster that an entity is asked about in: no part's prompt is over the budget, unless one entity is.
+
+    Entities are spread over buckets of some 16 parts by a hash, so that no task holds a cluster, and filled up by running
+    sums in each: a part has what begins within half the budget, one of more than that stands alone.
+    """
+    half = max(1, budget // 2)
+    row = F.struct("seq", *keys, "name", "type", "description")
+    sized = rows.withColumn(name["size"], F.length(F.to_json(row)) + 1)
+    total = sized.groupBy(*keys).agg(F.sum(name["size"]).alias(name["total"]))
+    spread = sized.join(total, keys).withColumn(name["bucket"], F.when(F.col(name["total"]) <= half, 0).otherwise(F.pmod(F.xxhash64("name", "seq"), F.ceil(F.col(name["total"]) / (16 * half)))).cast("int"))
+    small = F.col(name["size"]) <= half
+    before = Window.partitionBy(*keys, name["bucket"], small).orderBy("seq", "name").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.coalesce(F.sum(name["size"]).over(before), F.lit(0))
+    part = F.concat_ws(":", name["bucket"], F.when(F.col(name["total"]) <= half, F.lit("all")).when(small, F.floor(begun / half).cast("string")).otherwise(F.concat(F.lit("alone"), F.row_number().over(Window.partitionBy(*keys, name["bucket"], small).orderBy("seq", "name")).cast("string"))))
+    return spread.withColumn(name["part"], part).drop(name["size"], name["total"], name["bucket"])
+
+
+def fuse_tree(entities: DataFrame, keys: list[str], call: Callable[[str], str], budget: int, tries: int = 3, levels: int = 16, staged: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """`fuse_clusters` for clusters of any size: parts within the budget (characters) are fused level by level.
+
+    A level asks about each part by itself; what comes back are the entities of the next level, until a cluster has one
+    part. A cluster that a level no longer makes smaller stays in its parts, whose entities of one name are then fused by
+    `fuse`. Aliases that any level told stay with the entity that carries them, or its new name. staged(rows) should
+    write a level and read it, so that the model is asked once.
+    """
+    name = {x: f"{x}_{uuid.uuid4().hex}" for x in ("size", "total", "bucket", "part", "parts", "n", "was", "carried", "key")}
+    level = entities.select(*keys, "seq", "name", "type", "description", F.array().cast("array<string>").alias(name["carried"]))
+    done: list[DataFrame] = []
+    sizes = None
+    for _ in range(levels):
+        dealt = staged(_dealt(level, keys, budget, name))
+        told = fuse_clusters(dealt, [*keys, name["part"]], call, tries)
+        # names that led to a fused entity: its own, or those that it tells as aliases
+        said = told.select(*keys, name["part"], "canonical_name", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), "aliases"))).alias(name["key"]))
+        kept = dealt.select(*keys, name["part"], strip(F.col("name")).alias(name["key"]), F.explode(name["carried"]).alias("alias"))
+        carried = said.join(kept, [*keys, name["part"], name["key"]]).groupBy(*keys, name["part"], "canonical_name").agg(F.collect_set("alias").alias(name["was"]))
+        fused = told.join(carried, [*keys, name["part"], "canonical_name"], "left").withColumn("aliases", _all_aliases(F.col("aliases"), F.col(name["was"]))).drop(name["was"])
+        counts = fused.groupBy(*keys).agg(F.count_distinct(name["part"]).alias(name["parts"]), F.count("*").alias(name["n"]))
+        fused = staged(fused.join(counts, keys))
+        done.append(fused.filter(F.col(name["parts"]) == 1).select(*keys, "canonical_name", "type", "aliases", "description", "seq", "errors"))
+        rest = fused.filter(F.col(name["parts"]) > 1)
+        left = rest.count()
+        if not left:
+            return reduce(DataFrame.unionByName, done)
+        if sizes is not None and left >= sizes:
+            break
+        sizes = left
+        level = rest.select(*keys, "seq", F.col("canonical_name").alias("name"), "type", "description", F.col("aliases").alias(name["carried"]))
+    same = rest.groupBy(*keys, "canonical_name").agg(
+        F.min_by("type", "seq").alias("type"), _all_aliases(F.flatten(F.collect_set("aliases"))).alias("aliases"),
+        F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("seq"))).alias("description"), F.min("seq").alias("seq"), F.array_distinct(F.flatten(F.collect_list("errors"))).alias("errors"),
+    )
+    return reduce(DataFrame.unionByName, [*done, same])
+
+
 def entity_text() -> Column:
     """What an entity is embedded as for alignment: name, aliases, type and description."""
     blank = lambda c: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))

@@ -34,10 +34,11 @@ def hash_embedding(text: str, dim: int = 64) -> list[float]:
 
 
 class Engine:
-    """Models are functions: embed(text) -> vector, extract(text) -> tagged lines; both run on the workers in batches."""
+    """Models are functions: embed(text) -> vector, extract(text) -> tagged lines, coreference(text) -> tagged replacements;
+    they run on the workers in batches. rerank(query, texts) -> scores sees one search's hits."""
 
-    def __init__(self, store: Store, embed: Callable[[str], Sequence[float]] = hash_embedding, extract: Callable[[str], str] | None = None, limits: Limits = Limits(), tries: int = 3):
-        self.store, self.embed, self.extract, self.limits, self.tries = store, embed, extract, limits, tries
+    def __init__(self, store: Store, embed: Callable[[str], Sequence[float]] = hash_embedding, extract: Callable[[str], str] | None = None, limits: Limits = Limits(), tries: int = 3, rerank: search.Reranker | None = None, coreference: Callable[[str], str] | None = None):
+        self.store, self.embed, self.extract, self.limits, self.tries, self.rerank, self.coreference = store, embed, extract, limits, tries, rerank, coreference
 
     def _embedded(self, df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
         return df.withColumn(name, models.embedded(self.embed, F.col(text)))
@@ -71,10 +72,18 @@ class Engine:
         keys = ["group_id", "doc_id"]
         chunks = self.store.read("chunks").join(documents.select(*keys).distinct(), keys, "left_semi")
         left = recovery.remaining(chunks, self.store.read("chunk_checkpoints"))
-        told = left.withColumn("_a", models.answered(self.extract, F.col("text"), self.tries, 0.0))
+        if self.coreference:  # what is extracted is the text with its references resolved
+            with self.store.staged(models.resolved(left, self.coreference, F.col("text"), tries=self.tries).select(*left.columns, "resolved_text")) as ready:
+                self._extracted(ready)
+        else:
+            self._extracted(left.withColumn("resolved_text", F.col("text")))
+
+    def _extracted(self, left: DataFrame) -> None:
+        keys = ["group_id", "doc_id"]
+        told = left.withColumn("_a", models.answered(self.extract, F.col("resolved_text"), self.tries, 0.0))
         status = F.when(F.col("_a.error").isNull(), "completed").otherwise("failed")
         none = F.lit(None).cast(dict(self.store.read("chunk_checkpoints").dtypes)["parsed"])
-        rows = told.select(*keys, "chunk_id", "chunk_index", status.alias("status"), F.col("text").alias("resolved_text"), F.coalesce("_a.reply", F.lit("")).alias("raw"), none.alias("parsed"), F.coalesce("_a.error", F.lit("")).alias("error"), recovery.now().alias("updated_at"))
+        rows = told.select(*keys, "chunk_id", "chunk_index", status.alias("status"), "resolved_text", F.coalesce("_a.reply", F.lit("")).alias("raw"), none.alias("parsed"), F.coalesce("_a.error", F.lit("")).alias("error"), recovery.now().alias("updated_at"))
         self.store.upsert("chunk_checkpoints", rows)
 
     def build_graph(self, documents: DataFrame) -> None:
@@ -97,7 +106,8 @@ class Engine:
             store.forget_graph(mine)
             old = once(store.read("global_entities").join(groups, "group_id", "left_semi"))
             index = store.read("graph_index").filter(F.col("kind") == "entity").filter(F.col("doc_id") == search.GLOBAL).select("group_id", F.col("source_id").alias("global_entity_id"), "embedding")
-            told = once(resolution.align_group(self._embedded(fused.withColumn("_text", resolution.entity_text()), "_text"), old.join(index, ["group_id", "global_entity_id"], "left"), staged=once))
+            asked = once(self._embedded(fused.withColumn("_text", resolution.entity_text()), "_text"))
+            told = once(resolution.align_group(asked, old.join(index, ["group_id", "global_entity_id"], "left"), staged=once))
             store.upsert("entity_alignments", told.select(*scope, "local_entity_id", "global_entity_id", "local_name", "global_name", F.col("method").alias("alignment_method"), F.col("score").alias("alignment_score")))
             store.upsert("global_entities", resolution.merged_level(told, old))
             entities = once(resolution.rewritten_entities(told, old))
@@ -125,7 +135,7 @@ class Engine:
             store.upsert(name, listed)
             new = ann.radii(listed, centroids).withColumn("name", F.lit(name))
             both = new.unionByName(store.read("list_radii").filter(F.col("name") == name).join(new.select("group_id", "list"), ["group_id", "list"], "left_semi"))
-            store.upsert("list_radii", both.groupBy("group_id", "name", "list").agg(F.max("radius").alias("radius")))
+            store.upsert("list_radii", both.groupBy("group_id", "name", "list").agg(F.max("radius").alias("radius"), F.max("longest").alias("longest")))
 
     def _centroids(self, name: str) -> np.ndarray:
         rows = self.store.read("vector_lists").filter(F.col("name") == name).orderBy("list").select("centroid").collect()  # ann.LISTS of them, or 4 times the root of the rows
@@ -151,7 +161,7 @@ class Engine:
         if not len(vector) or not len(centroids := self._centroids(name)):
             return None
         mine = search.in_group(self.store.read("list_radii"), group_id).filter(F.col("name") == name)
-        return ann.bounded(rows, centroids, {r["list"]: r["radius"] for r in mine.collect()}, vector, top_k)  # a row for each list
+        return ann.bounded(rows, centroids, {r["list"]: (r["radius"], r["longest"]) for r in mine.collect()}, vector, top_k)  # a row for each list
 
     def _reached(self, name: str, group_id: str, rows: DataFrame, vector: Sequence[float], top_k: int) -> DataFrame:
         lists = self.lists_of(name, group_id, rows, vector, top_k)
@@ -216,6 +226,20 @@ class Engine:
         rel = search.in_group(self.store.read("global_relations"), group_id).withColumns({"relation_id": F.col("global_relation_id"), "doc_id": F.lit(search.GLOBAL)})
         return rel, search.in_group(self.store.read("global_entities"), group_id).withColumn("doc_id", F.lit(search.GLOBAL))
 
+    def reranked(self, hits: DataFrame, query: str, top_k: int | None = None, text: str = "text") -> DataFrame:
+        """A search's hits (as many as it gives, so a bounded number) in the order of the reranker's scores; as they are without one."""
+        rows = hits.collect()
+        if not self.rerank or not rows:
+            return hits
+        try:
+            scores = [float(x) for x in self.rerank(query, [r[text] or "" for r in rows])]
+        except Exception:  # a service that fails leaves the order as it is
+            return hits
+        order = sorted(range(len(rows)), key=lambda i: (-scores[i], i) if i < len(scores) else (float("inf"), i))
+        told = [(*rows[i], place, scores[i] if i < len(scores) else None) for place, i in enumerate(order[:top_k])]
+        kind = hits.schema.add("rerank_place", "int").add("rerank_score", "double")
+        return self.store.spark.createDataFrame(told, kind).orderBy("rerank_place")
+
     def search(self, mode: str, group_id: str, query: str = "", top_k: int = 20, doc_id: str | None = None, start: str | None = None, end: str | None = None, names: Sequence[str] = (), relation_ids: Sequence[str] = (), triples: Sequence[tuple[str, str, str]] = (), limit: int = 200) -> DataFrame:
         """One of MODES; any other is an error, and so is a blank group."""
         required("group_id", group_id)
@@ -240,11 +264,16 @@ class Engine:
             return graph.entities_by_relations(rel, ent, relation_ids, triples, limit)
         return self.graph_search(group_id, query, min(top_k, 10), doc_id)["relations"]
 
-    def expand(self, group_id: str, names: Sequence[str], depth: int = 2, limit: int = 50) -> DataFrame:
-        """Trails of the group's graph from distinct, non-blank names."""
-        rel = self.store.read("global_relations").filter(F.col("group_id") == required("group_id", group_id)).withColumn("relation_id", F.col("global_relation_id"))
-        seeds = self.store.spark.createDataFrame([(n,) for n in dict.fromkeys(x.strip() for x in names) if n], "name string")
-        return graph.khop(rel, seeds, depth, limit)
+    def expand(self, group_id: str, names: Sequence[str], depth: int = 2, limit: int = 50, doc_id: str | None = None) -> DataFrame:
+        """Trails of a document's graph, or of the group's level, from the entities that bear the names or have them as aliases.
+
+        A name that no entity has stands for itself. Names are distinct and not blank.
+        """
+        required("group_id", group_id)
+        rel, ent = self._graph(group_id, doc_id)
+        asked = self.store.spark.createDataFrame([(n,) for n in dict.fromkeys(x.strip() for x in names) if n], "name string")
+        found = graph.named(ent, names).select(F.col("canonical_name").alias("name"))
+        return graph.khop(rel, asked.unionByName(found).distinct(), depth, limit)
 
     def run_plan(self, group_id: str, query: str, steps: Sequence[dict], return_limit: int = 12) -> tuple[DataFrame, list[dict]]:
         """Steps {mode, query, top_k, ...} in order as one table of distinct items; a step that fails is told, others go on."""

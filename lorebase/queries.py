@@ -78,15 +78,15 @@ def keyword_postings(spark, sf):
     return keyword_index.postings(B.chunks(spark, sf)).groupBy("group_id", "gram").agg(F.count("*").alias("chunks"))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS q, b.vec_id AS k, floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) / 1000000 AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS place FROM p) SELECT q AS vec_id, k AS near_id, place, round(s, 4) AS score FROM r WHERE place <= 10""")
+@query("""WITH p AS (SELECT a.vec_id AS q, b.vec_id AS k, floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS place FROM p) SELECT q AS vec_id, k AS near_id, place, floor(s / 100) / 10000 AS score FROM r WHERE place <= 10""")
 def nearest_by_cells(spark, sf):
     """The ten nearest of all vectors to each id divisible by 50: cells that can't beat what is found are left out."""
     e = B.table(spark, sf, "embeddings")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     rows = e.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("tie"), F.col("embedding").alias("vector"))
     found = cells.nearest(asked, rows, 10, staged=written).hits
-    return found.select(F.col("query").alias("vec_id"), F.col("key").alias("near_id"), F.col("place").cast("long").alias("place"), F.round("score", 4).alias("score"))
+    return found.select(F.col("query").alias("vec_id"), F.col("key").alias("near_id"), F.col("place").cast("long").alias("place"), (F.floor(F.round(F.col("score") * 1e6) / 100) / 10000).alias("score"))
 
 
 _DOT = "list_sum(list_transform(list_zip(embedding, qv), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"

@@ -335,14 +335,35 @@ def cluster_fusion(spark, sf):
     return resolution.fuse_clusters(n, ["cluster"], fused, tries=1).select("cluster", "canonical_name", "type")
 
 
+@query("SELECT c_nationkey AS cluster, 'kind ' || c_custkey % 7 AS canonical_name, max(c_mktsegment) AS description, CAST(min(c_custkey) AS BIGINT) AS seq FROM customer GROUP BY 1, 2")
+def cluster_fusion_tree(spark, sf):
+    """Clusters beyond one prompt (of 2,000 characters), fused level by level by a model that merges equal names."""
+    import json
+
+    def merge(prompt):
+        if len(prompt) > 2000:
+            raise ValueError("the prompt is too long")
+        best: dict[str, dict] = {}
+        for r in json.loads(prompt):
+            have = best.setdefault(r["name"], {"canonical_name": r["name"], "type": r["type"], "description": r["description"]})
+            have["description"] = max(have["description"], r["description"])
+        return json.dumps(list(best.values()))
+
+    c = B.table(spark, sf, "customer").select(F.col("c_nationkey").alias("cluster"), F.col("c_custkey").cast("long").alias("seq"), F.concat(F.lit("kind "), F.col("c_custkey") % 7).alias("name"), F.lit("customer").alias("type"), F.col("c_mktsegment").alias("description"))
+    out = resolution.fuse_tree(c, ["cluster"], merge, 2000, tries=1, staged=written)
+    # the model's entities have the first place of their part; that of the name is the least
+    first = c.groupBy("cluster", F.col("name").alias("canonical_name")).agg(F.min("seq").alias("first"))
+    return out.join(first, ["cluster", "canonical_name"]).select("cluster", "canonical_name", "description", F.col("first").alias("seq"))
+
+
 @query(with_sql("emb") + f"SELECT chunk_id, round({_DOT}, 4) AS score FROM emb, q ORDER BY round({_DOT}, 6) DESC, pk LIMIT 20")
 def inverted_lists(spark, sf):
     """Vector search over inverted lists: two are probed, then those whose bound reaches the k-th score, so it is exact."""
     e, q = B.embeddings(spark, sf), B.query_vector(spark, sf)
     c = ann.fit(e, "pk", 24)
     index = written(ann.build(e, c), "lists")
-    radius = {r["list"]: r["radius"] for r in ann.radii(index, c, ["list"]).collect()}  # a row for each of 24 lists
-    reached = ann.bounded(index, c, radius, q, 20, probes=2)
+    reach = {r["list"]: (r["radius"], r["longest"]) for r in ann.radii(index, c, ["list"]).collect()}  # a row for each of 24 lists
+    reached = ann.bounded(index, c, reach, q, 20, probes=2)
     some = index if reached is None else index.filter(F.col("list").isin(reached))
     return search.vector_top(some, q, 20, "pk", ["chunk_id"]).withColumn("score", F.round("score", 4))
 

@@ -23,7 +23,7 @@ SCHEMAS: dict[str, str] = {
     "pipeline_checkpoints": "group_id string, doc_id string, stage string, status string, payload map<string,string>, error string, updated_at string",
     "graph_index": "pk string, kind string, group_id string, doc_id string, source_id string, name string, text string, head_name string, tail_name string, relation_type string, embedding array<float>, list int",
     "vector_lists": "name string, list int, centroid array<float>",
-    "list_radii": "group_id string, name string, list int, radius double",
+    "list_radii": "group_id string, name string, list int, radius double, longest double",
     "skills": "name string, metadata string, skill_md_mtime_ns bigint, skill_md_size bigint, manifest_mtime_ns bigint, manifest_size bigint",
 }
 
