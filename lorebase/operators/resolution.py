@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import ids, vectors
 from ..functions.text import norm, strip
+from ..session import written
 from . import cells
 
 # Cosine from which a vector match counts, and the gap below it in which a model decides.
@@ -188,16 +189,16 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.when((x == 0) & (y == 0), 0.0).otherwise(F.greatest(x, y) / F.greatest(F.lit(1), F.least(x, y)))
 
 
-def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], str], tries: int = 3) -> DataFrame:
+def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], str], tries: int = 3, shown: list[str] | None = None) -> DataFrame:
     """Fused entities of each cluster by a model: (keys, canonical_name, type, aliases, description, seq, errors).
 
-    The model gets a cluster's entities as JSON (ordered by seq) and answers with a JSON list. A cluster whose call
+    The model gets a cluster's entities as JSON (ordered by seq, with the columns `shown`, by default the keys) and answers with a JSON list. A cluster whose call
     fails, or whose reply has no usable entity, is fused by `fuse`. Clusters are spread over the workers as rows; one
     cluster is one prompt, so its size is what the model can read.
     """
     from ..functions import models, replies
 
-    row = F.struct("seq", *keys, "name", "type", "description")
+    row = F.struct("seq", *(keys if shown is None else shown), "name", "type", "description")
     prompts = entities.groupBy(*keys).agg(F.to_json(F.sort_array(F.collect_list(row))).alias("prompt"), F.min("seq").alias("seq"))
     told = prompts.withColumn("_a", models.answered(call, F.col("prompt"), tries)).withColumn("_v", replies.first_value(F.col("_a.reply")))
     told = told.withColumn("_f", replies.fused_entities(F.col("_v")))
@@ -208,39 +209,40 @@ def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], st
     return good.unionByName(rest)
 
 
-def _dealt(rows: DataFrame, keys: list[str], budget: int, name: dict[str, str]) -> DataFrame:
+def _dealt(rows: DataFrame, keys: list[str], budget: int, name: dict[str, str], by_name: bool) -> DataFrame:
     """Adds the part of a cluster that an entity is asked about in: no part's prompt is over the budget, unless one entity is.
 
-    Entities are spread over buckets of some 16 parts by a hash, so that no task holds a cluster, and filled up by running
-    sums in each: a part has what begins within half the budget, one of more than that stands alone.
+    Entities are spread over buckets of some 16 parts by a hash, so that no task holds a cluster (of the name alone: those
+    of one name meet), and filled up by running sums in each: a part has what begins within half the budget, one of more
+    than that stands alone.
     """
     half = max(1, budget // 2)
     row = F.struct("seq", *keys, "name", "type", "description")
     sized = rows.withColumn(name["size"], F.length(F.to_json(row)) + 1)
     total = sized.groupBy(*keys).agg(F.sum(name["size"]).alias(name["total"]))
-    spread = sized.join(total, keys).withColumn(name["bucket"], F.when(F.col(name["total"]) <= half, 0).otherwise(F.pmod(F.xxhash64("name", "seq"), F.ceil(F.col(name["total"]) / (16 * half)))).cast("int"))
+    spread = sized.join(total, keys).withColumn(name["bucket"], F.when(F.col(name["total"]) <= half, 0).otherwise(F.pmod(F.xxhash64(*(["name"] if by_name else ["name", "seq"])), F.ceil(F.col(name["total"]) / (16 * half)))).cast("int"))
     small = F.col(name["size"]) <= half
-    before = Window.partitionBy(*keys, name["bucket"], small).orderBy("seq", "name").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, name["bucket"], small).orderBy("name", "seq").rowsBetween(Window.unboundedPreceding, -1)
     begun = F.coalesce(F.sum(name["size"]).over(before), F.lit(0))
-    part = F.concat_ws(":", name["bucket"], F.when(F.col(name["total"]) <= half, F.lit("all")).when(small, F.floor(begun / half).cast("string")).otherwise(F.concat(F.lit("alone"), F.row_number().over(Window.partitionBy(*keys, name["bucket"], small).orderBy("seq", "name")).cast("string"))))
+    part = F.concat_ws(":", name["bucket"], F.when(F.col(name["total"]) <= half, F.lit("all")).when(small, F.floor(begun / half).cast("string")).otherwise(F.concat(F.lit("alone"), F.row_number().over(Window.partitionBy(*keys, name["bucket"], small).orderBy("name", "seq")).cast("string"))))
     return spread.withColumn(name["part"], part).drop(name["size"], name["total"], name["bucket"])
 
 
-def fuse_tree(entities: DataFrame, keys: list[str], call: Callable[[str], str], budget: int, tries: int = 3, levels: int = 16, staged: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def fuse_tree(entities: DataFrame, keys: list[str], call: Callable[[str], str], budget: int, tries: int = 3, levels: int = 16, staged: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """`fuse_clusters` for clusters of any size: parts within the budget (characters) are fused level by level.
 
     A level asks about each part by itself; what comes back are the entities of the next level, until a cluster has one
-    part. A cluster that a level no longer makes smaller stays in its parts, whose entities of one name are then fused by
-    `fuse`. Aliases that any level told stay with the entity that carries them, or its new name. staged(rows) should
-    write a level and read it, so that the model is asked once.
+    part. What two levels on end no longer make smaller stays in its parts, whose entities of one name are then fused by
+    `fuse`. Aliases that any level told stay with the entity that carries them, or its new name. staged(rows)
+    writes a level and reads it, so that the model is asked once and a level's plan doesn't hold those before it.
     """
     name = {x: f"{x}_{uuid.uuid4().hex}" for x in ("size", "total", "bucket", "part", "parts", "n", "was", "carried", "key")}
     level = entities.select(*keys, "seq", "name", "type", "description", F.array().cast("array<string>").alias(name["carried"]))
     done: list[DataFrame] = []
-    sizes = None
-    for _ in range(levels):
-        dealt = staged(_dealt(level, keys, budget, name))
-        told = fuse_clusters(dealt, [*keys, name["part"]], call, tries)
+    sizes: list[int] = []
+    for at in range(levels):
+        dealt = staged(_dealt(level, keys, budget, name, at % 2 == 1))
+        told = fuse_clusters(dealt, [*keys, name["part"]], call, tries, shown=keys)
         # names that led to a fused entity: its own, or those that it tells as aliases
         said = told.select(*keys, name["part"], "canonical_name", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), "aliases"))).alias(name["key"]))
         kept = dealt.select(*keys, name["part"], strip(F.col("name")).alias(name["key"]), F.explode(name["carried"]).alias("alias"))
@@ -253,9 +255,9 @@ def fuse_tree(entities: DataFrame, keys: list[str], call: Callable[[str], str],
         left = rest.count()
         if not left:
             return reduce(DataFrame.unionByName, done)
-        if sizes is not None and left >= sizes:
+        sizes.append(left)
+        if len(sizes) > 2 and left >= sizes[-3]:
             break
-        sizes = left
         level = rest.select(*keys, "seq", F.col("canonical_name").alias("name"), "type", "description", F.col("aliases").alias(name["carried"]))
     same = rest.groupBy(*keys, "canonical_name").agg(
         F.min_by("type", "seq").alias("type"), _all_aliases(F.flatten(F.collect_set("aliases"))).alias("aliases"),

@@ -8,6 +8,7 @@ from contextlib import ExitStack
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import ids, models
 from ..functions.chunker import Limits, chunk_documents
@@ -131,7 +132,8 @@ class Engine:
         if not len(centroids):
             self.store.upsert(name, rows.withColumn("list", F.lit(-1)))
             return
-        with self.store.staged(ann.build(rows, centroids)) as listed, self.store.batch() as store:
+        # the model's vectors are written first: it isn't asked again when their lists are found
+        with self.store.staged(rows) as rows, self.store.staged(ann.build(rows, centroids)) as listed, self.store.batch() as store:
             store.upsert(name, listed)
             new = ann.radii(listed, centroids).withColumn("name", F.lit(name))
             both = new.unionByName(store.read("list_radii").filter(F.col("name") == name).join(new.select("group_id", "list"), ["group_id", "list"], "left_semi"))
@@ -237,7 +239,7 @@ class Engine:
             return hits
         order = sorted(range(len(rows)), key=lambda i: (-scores[i], i) if i < len(scores) else (float("inf"), i))
         told = [(*rows[i], place, scores[i] if i < len(scores) else None) for place, i in enumerate(order[:top_k])]
-        kind = hits.schema.add("rerank_place", "int").add("rerank_score", "double")
+        kind = StructType([*hits.schema, StructField("rerank_place", IntegerType()), StructField("rerank_score", DoubleType())])
         return self.store.spark.createDataFrame(told, kind).orderBy("rerank_place")
 
     def search(self, mode: str, group_id: str, query: str = "", top_k: int = 20, doc_id: str | None = None, start: str | None = None, end: str | None = None, names: Sequence[str] = (), relation_ids: Sequence[str] = (), triples: Sequence[tuple[str, str, str]] = (), limit: int = 200) -> DataFrame:
