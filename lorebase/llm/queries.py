@@ -29,9 +29,9 @@ def _joined(spans: str, kinds: tuple[str, ...] | None = None):
     return F.expr(f"array_join(transform({some}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
 
 
-def _span_digests(found: DataFrame, base: tuple[str, ...], more: tuple[str, ...]) -> DataFrame:
+def _span_digests(found: DataFrame, base: tuple[str, ...], more: tuple[str, ...], *kept: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in (*base, *more)]
-    return found.select("doc_id", *counts[: len(base)], F.sha2(_joined("spans", base).cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), *counts[len(base) :])
+    return found.select("doc_id", *counts[: len(base)], F.sha2(_joined("spans", base).cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), *counts[len(base) :], *kept)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _span_digests(secret_scan.find_secrets(_documents(spark, sf_dir)), secret_scan.BASE, secret_scan.KINDS[len(secret_scan.BASE) :])
+    found = secret_scan.find_secrets(_documents(spark, sf_dir))
+    scored = found.withColumn("novelties", F.expr("array_join(transform(spans, s -> s.novelty), ',')"))  # one for each of spans
+    return _span_digests(scored, secret_scan.BASE, secret_scan.KINDS[len(secret_scan.BASE) :], "novelties")
 
 
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

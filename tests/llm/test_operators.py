@@ -326,6 +326,59 @@ def test_long_secrets():
     assert secret_scan.spans("private " + "x" * 100_000) == []
 
 
+def plain_novel(text):
+    """Spans of the method, run by run: every run of secret characters, whether a sensitive word is near before it, and its novelty."""
+    import zstandard
+
+    primed = zstandard.ZstdCompressionDict(secret_scan.CODE.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda t: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t.encode()))
+    base = [(a, b) for a, b, k, _ in secret_scan.spans(text) if k in secret_scan.BASE]
+    words = [text[:i].lower().endswith(("pass", "secret", "token", "key", "credential", "auth", "private", "bearer", "signature")) for i in range(len(text) + 1)]
+    out, runs = [], []
+    for i, c in enumerate(text):
+        if c.isascii() and (c.isalnum() or c in "+/_=-"):
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+    for a, b in runs:
+        if b - a < 12 or not any(words[max(0, a - 48) : a + 1]) or any(x < b and y > a for x, y in base):
+            continue
+        around = text[max(0, a - 512) : a] + text[b : b + 512]
+        new = (size(around + text[a:b]) - size(around)) / (b - a)
+        if new >= 0.75:
+            out.append((a, b, round(new, 3)))
+    return out
+
+
+def planted(rng, n):
+    """Texts with a random string near a sensitive word (and where it is), each beside the same text with a long word there."""
+    words = "configuration documentation international responsibility understanding administration recommendations authentication implementation transformation".split()
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    common = "the of and data value service user list time which file more number system people group return index".split()
+    for i in range(n):
+        before, after = (" ".join(rng.choice(common, 60)) for _ in range(2))
+        near = str(rng.choice(["private key ", "auth header ", "credential is now ", "bearer ", "signature: "]))
+        for is_secret in (True, False):
+            value = "".join(rng.choice(list(kinds[i % 3]), int(rng.integers(16, 48)))) if is_secret else str(rng.choice(words)) + "_" * (i % 2) + str(rng.choice(words)) * (i % 2)
+            at = len(before) + 1 + len(near)
+            yield is_secret, (at, at + len(value)), f"{before} {near}{value} {after}"
+
+
+def test_planted_secrets(spark):
+    rng = np.random.default_rng(12)
+    rows = list(planted(rng, 300))
+    got = {r.doc_id: [(x.start, x.end, x.novelty) for x in r.spans if x.kind == "novel"] for r in secret_scan.find_secrets(table(spark, [(i, t) for i, (_, _, t) in enumerate(rows)])).collect()}
+    assert got == {i: plain_novel(t) for i, (_, _, t) in enumerate(rows)}
+    hit = sum(s and [x[:2] for x in got[i]] == [span] for i, (s, span, _) in enumerate(rows))
+    wrong = sum(len(got[i]) for i, (s, _, _) in enumerate(rows) if not s)
+    assert hit >= 285 and wrong <= 6
+    # letters alone are candidates too, and base spans have the novelty of their value
+    assert [k for *_, k, _ in secret_scan.spans("private key: qLrTzWkPmXvBnHsDfGjK")] == ["novel"]
+    dull, new = (secret_scan.spans(f"password = {x}")[0][3] for x in ("changemechangeme", "x8Kq2mVz7LpW4nRt"))
+    assert dull < secret_scan.NOVELTY <= new
+
+
 def prints_of(spark, rows):
     return spark.createDataFrame([(i, np.array(p, np.uint32).tobytes(), len(p)) for i, p in rows], "media_id long, print binary, n int")
 
