@@ -45,9 +45,19 @@ def parse_docx(data: bytes) -> str:
 def parse_xlsx(data: bytes) -> str:
     """The first sheet as a table of text."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    return sheet_text(z, "xl/worksheets/sheet1.xml", shared_strings(z))
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    return ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+
+
+def sheet_text(z: zipfile.ZipFile, member: str, shared: list[str]) -> str:
+    """A sheet of a workbook as a table of text, its first row the head; empty without rows."""
     rows = []
-    for row in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iter(f"{_S}row"):
+    for row in ElementTree.fromstring(z.read(member)).iter(f"{_S}row"):
         cells = {}
         for c in row.findall(f"{_S}c"):
             v = c.find(f"{_S}v")
@@ -64,73 +74,3 @@ def parse_xlsx(data: bytes) -> str:
     return pd.DataFrame(rows[1:], columns=rows[0]).to_string(index=False)
 
 
-def parse_csv(data: bytes, encoding: str | None = None) -> str:
-    return pd.read_csv(io.StringIO(decode(data, encoding))).to_string(index=False)
-
-
-def parse_pdf(data: bytes) -> str:
-    """Pages that aren't blank under a banner each; needs pypdf on the workers."""
-    import pypdf
-
-    pages = ((i, page.extract_text() or "") for i, page in enumerate(pypdf.PdfReader(io.BytesIO(data)).pages, 1))
-    return "\n\n".join(f"--- Page {i} ---\n{text}" for i, text in pages if text.strip())
-
-
-def scan_files(
-    spark: SparkSession, path: str, allowed: tuple[str, ...] | None = None, max_bytes: int | None = None, recursive: bool = False, encoding: str | None = None,
-    ocr: Callable[[bytes], str] | None = None, clean: bool = True,
-) -> DataFrame:
-    """(path, suffix, text, error) of the files below a folder; a file that can't be read has an error and no text.
-
-    Files beyond max_bytes and of other suffixes are left out before their content is read. Images need `ocr`, a
-    function of their bytes that runs on the workers.
-    """
-    ship(spark)
-    suffixes = tuple(s.lower() for s in (allowed or [s for group in KINDS.values() for s in group]))
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).withColumn("suffix", suffix).filter(F.col("suffix").isin(*suffixes))
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-
-    def read(kind: str, data: bytes) -> str:
-        if kind in KINDS["text"]:
-            return decode(data, encoding)
-        if kind in KINDS["image"]:
-            if ocr is None:
-                raise ValueError("no OCR function is given")
-            return ocr(data)
-        made = {".docx": parse_docx, ".pdf": parse_pdf, ".xlsx": parse_xlsx}.get(kind)
-        if made is None and kind != ".csv":
-            raise ValueError(f"unsupported suffix {kind}")
-        return parse_csv(data, encoding) if kind == ".csv" else made(data)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, errors = [], []
-            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                try:
-                    texts.append(read(kind, data))
-                    errors.append(None)
-                except Exception as e:  # told in the row
-                    texts.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "suffix", "text", "error"])
-
-    out = files.select("path", "suffix", "content").mapInArrow(run, "path string, suffix string, text string, error string")
-    return out.withColumn("text", basic_clean(F.col("text"))) if clean else out
-
-
-def batch_process(scanned: DataFrame, output: str) -> dict[str, int]:
-    """Write the texts as Parquet and count files: total, success, failed."""
-    scanned.write.mode("overwrite").parquet(output)
-    done = scanned.sparkSession.read.parquet(output)
-    return done.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
-
-
-def tail_log(spark: SparkSession, path: str, lines: int = 200, tokens: tuple[str, ...] = ()) -> DataFrame:
-    """(line_no, line): the last lines (1 to 1000) that contain every token that isn't blank."""
-    numbered = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    for t in tokens:
-        if t.strip():
-            numbered = numbered.filter(F.contains("line", F.lit(t)))
-    return numbered.orderBy(F.desc("line_no")).limit(min(1000, max(1, lines))).orderBy("line_no")
