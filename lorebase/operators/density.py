@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -244,22 +244,22 @@ def spanning_trees(rows: DataFrame, k: int, most_parts: int) -> DataFrame:
     return found.drop("forest")
 
 
-def density_clusters(entities: DataFrame, scope: list[str], embedding: str = "embedding", min_cluster_size: int = 2, part_rows: int = PART_ROWS) -> DataFrame:
+def density_clusters(entities: DataFrame, scope: list[str], embedding: str = "embedding", min_cluster_size: int = 2, part_rows: int = PART_ROWS, staged: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Adds `cluster` (long) by the entities of the same `scope`, of which null is one; one that fits none is alone, from
     number 10,000,000 on. Clusters, and those alone, are numbered in order of `seq` (rows of equal seq in any order).
 
     A scope of at most part_rows is worked out in one task. A larger one is cut into parts; a task compares two of them,
     and the result is the same. One task holds the tree of a scope, an edge and a seq for each entity, but no vectors.
     Repeated vectors are at distance 0 and may be a cluster. A vector that is null, empty, or holds null or non-finite
-    components leaves its row alone; vectors of different lengths in a scope are an error. The table is written once
-    (with a number for each row).
+    components leaves its row alone; vectors of different lengths in a scope are an error. staged(rows) writes the table,
+    with a number for each row, and reads it.
     """
     spark = entities.sparkSession
     ship(spark)
     tag = uuid.uuid4().hex
     key, row = f"scope_{tag}", f"row_{tag}"
     named = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(scope)])) if scope else F.lit("")
-    kept = written(entities.withColumns({key: named, row: F.monotonically_increasing_id()}), "density")
+    kept = staged(entities.withColumns({key: named, row: F.monotonically_increasing_id()}))
     vector = F.col(f"`{embedding}`")
     usable = F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     rows = kept.select(F.col(key).alias("scope"), F.col(row).alias("row"), "seq", F.when(usable, vector).alias("vector"))

@@ -189,18 +189,20 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.when((x == 0) & (y == 0), 0.0).otherwise(F.greatest(x, y) / F.greatest(F.lit(1), F.least(x, y)))
 
 
-def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], str], tries: int = 3, shown: list[str] | None = None) -> DataFrame:
+def fuse_clusters(entities: DataFrame, keys: list[str], call: Callable[[str], str], tries: int = 3, shown: list[str] | None = None, staged: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Fused entities of each cluster by a model: (keys, canonical_name, type, aliases, description, seq, errors).
 
     The model gets a cluster's entities as JSON (ordered by seq, with the columns `shown`, by default the keys) and answers with a JSON list. A cluster whose call
     fails, or whose reply has no usable entity, is fused by `fuse`. Clusters are spread over the workers as rows; one
-    cluster is one prompt, so its size is what the model can read.
+    cluster is one prompt, so its size is what the model can read. staged(rows) writes the replies and reads them, so that
+    the model is asked once for each cluster.
     """
     from ..functions import models, replies
 
     row = F.struct("seq", *(keys if shown is None else shown), "name", "type", "description")
     prompts = entities.groupBy(*keys).agg(F.to_json(F.sort_array(F.collect_list(row))).alias("prompt"), F.min("seq").alias("seq"))
-    told = prompts.withColumn("_a", models.answered(call, F.col("prompt"), tries)).withColumn("_v", replies.first_value(F.col("_a.reply")))
+    replied = staged(prompts.select(*keys, "seq", models.answered(call, F.col("prompt"), tries).alias("_a")))
+    told = replied.withColumn("_v", replies.first_value(F.col("_a.reply")))
     told = told.withColumn("_f", replies.fused_entities(F.col("_v")))
     errors = F.when(F.col("_a.error").isNotNull(), F.array("_a.error")).otherwise(F.col("_f.errors"))
     good = told.filter(F.size("_f.entities") > 0).select(*keys, "seq", errors.alias("errors"), F.explode("_f.entities").alias("e")).select(*keys, "e.*", "seq", "errors")
@@ -242,7 +244,7 @@ def fuse_tree(entities: DataFrame, keys: list[str], call: Callable[[str], str],
     sizes: list[int] = []
     for at in range(levels):
         dealt = staged(_dealt(level, keys, budget, name, at % 2 == 1))
-        told = fuse_clusters(dealt, [*keys, name["part"]], call, tries, shown=keys)
+        told = fuse_clusters(dealt, [*keys, name["part"]], call, tries, shown=keys, staged=staged)
         # names that led to a fused entity: its own, or those that it tells as aliases
         said = told.select(*keys, name["part"], "canonical_name", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), "aliases"))).alias(name["key"]))
         kept = dealt.select(*keys, name["part"], strip(F.col("name")).alias(name["key"]), F.explode(name["carried"]).alias("alias"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import ids, models
 from ..functions.chunker import Limits, chunk_documents
-from ..operators import ann, evidence, extraction, graph, keyword_index, recovery, resolution, search
+from ..operators import ann, document_fusion, evidence, extraction, graph, keyword_index, recovery, resolution, search
 from ..operators.progress import plan_items
 from ..operators.search import required
 from ..schemas import SCHEMAS
@@ -35,10 +35,12 @@ def hash_embedding(text: str, dim: int = 64) -> list[float]:
 
 
 class Engine:
-    """Models are functions: embed(text) -> vector, extract(text) -> tagged lines, coreference(text) -> tagged replacements;
-    they run on the workers in batches. rerank(query, texts) -> scores sees one search's hits."""
+    """Models are functions: embed(text) -> vector, extract(text) -> tagged lines, coreference(text) -> tagged replacements,
+    fusion(prompt) -> JSON of a cluster's entities made fewer (without it a document's entities are fused by name); they
+    run on the workers in batches. rerank(query, texts) -> scores sees one search's hits."""
 
-    def __init__(self, store: Store, embed: Callable[[str], Sequence[float]] = hash_embedding, extract: Callable[[str], str] | None = None, limits: Limits = Limits(), tries: int = 3, rerank: search.Reranker | None = None, coreference: Callable[[str], str] | None = None):
+    def __init__(self, store: Store, embed: Callable[[str], Sequence[float]] = hash_embedding, extract: Callable[[str], str] | None = None, limits: Limits = Limits(), tries: int = 3, rerank: search.Reranker | None = None, coreference: Callable[[str], str] | None = None, fusion: Callable[[str], str] | None = None, fusion_budget: int = 24_000, min_cluster_size: int = 2):
+        self.fusion, self.fusion_budget, self.min_cluster_size = fusion, fusion_budget, min_cluster_size
         self.store, self.embed, self.extract, self.limits, self.tries, self.rerank, self.coreference = store, embed, extract, limits, tries, rerank, coreference
 
     def _embedded(self, df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
@@ -100,7 +102,7 @@ class Engine:
             texts = done.select("group_id", "chunk_id", F.col("text").alias("chunk_text"))
             named = once(resolution.with_ordinals(extraction.entities(lines, keys), scope, ["chunk_index", "line"]).join(texts, ["group_id", "chunk_id"]))
             found = once(extraction.relations(lines, keys).join(texts, ["group_id", "chunk_id"]))
-            fused = once(resolution.fuse(named, scope).withColumn("aliases", F.array().cast("array<string>")))
+            fused = once(self._fused(named, scope, once))
             aliases = once(resolution.alias_map(fused, scope))
             # the group's level as it is now: a fixed snapshot that all new entities are aligned with
             groups = mine.select("group_id").distinct()
@@ -126,6 +128,11 @@ class Engine:
             store.upsert("relation_mentions", resolution.relation_mentions(found, aliases, new, store.read("global_relations")))
             self._index(mine)
 
+    def _fused(self, named: DataFrame, scope: list[str], once: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if self.fusion is None:
+            return resolution.fuse(named, scope).withColumn("aliases", F.array().cast("array<string>"))
+        return document_fusion.fuse_by_meaning(named, scope, self.embed, self.fusion, self.fusion_budget, self.min_cluster_size, self.tries, once)
+
     def _put_vectors(self, name: str, rows: DataFrame) -> None:
         """Vectors with the list of their nearest centroid (-1 while the table has none); a list's radius grows with them."""
         centroids = self._centroids(name)
