@@ -10,17 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder as shared  # noqa: F401
-from ..session import ship
+from ..session import ship, small_batches
 
 #: Bytes that may be broadcast at once; operators have another way beyond it.
 MAX_BROADCAST_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches keep a Python worker's memory flat however long the texts are."""
+    """The package on the workers, small Arrow batches, a checkpoint folder."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    small_batches(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not spark.sparkContext.master.startswith("local"):

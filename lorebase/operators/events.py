@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.text import strip
+from ..session import small_batches
 
 #: What a stage asks for; its input follows.
 PROMPTS = {
@@ -43,6 +44,7 @@ def sentence_events(docs: DataFrame, call: Callable[[str], str], keys: Sequence[
     document is its error, and later stages aren't asked for; a null or blank text fails at once. Replies stay JSON text,
     events stand in the order of their sentences.
     """
+    small_batches(docs.sparkSession)
 
     def ask(test: Column, *parts: Column | str) -> Column:
         return models.answered_json(call, F.when(test, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))), (), tries, wait, AGAIN)
@@ -62,11 +64,13 @@ def sentence_events(docs: DataFrame, call: Callable[[str], str], keys: Sequence[
     usable = F.filter(F.transform(found, lambda s: F.struct(_told(s, "$.id").alias("id"), _told(s, "$.sentence").alias("sentence"))), lambda s: s["id"].isNotNull() & s["sentence"].isNotNull())
     none = F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, "no sentences came")
     d = d.select(*keys, "preprocess", "resolved_text", F.col("_a.reply").alias("segmentation"), F.coalesce("error", "_a.error", none).alias("error"), usable.alias("_s"))
-    one = d.select(*keys, "preprocess", "resolved_text", "segmentation", "error", F.posexplode_outer(F.when(fine, F.col("_s"))).alias("_pos", "_s"))
-    one = one.repartition(*keys, "_pos").withColumn("_a", ask(F.col("_s").isNotNull(), PROMPTS["extract"], "sentence_id: ", F.col("_s.id"), "\nsentence: ", F.col("_s.sentence")))
     carried = ("preprocess", "resolved_text", "segmentation", "error")
+    one = d.select(*keys, *carried, F.posexplode_outer(F.when(fine, F.col("_s"))).alias("_pos", "_s"))
+    # the document's own texts go with its first row alone: with each sentence they would grow with the square of its length
+    one = one.withColumns({c: F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col(c)) for c in carried})
+    one = one.repartition(*keys, "_pos").withColumn("_a", ask(F.col("_s").isNotNull(), PROMPTS["extract"], "sentence_id: ", F.col("_s.id"), "\nsentence: ", F.col("_s.sentence")))
     back = one.groupBy(*keys).agg(
-        *(F.first(c).alias(c) for c in carried),
+        *(F.first(c, ignorenulls=True).alias(c) for c in carried),
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.col("_a.reply").alias("reply"), F.col("_a.error").alias("error"))))).alias("_e"),
     )
     failed = F.get(F.filter("_e", lambda e: e["error"].isNotNull()), 0)["error"]
@@ -80,6 +84,7 @@ def whole_events(docs: DataFrame, call: Callable[[str], str], keys: Sequence[str
 
     A reply that lacks a member is asked for again and fails at last; a null or blank text fails at once.
     """
+    small_batches(docs.sparkSession)
     own = strip(F.coalesce(F.col(text), F.lit("")))
     prompt = F.when(F.col("_text") != "", F.concat(F.lit(PROMPTS["whole"]), "_text"))
     told = docs.select(*keys, own.alias("_text")).withColumn("_a", models.answered_json(call, prompt, WHOLE, tries, wait, AGAIN))

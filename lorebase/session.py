@@ -19,6 +19,12 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([_ROOT, *paths])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Small Arrow batches keep a Python worker's memory flat however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+
+
 def session(app: str = "lorebase", **conf: str) -> SparkSession:
     """A session in UTC with adaptive plans and Arrow."""
     builder = SparkSession.builder.appName(app)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,27 @@ def test_events(spark):
     assert events.sentence_events(docs.limit(0), model).count() == 0
     whole = {r.doc_id: r for r in events.whole_events(docs, lambda p: json.dumps({k: {"k": k} for k in events.WHOLE if "list" not in p or k != "aggregated"}), tries=2, wait=0.0).collect()}
     assert whole[1].aggregated == '{"k":"aggregated"}' and whole[1].error is None and whole[2].error == "the text is empty" and whole[4].error == "ValueError: the reply lacks aggregated"
+
+
+def test_events_of_long_documents(spark):
+    """What a document's sentences shuffle grows with its length, not with its length for each sentence."""
+    rng = random.Random(1)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=60)).strip() for _ in range(300)]
+
+    def model(p):
+        task, _, rest = p.partition("\n\n")
+        if task.startswith("Name"):
+            return json.dumps({"resolved_text": rest})
+        if task.startswith("Part"):
+            return json.dumps({"sentences": [{"id": i, "sentence": x} for i, x in enumerate(rest.split("\n"), 1)]})
+        return json.dumps({"n": len(json.loads(rest.rsplit("sentence_events: ", 1)[1])) if task.startswith("Join") else rest.count("sentence: ")})
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    r = events.sentence_events(spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string"), model, wait=0.0).first()
+    assert r.resolved_text == "\n".join(lines) and r.error is None and r.aggregated == '{"n": 300}' and len(r.sentence_events) == len(json.loads(r.segmentation)["sentences"]) == 300
+    assert 0 < shuffled() - before < 20 * len("\n".join(lines))
