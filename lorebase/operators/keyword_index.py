@@ -5,43 +5,92 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trigram
-from ..session import ship
+from ..session import ship, small_batches
 from .search import MIN_SIMILARITY, MIN_WORD, W_COMPACT, W_QUERY, W_SIMILARITY, W_TOKEN, W_WORD, in_group, keyword_score, query_tokens, required
 
 #: Chunks with the best bounds that are scored first; their k-th score then says which others can matter.
 FIRST = 64
 #: Scores are told to six digits, so bounds within that are looked at.
 SLACK = 1e-6
+#: Trigrams that a task works out at once.
+PIECE = 1 << 20
+
+
+def _words() -> Column:
+    """The distinct words of a text, as `trigram.sequence` has them."""
+    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(trigram.WORD), 1))
+
+
+def _distinct(owner: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, code), in this order and without repeats, of the trigrams of words; code: three code points of 21 bits."""
+    coded = words.dictionary_encode()
+    points = np.frombuffer(("  " + "   ".join(coded.dictionary.to_pylist()) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes, place = np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:], return_inverse=True)
+    count = pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64) + 1
+    # a word of n characters has n + 1 trigrams, and two more begin in the blanks before the next word
+    begin, at = np.cumsum(count + 2) - count - 2, coded.indices.to_numpy()
+    many = count[at]
+    each = np.repeat(begin[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    key = np.repeat(owner, many) * len(codes) + place[each]
+    key.sort()
+    key = key[np.diff(key, prepend=-1) > 0]
+    return key // len(codes), codes[key % len(codes)]
+
+
+def _held(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code), in this order and without repeats, of the trigrams of each row's words; worked out for PIECE trigrams at a time."""
+    flat = words.flatten()
+    row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    piece = np.cumsum(pc.utf8_length(flat).to_numpy().astype(np.int64) + 1) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(flat)]
+    done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        rows, codes = _distinct(row[a:b], flat.slice(a, b - a))
+        last_rows, last = done[-1]
+        if len(last_rows) and last_rows[-1] == rows[0]:  # a row that goes on from the piece before
+            begun, more = np.searchsorted(last_rows, rows[0]), np.searchsorted(rows, rows[0], "right")
+            whole = np.union1d(last[begun:], codes[:more])
+            done[-1] = (last_rows[:begun], last[:begun])
+            rows, codes = np.concatenate([np.full(len(whole), rows[0]), rows[more:]]), np.concatenate([whole, codes[more:]])
+        done.append((rows, codes))
+    return np.concatenate([r for r, _ in done]), np.concatenate([c for _, c in done])
+
+
+def _told(codes: np.ndarray) -> pa.Array:
+    """Trigrams as texts."""
+    some, place = np.unique(codes, return_inverse=True)
+    points = np.stack([some >> 42, (some >> 21) & 0x1FFFFF, some & 0x1FFFFF], axis=1).astype(np.uint32)
+    return pa.array(points.view("<U3").ravel(), pa.string()).take(pa.array(place))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(group_id, doc_id, chunk_id, gram, n): the distinct trigrams of each chunk, n being their number.
 
     A chunk without letters or digits has none. Written in order of the gram, a search reads the pages of its own grams.
-    Words are those of `trigram.sequence`; a task makes the trigrams of a word it meets again once.
+    Words are those of `trigram.sequence`.
     """
     ship(chunks.sparkSession)
+    small_batches(chunks.sparkSession)
 
-    @F.pandas_udf("array<string>")
-    def grams_of(words: pd.Series) -> pd.Series:
-        @lru_cache(1 << 16)
-        def one(word: str) -> tuple[str, ...]:
-            padded = f"  {word} "
-            return tuple(padded[i : i + 3] for i in range(len(padded) - 2))
+    @F.arrow_udf("array<string>")
+    def grams_of(words: pa.Array) -> pa.Array:
+        rows, codes = _held(words)
+        ends = np.cumsum(np.bincount(rows, minlength=len(words)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _told(codes))
 
-        return words.map(lambda some: list(dict.fromkeys(chain.from_iterable(map(one, some)))) if some is not None else [])
-
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(trigram.WORD), 1))
-    grams = chunks.select("group_id", "doc_id", "chunk_id", grams_of(words).alias("grams"))
-    return grams.select("group_id", "doc_id", "chunk_id", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
+    grams = chunks.select("group_id", "doc_id", "chunk_id", grams_of(_words()).alias("grams"))
+    # a plain explode would be planned with a filter on its array's size below it, and the function would run twice
+    return grams.select("group_id", "doc_id", "chunk_id", F.explode_outer("grams").alias("gram"), F.size("grams").alias("n")).filter(F.col("gram").isNotNull())
 
 
 @dataclass(frozen=True)

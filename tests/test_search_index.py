@@ -1,6 +1,9 @@
 """Keyword search by postings, nearest vectors by cells, lists in the engine: against plain versions."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +48,38 @@ def test_keyword_edges(texts):
     assert keyword_index.inner_grams("ersion v", ["ersion", "v"]) == {"ers", "rsi", "sio", "ion", "on ", "  v"}
 
 
+def plain_grams(words):
+    return sorted({f"  {w} "[i : i + 3] for w in words or [] for i in range(len(w) + 1)})
+
+
+@pytest.mark.parametrize("piece", [5, 40, 1 << 20])
+def test_trigrams_of_word_lists(monkeypatch, piece):
+    """Flat arrays, a bounded number of trigrams at once: rows that go over pieces, nulls, characters beyond 16 bits."""
+    monkeypatch.setattr(keyword_index, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    words = ["aaaa", "b", "数据库", "naïve", "𝒳y", *("".join(rng.choice(list("abcé数𝒳7"), int(rng.integers(1, 9)))) for _ in range(90))]
+    rows = [list(dict.fromkeys(rng.choice(words, int(rng.integers(0, 12))).tolist())) if i % 7 else None for i in range(60)] + [words, [], None]
+    held, codes = keyword_index._held(pa.array(rows, pa.list_(pa.string())).slice(1))
+    got = [[] for _ in rows[1:]]
+    for row, gram in zip(held, keyword_index._told(codes).to_pylist()):
+        got[row].append(gram)
+    assert [sorted(x) for x in got] == [plain_grams(x) for x in rows[1:]]
+    assert all(len(keyword_index._held(pa.array(x, pa.list_(pa.string())))[0]) == 0 for x in ([], [None], [[]]))
+
+
+def test_postings_are_made_once_in_small_batches(spark, texts):
+    """The function stands in the plan once, and its batches don't grow with the table."""
+    made = keyword_index.postings(texts[0])
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    want = {(r.group_id, r.chunk_id): plain_grams(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in texts[0].collect()}
+    got = {k: [] for k in want}
+    for r in made.collect():
+        got[r.group_id, r.chunk_id].append(r.gram)
+        assert r.n == len(want[r.group_id, r.chunk_id])
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def plain_nearest(queries, rows, k):
     unit = lambda v: np.array(v, float) / np.linalg.norm(v)
     out = []
