@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import trigram
 from ..session import ship, small_batches
@@ -20,8 +21,8 @@ from .search import MIN_SIMILARITY, MIN_WORD, W_COMPACT, W_QUERY, W_SIMILARITY,
 FIRST = 64
 #: Scores are told to six digits, so bounds within that are looked at.
 SLACK = 1e-6
-#: Trigrams that a task works out at once.
-PIECE = 1 << 20
+#: Trigrams that a task works out at once, and entries of its table of counts.
+PIECE, TABLE = 1 << 20, 1 << 21
 
 
 def _words() -> Column:
@@ -93,6 +94,53 @@ def postings(chunks: DataFrame) -> DataFrame:
     return grams.select("group_id", "doc_id", "chunk_id", F.explode_outer("grams").alias("gram"), F.size("grams").alias("n")).filter(F.col("gram").isNotNull())
 
 
+def frequencies(chunks: DataFrame) -> DataFrame:
+    """(group_id, gram, chunks): in how many chunks of a group a trigram stands, as counted from `postings`.
+
+    A task counts in a table of at most TABLE entries, which it gives out when it is full, so that not every posting
+    goes to the sum as a row.
+    """
+    ship(chunks.sparkSession)
+    small_batches(chunks.sparkSession)
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(place, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[object, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for group, parts in table.items():
+                codes, n = summed(parts)
+                for i in range(0, len(codes), 1 << 16):
+                    some = codes[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([group], kind).take(pa.array(np.zeros(len(some), np.int64))), _told(some), pa.array(n[i : i + (1 << 16)])], ["group_id", "gram", "chunks"])
+
+        for batch in batches:
+            groups, kind = batch.column(0).dictionary_encode("encode"), batch.column(0).type
+            rows, codes = _held(batch.column(1))
+            mine = groups.indices.to_numpy()[rows]
+            order = np.argsort(mine, kind="stable")
+            ends = np.cumsum(np.bincount(mine, minlength=len(groups.dictionary)))
+            for group, a, b in zip(groups.dictionary.to_pylist(), [0, *ends], ends):
+                if a < b:
+                    some, n = np.unique(codes[order[a:b]], return_counts=True)
+                    table.setdefault(group, []).append((some, n))
+                    size += len(some)
+            if size > TABLE:
+                table = {group: [summed(parts)] for group, parts in table.items()}
+                size = sum(len(parts[0][0]) for parts in table.values())
+                if size > TABLE // 2:
+                    yield from out()
+                    table, size = {}, 0
+        yield from out()
+
+    schema = StructType([chunks.schema["group_id"], StructField("gram", StringType()), StructField("chunks", LongType())])
+    return chunks.select("group_id", _words().alias("words")).mapInArrow(run, schema).groupBy("group_id", "gram").agg(F.sum("chunks").alias("chunks"))
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A text that a chunk may contain, what it adds to the score, and trigrams without which a chunk can't contain it."""

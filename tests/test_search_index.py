@@ -80,6 +80,24 @@ def test_postings_are_made_once_in_small_batches(spark, texts):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("table", [8, 1 << 21])
+def test_frequencies_are_counts_of_postings(spark, monkeypatch, table):
+    """Tasks count in bounded tables: no row for each posting goes to the sum, and full tables lose nothing."""
+    monkeypatch.setattr(keyword_index, "TABLE", table)
+    rng = np.random.default_rng(5)
+    words = ["version", "License", "数据", "aaaa", "x_y", "50%", "…"]
+    rows = [(None if i % 9 == 0 else "gh"[i % 2], str(i), f"c{i}", " ".join(rng.choice(words, int(rng.integers(0, 6)))) if i % 8 else None) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "group_id string, doc_id string, chunk_id string, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    made = keyword_index.frequencies(chunks)
+    assert "explode" not in made._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    got = sorted(map(tuple, made.collect()), key=repr)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert got == sorted(map(tuple, keyword_index.postings(chunks).groupBy("group_id", "gram").count().collect()), key=repr)
+    assert keyword_index.frequencies(chunks.limit(0)).count() == 0
+
+
 def plain_nearest(queries, rows, k):
     unit = lambda v: np.array(v, float) / np.linalg.norm(v)
     out = []
